@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import mixing, near_dup, toxicity
+from newsweave.llm import decontaminate, mixing, near_dup, token_output, toxicity
 from newsweave.llm.shared import shared_path
 
 
@@ -23,7 +23,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as a coded token file; one row for each document in it."""
+    return token_output.token_table(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("tokens", tokens),
+]
 ORACLE_SQL = None
 
 
