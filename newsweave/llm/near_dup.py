@@ -8,7 +8,9 @@ the threshold 0.85 shares no band with probability (1 - 0.85**5)**28, about 1e-7
 Rows with equal shingle sets form one class first (a pre-aggregated group), so copies never meet in pairs. Classes
 that share a band bucket are compared with the bucket's most connected class on full shingle sets. Only where
 that leaves a bucket with more than one component are the remaining cross-component pairs formed, between the
-members outside the bucket's largest component and the others, and confirmed the same way. No bucket is capped.
+members outside the bucket's largest component and the others, and confirmed the same way. Shingles that no other
+member of such buckets has cannot be shared, which bounds a pair's similarity before it is formed: a large family
+of ever differently edited copies gives few pairs. No bucket is capped.
 
 Null and empty texts have no shingles and stand alone; a text of one to four words has its word sequence as the
 only shingle; repeated rows are one class; null doc_id rows take part, component_id is the least doc_id that is
@@ -123,6 +125,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
+def _items(batches):
+    for batch in batches:
+        column = text_column(batch, "items")
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in column]
+        nodes = np.repeat(text_column(batch, "node").to_numpy(), [len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        for i in range(0, len(flat), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 20)]), pa.array(flat[i : i + (1 << 20)])], names=["node", "item"])
+
+
+def _shared_counts(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, shared: how many of its shingles any other of these nodes has; no link can rest on the others."""
+    own = sets.join(nodes, "node", "left_semi")
+    items = own.mapInArrow(_items, "node bigint, item bigint")
+    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.first("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    counted = own.select("node", (F.length("items") / 8).cast("long").alias("n")).join(alone, "node", "left")
+    return counted.select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -148,9 +169,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = cut(members.join(where, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_ = cut(placed.join(split, "band").select("band", "node", "root", "n_shingles", "main"))
-    others = open_.filter("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_n"))
-    pairs = others.join(open_.withColumnRenamed("node", "b"), "band").filter("root <> a_root").filter("root = main or a < b").filter(fits("n_shingles", "a_n"))
+    open_ = placed.join(split, "band").select("band", "node", "root", "n_shingles", "main")
+    open_ = cut(open_.join(_shared_counts(open_.select("node").distinct(), sets), "node").select(*open_.columns, "shared"))
+    others = open_.filter("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_n"), F.col("shared").alias("a_shared"))
+    pairs = others.join(open_.withColumnRenamed("node", "b"), "band").filter("root <> a_root").filter("root = main or a < b")
+    pairs = pairs.filter(f"100 * least(shared, a_shared) >= {percent} * (n_shingles + a_n - least(shared, a_shared))")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = confirmed(pairs, sets, percent)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dup, quality, token_counts, token_output, toxicity
+from . import decontaminate, mixing, near_dup, pii, quality, token_counts, token_output, toxicity
 from .shared import documents
 
 
@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": lambda s, d: token_output.token_table(documents(s, d)),
     "op2_separator_scan": lambda s, d: token_counts.token_counts(documents(s, d)),
+    "op3_contextual_pii": lambda s, d: pii.personal_data(documents(s, d)),
     "op5_systematic_mix": lambda s, d: mixing.mix_report(documents(s, d)),
     "op6_circulant_minhash": lambda s, d: near_dup.near_duplicates(documents(s, d)),
     "op7_template_decontamination": lambda s, d: decontaminate.leaks(documents(s, d), _table(s, d, "benchmark")),
