@@ -33,7 +33,7 @@ PATTERNS = {
 }
 #: a literal without which a kind cannot occur
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S{6,}+"
 ROUNDS, SEEDS, SURE = 3, 3, 0.8
 REACH = 48  # characters before a span in which its two words are looked for
