@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dup, pii, quality, token_counts, token_output, toxicity
+from . import decontaminate, lm_scoring, mixing, near_dup, pii, quality, token_counts, token_output, toxicity
 from .shared import documents
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_systematic_mix": lambda s, d: mixing.mix_report(documents(s, d)),
     "op6_circulant_minhash": lambda s, d: near_dup.near_duplicates(documents(s, d)),
     "op7_template_decontamination": lambda s, d: decontaminate.leaks(documents(s, d), _table(s, d, "benchmark")),
+    "op8_elias_fano_lm": lambda s, d: lm_scoring.lm_scores(documents(s, d)),
     "op9_nnpu_toxicity": lambda s, d: toxicity.toxicity(documents(s, d), _table(s, d, "labels")),
     "op10_decision_list": lambda s, d: quality.quality(documents(s, d), _table(s, d, "labels")),
 }

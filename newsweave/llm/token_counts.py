@@ -18,7 +18,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, text_column
 from .shared import shared_path
+from .shared import store as _files
 from .tokens import Encoder, with_end
 
 SEPARATOR = 50256
@@ -33,16 +33,10 @@ BLOCK_BYTES = 4 << 20
 BLOCKS = "file string, block bigint, n bigint, head bigint, tail bigint, lengths array<bigint>"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def _writing(folder: str, path: str | None, separator: int, dtype: str):
     def run(batches):
         encoder = None
-        store, base = _store(folder)
+        store, base = _files(folder)
         part = TaskContext.get().partitionId()
         name = f"ids-{part:06d}.bin"
         draft = posixpath.join(base, f"_{name}-{uuid.uuid4().hex}")
@@ -65,7 +59,7 @@ def _writing(folder: str, path: str | None, separator: int, dtype: str):
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: str | None = None, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
     """Write `docs` as flat id files, one for each partition; gives file, nth, doc_id, as stored beside them."""
-    store, base = _store(folder)
+    store, base = _files(folder)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows.mapInArrow(_writing(folder, tokenizer, separator, dtype), "file string, nth bigint, doc_id bigint").write.parquet(f"{folder}/keys")
@@ -76,7 +70,7 @@ def _scanning(separator: int, dtype: str):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = _store(row["path"])
+                store, path = _files(row["path"])
                 with store.open_input_file(path) as f:
                     ids = np.frombuffer(f.read_at(row["size"], row["offset"]), dtype)
                 at = np.flatnonzero(ids == separator)
