@@ -72,6 +72,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+class Fingerprints:
+    """64-bit fingerprints of byte spans, from one running sum; with `fold`, A-Z count as a-z."""
+
+    def __init__(self, data: np.ndarray, fold: bool = False):
+        up, self.down = powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+
 class Words:
     """Word spans of a chunk: start, end (byte offsets), doc (row) and cut (row -> first word index)."""
 
@@ -90,23 +102,16 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.cut = np.searchsorted(self.start, offs)
         self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.cut))
-        self._prefix: np.ndarray | None = None
+        self._prints: dict[bool, Fingerprints] = {}
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def prefix(self, fold: bool = True) -> np.ndarray:
-        if self._prefix is None:
-            up, _ = powers(len(self.data) + 1)
-            self._prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((_FOLDED if fold else _BYTE)[self.data] * up[: len(self.data)], out=self._prefix[1:])
-        return self._prefix
-
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, fold: bool = True) -> np.ndarray:
         """Fingerprints of byte spans (by default the words)."""
-        start, end = (self.start if start is None else start), (self.end if end is None else end)
-        p, (_, down) = self.prefix(fold), powers(len(self.data) + 1)
-        return mix((p[end] - p[start]) * down[start])
+        if fold not in self._prints:
+            self._prints[fold] = Fingerprints(self.data, fold)
+        return self._prints[fold].of(self.start if start is None else start, self.end if end is None else end)
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

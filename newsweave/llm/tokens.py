@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .arrays import Words, buffers
+from .arrays import Fingerprints, buffers
 
 MOST_CACHED = 500_000
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
@@ -119,9 +119,7 @@ class Encoder:
         if len(self.known) > MOST_CACHED:
             self.forget()
         end = np.append(start[1:], len(data))
-        spans = Words.__new__(Words)
-        spans.data, spans.offs, spans._prefix = data, offs, None
-        unique, where, which = np.unique(spans.hashes(start, end, fold=False), return_index=True, return_inverse=True)
+        unique, where, which = np.unique(Fingerprints(data).of(start, end), return_index=True, return_inverse=True)
         known = self.known
         slot = [known.get(h, -1) for h in unique.tolist()]
         new = [i for i, s in enumerate(slot) if s < 0]
