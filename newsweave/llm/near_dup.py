@@ -9,8 +9,9 @@ Rows with equal shingle sets form one class first (a pre-aggregated group), so c
 that share a band bucket are compared with the bucket's most connected class on full shingle sets. Only where
 that leaves a bucket with more than one component are the remaining cross-component pairs formed, between the
 members outside the bucket's largest component and the others, and confirmed the same way. Shingles that no other
-member of such buckets has cannot be shared, which bounds a pair's similarity before it is formed: a large family
-of ever differently edited copies gives few pairs. No bucket is capped.
+member of such buckets has cannot be shared, which bounds a pair's similarity before it is formed, and a pair of
+many common buckets is formed in the first of them: a large family of ever differently edited copies gives few
+pairs. No bucket is capped.
 
 Null and empty texts have no shingles and stand alone; a text of one to four words has its word sequence as the
 only shingle; repeated rows are one class; null doc_id rows take part, component_id is the least doc_id that is
@@ -170,10 +171,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     open_ = placed.join(split, "band").select("band", "node", "root", "n_shingles", "main")
-    open_ = cut(open_.join(_shared_counts(open_.select("node").distinct(), sets), "node").select(*open_.columns, "shared"))
-    others = open_.filter("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_n"), F.col("shared").alias("a_shared"))
+    open_ = open_.join(_shared_counts(open_.select("node").distinct(), sets), "node").join(classes.select("node", "bands"), "node")
+    open_ = cut(open_.select("band", "node", "root", "n_shingles", "main", "shared", "bands"))
+    others = open_.filter("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_n"), F.col("shared").alias("a_shared"), F.col("bands").alias("a_bands"))
     pairs = others.join(open_.withColumnRenamed("node", "b"), "band").filter("root <> a_root").filter("root = main or a < b")
     pairs = pairs.filter(f"100 * least(shared, a_shared) >= {percent} * (n_shingles + a_n - least(shared, a_shared))")
+    # a pair is formed in the first of its common buckets only
+    pairs = pairs.filter(F.col("band") == F.array_min(F.array_intersect("bands", "a_bands")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = confirmed(pairs, sets, percent)
