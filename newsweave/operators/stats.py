@@ -87,7 +87,7 @@ def ui_page(rows: DataFrame, *order: Column, number: int = 1, size: int = 10) ->
 
 def feed_health(entries: DataFrame, malformed: str | None = None) -> DataFrame:
     """Entries and malformed records of each feed."""
-    bad = F.count(F.col(malformed)) if malformed else F.lit(0).cast("long")
+    bad = F.count_if(F.col(malformed)) if malformed else F.lit(0).cast("long")
     return entries.groupBy("feed_ord").agg(F.count("*").alias("entries"), bad.alias("malformed"))
 
 

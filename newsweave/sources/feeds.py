@@ -13,13 +13,14 @@ ITEM = "link string, title string, summary string, description string, pubDate s
 
 
 def read_feed(spark: SparkSession, path: str, feed_ord: int, row_tag: str = "item") -> DataFrame:
-    """The entries of one feed's RSS files (`row_tag="entry"` for Atom), in file order, with broken records kept.
+    """The entries of one feed's RSS files (`row_tag="entry"` for Atom), in file order; broken ones are kept and marked.
 
     A path without records gives no rows.
     """
     rows = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(ITEM).load(path)
+    bad = F.col("_corrupt_record").isNotNull() | F.coalesce("link", "title").isNull()
     when = F.coalesce("pubDate", "published", "updated")
-    made = rows.select(F.lit(feed_ord).alias("feed_ord"), F.monotonically_increasing_id().alias("entry_ord"), text.strip(F.col("link")).alias("link"), "title", "summary", "description", when.alias("published_text"), "_corrupt_record")
+    made = rows.select(F.lit(feed_ord).alias("feed_ord"), F.monotonically_increasing_id().alias("entry_ord"), text.strip(F.col("link")).alias("link"), "title", "summary", "description", when.alias("published_text"), bad.alias("malformed"))
     return made.withColumn("published", dates.parsed(F.col("published_text")))
 
 
