@@ -39,7 +39,7 @@ from .shared import stored
 
 LENGTH, GRAM, WINDOW = 400, 16, 185
 SHARED = LENGTH - WINDOW + 1  # bytes from an anchor on that all its strings hold
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 MOST_GROUPED = 20_000
 CHUNK = "chunk bigint, doc_ids array<bigint>, lengths binary, text binary, places binary, keys binary, sample array<bigint>"
 PART = "part bigint, chunk bigint, payload binary"
@@ -95,7 +95,7 @@ def _chunk_rows(batches):
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_ids", "lengths", "text", "places", "keys", "sample"])
 
     ids, texts, lengths, have = [], [], [], 0
-    for batch in chunks(batches, limit=CHUNK_BYTES):
+    for batch in chunks(batches, limit=CHUNK_BYTES // 8):
         data, offs = buffers(text_column(batch))
         ids.append(text_column(batch, "doc_id").cast(pa.int64()))
         texts.append(data)
@@ -433,10 +433,9 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     for i in range(left.num_rows):
         data, lens = unpack(value(left, "text", i))[0], unpack(value(left, "lengths", i))[0].astype(np.int64)
         offs = np.concatenate([[0], np.cumsum(lens)])
-        edge = np.zeros(len(data) + 1, np.int64)
-        for _, _, x in _payloads(right):
-            begin, stop = (v.astype(np.int64) for v in unpack(x))
-            edge += np.bincount(begin, minlength=len(edge)) - np.bincount(stop, minlength=len(edge))
+        ranges = [unpack(x) for _, _, x in _payloads(right)]
+        begin, stop = (np.concatenate([r[k].astype(np.int64) for r in ranges] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(stop, minlength=len(data) + 1)
         gone = np.cumsum(edge[:-1]) > 0
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
