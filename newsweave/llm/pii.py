@@ -155,7 +155,7 @@ def _named(spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of `docs` (doc_id, text)."""
     text = F.col("text")
-    found = base_spans(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", _with_left(text, F.col("base")).alias("base"), candidates(text, F.col("base")).alias("loose"))
+    found = base_spans(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", _with_left(text, F.col("base")).alias("base"), _with_left(text, candidates(text, F.col("base"))).alias("loose"))
     rows = stored(found, "pii-spans")
     trusted = _bootstrap(rows)
     hits = rows.select("uid", F.explode("loose").alias("s")).join(trusted.withColumnRenamed("kind", "p_kind"), F.col("s.left") == F.col("left"))

@@ -62,8 +62,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str | None = None, separ
     store, base = _files(folder)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.mapInArrow(_writing(folder, tokenizer, separator, dtype), "file string, nth bigint, doc_id bigint").write.parquet(f"{folder}/keys")
-    return docs.sparkSession.read.schema("file string, nth bigint, doc_id bigint").parquet(f"{folder}/keys")
+    rows.mapInArrow(_writing(folder, tokenizer, separator, dtype), "file string, nth bigint, doc_id bigint").write.parquet(f"{folder}-keys")
+    return docs.sparkSession.read.schema("file string, nth bigint, doc_id bigint").parquet(f"{folder}-keys")
 
 
 def _scanning(separator: int, dtype: str):
@@ -86,7 +86,7 @@ def _scanning(separator: int, dtype: str):
 
 def scan_flat(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file, nth, n_tokens (without the separator), ended for every document in the files ids-*.bin of a folder."""
-    files = spark.read.format("binaryFile").load(f"{folder}/ids-*.bin").select("path", "length").filter("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder).select("path", "length").filter("length > 0")
     offsets = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {block_bytes}L)")).alias("offset"))
     blocks = offsets.select("path", "offset", F.least(F.lit(block_bytes), F.col("length") - F.col("offset")).alias("size"), (F.col("offset") / block_bytes).cast("long").alias("block"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
