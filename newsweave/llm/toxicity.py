@@ -5,7 +5,8 @@ digest order (`MOST_POSITIVE`, `MOST_UNLABELLED` rows: the documented bound of t
 fingerprints of its words and of their six- and seven-byte beginnings, hashed to 2**20 places; places that occur
 clearly more often in positives, and the most common ones, become the features of a logistic model in numpy. The
 risk is pi * R+(positive) + max(0, R-(unlabelled) - pi * R-(positive)) with the class prior pi from the labels;
-when the clipped part turns negative, the step goes against it, as the non-negative estimator prescribes.
+when the clipped part turns negative, the step goes against it, as the non-negative estimator prescribes. The bias is
+then set so that the threshold cuts where recall less a multiple of the estimated false positive rate is greatest.
 
 Scores lie in [0, 1]; null and empty texts score the model's bias. Null labels are unlabelled, repeated labels
 count as toxic when any row says so, null doc_id rows are scored and never learnt from. Without positives every
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Words, buffers, chunks, text_column
+from .arrays import U64, Words, buffers, chunks, mix, text_column
 
 PLACES = 1 << 20
 FEATURES = 768
@@ -63,7 +64,7 @@ def _sample_rows(batches):
         yield pa.RecordBatch.from_arrays([text_column(batch, "label"), sets], names=["label", "places"])
 
 
-def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.5, l2: float = 1e-4, seed: int = 5) -> np.ndarray:
+def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.5, l2: float = 1e-3, seed: int = 5) -> np.ndarray:
     """Weights (last: bias) of a logistic model under the non-negative risk. x: float32 rows, y: 1 positive, 0 unlabelled."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     pos, unl = x[y == 1], x[y == 0]
@@ -85,6 +86,36 @@ def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: fl
     return w
 
 
+def threshold_shift(z: np.ndarray, y: np.ndarray, prior: float, threshold: float = THRESHOLD, cost: float = 40.0) -> float:
+    """What to add to logits so that `threshold` cuts where recall less `cost` times the false positive rate is greatest.
+
+    Recall is that of the positives; the rate follows from the share of unlabelled texts above the cut and the prior,
+    so no negative needs to be known. The cut lies halfway in the gap below the best one.
+    """
+    cuts = np.unique(z)[::-1]
+    pos, unl = np.sort(z[y == 1]), np.sort(z[y == 0])
+    recall = 1 - np.searchsorted(pos, cuts) / len(pos)
+    share = 1 - np.searchsorted(unl, cuts) / len(unl)
+    best = int(np.argmax(recall - cost * (share - prior * recall) / (1 - prior)))
+    cut = (cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2
+    return float(np.log(threshold / (1 - threshold)) - cut)
+
+
+def first_of_copies(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which rows stay when positives are dropped that share two of four least place fingerprints with earlier ones.
+
+    All words of a toxic text with many copies would look toxic otherwise.
+    """
+    keep, seen = np.ones(len(sets), bool), [set() for _ in range(4)]
+    for i in np.flatnonzero((y == 1) & np.array([len(s) > 0 for s in sets])):
+        least = [int(mix(sets[i].astype(np.uint64) + U64((k + 1) << 32)).min()) for k in range(4)]
+        keep[i] = sum(v in s for v, s in zip(least, seen)) < 2
+        if keep[i]:
+            for v, s in zip(least, seen):
+                s.add(v)
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: int = 3) -> dict:
     """The model: feature places, weights, bias. Rows whose remainder is `held_out` are not used."""
     # the sample is drawn on keys alone; only then are its texts read
@@ -105,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
         return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -np.inf if not y.any() else np.inf}
     sets = [np.frombuffer(b, np.int32) for b in got["places"].to_pylist()]
     order = np.lexsort(([s.sum() for s in sets], [len(s) for s in sets], -y))  # the same order whatever the partitions
+    order = order[first_of_copies([sets[i] for i in order], y[order])]
     y, sets = y[order], [sets[i] for i in order]
     row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
     in_pos = np.bincount(col[y[row] == 1], minlength=PLACES).astype(float)
@@ -112,14 +144,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
     rp, ru = (in_pos + 0.5) / (y.sum() + 1), (in_unl + 0.5) / ((1 - y).sum() + 1)
     gain = np.where((in_pos >= 3) & (rp > 1.5 * ru), (rp - ru) / np.sqrt(rp / y.sum() + ru / (1 - y).sum()), 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 2.5]
+    chosen = chosen[gain[chosen] > np.clip(np.sqrt(0.015 * y.sum()), 2.5, 4)]  # about the root of the positives that hold it
     where = np.full(PLACES, -1)
     where[chosen] = np.arange(len(chosen))
     x = np.zeros((len(sets), len(chosen)), np.float32)
     hit = where[col] >= 0
     x[row[hit], where[col[hit]]] = 1
-    w = nnpu(x, y, min(max(prior, 0.001), 0.9))
-    return {"places": chosen.astype(np.int64), "weights": w[:-1], "bias": float(w[-1])}
+    prior = min(max(prior, 0.001), 0.9)
+    w = nnpu(x, y, prior)
+    z = x @ w[:-1] + w[-1]
+    return {"places": chosen.astype(np.int64), "weights": w[:-1], "bias": float(w[-1]) + threshold_shift(z, y, prior)}
 
 
 def score_texts(model: dict):
