@@ -90,29 +90,36 @@ def threshold_shift(z: np.ndarray, y: np.ndarray, prior: float, threshold: float
     """What to add to logits so that `threshold` cuts where recall less `cost` times the false positive rate is greatest.
 
     Recall is that of the positives; the rate follows from the share of unlabelled texts above the cut and the prior,
-    so no negative needs to be known. The cut lies halfway in the gap below the best one.
+    so no negative needs to be known. The cut lies halfway in the gap below the best one;
+    nothing is added where no cut is worth it.
     """
     cuts = np.unique(z)[::-1]
     pos, unl = np.sort(z[y == 1]), np.sort(z[y == 0])
     recall = 1 - np.searchsorted(pos, cuts) / len(pos)
     share = 1 - np.searchsorted(unl, cuts) / len(unl)
-    best = int(np.argmax(recall - cost * (share - prior * recall) / (1 - prior)))
+    worth = recall - cost * (share - prior * recall) / (1 - prior)
+    best = int(np.argmax(worth))
+    if worth[best] <= 0 or len(cuts) == 1:
+        return 0.0
     cut = (cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2
     return float(np.log(threshold / (1 - threshold)) - cut)
 
 
 def first_of_copies(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Which rows stay when positives are dropped that share two of four least place fingerprints with earlier ones.
+    """Which rows stay when positives are dropped that share a pair of least fingerprints of rare places with an earlier one.
 
     All words of a toxic text with many copies would look toxic otherwise.
     """
-    keep, seen = np.ones(len(sets), bool), [set() for _ in range(4)]
-    for i in np.flatnonzero((y == 1) & np.array([len(s) > 0 for s in sets])):
-        least = [int(mix(sets[i].astype(np.uint64) + U64((k + 1) << 32)).min()) for k in range(4)]
-        keep[i] = sum(v in s for v, s in zip(least, seen)) < 2
-        if keep[i]:
-            for v, s in zip(least, seen):
-                s.add(v)
+    common = np.bincount(np.concatenate(sets), minlength=PLACES) > 0.02 * len(sets)
+    keep, seen = np.ones(len(sets), bool), set()
+    for i in np.flatnonzero(y == 1):
+        rare = sets[i][~common[sets[i]]].astype(np.uint64)
+        if len(rare) < 8:
+            continue
+        least = [int(mix(rare + U64((k + 1) << 32)).min()) for k in range(6)]
+        pairs = {(k, least[k], least[k + 1]) for k in (0, 2, 4)}
+        keep[i] = not pairs & seen
+        seen |= pairs
     return keep
 
 
