@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 CHUNK_ROWS = 8192
 U64 = np.uint64
 
