@@ -4,9 +4,9 @@ A block codes up to `BLOCK` ids and starts from a fresh model, so blocks are ind
 side, one numpy lane each. For every id three predictors speak: an order-2 table (the id that last followed the
 two previous ids), an order-1 table (after the previous id) and order-0 counts. Their adaptive hit probabilities
 are mixed in the logistic domain with weights learnt on the way; the mix codes "the order-2 prediction is right".
-After a miss the order-1 prediction is tried with its own probability, and then the id's upper twelve bits go
-out in three nibbles under adaptive order-0 distributions, the last four bits evenly. All arithmetic is in
-integers, so machines agree.
+After a miss the order-1 prediction is tried with its own probability, and then the id's upper nine bits go
+out one by one under adaptive order-0 probabilities, a tree of them, the last seven bits evenly. All arithmetic is
+in integers, so machines agree.
 
 Layout of a coded stream (little endian): b"CMRC", u8 version, u32 ids, u32 ids per block, then for each block
 u32 bytes and u32 crc32 of its ids as u32, then the blocks' bytes.
@@ -19,24 +19,23 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 4096
-MAGIC, VERSION = b"CMRC", 1
+BLOCK, LANES = 2048, 2048
+MAGIC, VERSION = b"CMRC", 2
 _HEAD = struct.Struct("<4sBII")
-_SLOTS = 2048  # of the prediction tables
-_BITS, _ONE = 12, 1 << 12  # of nibble distributions
-_P, _PONE = 12, 1 << 12  # of binary probabilities
+_SLOTS = 2048  # of the prediction tables, a power of two
+_TREE, _REST, _ONE = 9, 7, 1 << 12  # bits of an id that the order-0 tree codes, and that go evenly; the unit of probabilities
+_P = 12  # bits of a probability
 _TOP, _LOW = np.uint64(48), np.uint64((1 << 48) - 1)
 _ALL = np.uint64((1 << 64) - 1)
-_SMALL = np.uint64(1 << 41)  # a range this large takes two decisions, or three nibbles and four bits, and stays positive
+_SMALL = np.uint64(1 << 41)  # a range this large takes two decisions on predictions or three on bits, and stays positive
 _WORD = np.uint64(16)
 
 _x = np.arange(-2047, 2048)
 _SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-_x / 256))), 1, 4095).astype(np.int64)
 #: inverse of the squash: the first logit whose probability reaches p
 _STRETCH = np.searchsorted(_SQUASH, np.arange(4096)).clip(0, 4094).astype(np.int64) - 2047
-# symbol s pulls its distribution towards all mass on s, less one count for every other symbol
-_TARGET = np.array([[j if j <= s else _ONE - 16 + j for j in range(16)] for s in range(16)], np.int16)
-_FLAT = (np.arange(16) * (_ONE // 16)).astype(np.int16)
+#: trust after a miss (first eight) or a hit, by trust before; below two a miss also takes the new id
+_TRUST = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
 
 
 class _Lanes:
@@ -44,53 +43,58 @@ class _Lanes:
 
     def __init__(self, n: int):
         self.n, self.lane = n, np.arange(n)
-        self.guess = [np.zeros(n * _SLOTS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(n * _SLOTS, np.uint8) for _ in range(2)]
+        # id << 3 | trust of the order-2 and order-1 predictions
+        self.guess = [np.zeros(n * _SLOTS, np.uint32) for _ in range(2)]
         self.count = np.zeros(n * _SLOTS, np.uint8)
-        self.p2 = np.tile(np.array([8, 1400, 2200, 2800, 3200, 3400, 3600, 3700], np.int64), (n, 1)).ravel()
+        self.p2 = np.tile(np.array([8, 1400, 2200, 2800, 3200, 3400, 3600, 3700], np.int64), n)
         self.p1 = self.p2 // 2
         self.p1b = self.p2 // 2
-        self.p0 = np.tile(np.array([8, 40, 80, 120, 160, 200, 250, 300], np.int64), (n, 1)).ravel()
-        self.w = np.tile(np.array([[40000], [16000], [8000]], np.int64), (1, n))
-        self.nibbles = [np.tile(_FLAT, (n * k, 1)) for k in (1, 16, 256)]
+        self.p0 = np.tile(np.array([8, 40, 80, 120, 160, 200, 250, 300], np.int64), n)
+        self.w = [np.full(n, w, np.int64) for w in (40000, 16000, 8000)]
+        self.tree = np.full(n << _TREE, _ONE // 2, np.int16)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _ALL)
 
     def context(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
         a = len(prev1)
         base = self.lane[:a] * _SLOTS
-        self.at1 = base + (prev1 * 40503 >> 3) % _SLOTS
-        self.at2 = base + ((prev1 * 40503 + prev2 * 30011 + (prev2 >> 7)) >> 2) % _SLOTS
-        self.c2, self.c1 = self.guess[0][self.at2].astype(np.int64), self.guess[1][self.at1].astype(np.int64)
-        t2, t1 = self.trust[0][self.at2].astype(np.int64), self.trust[1][self.at1].astype(np.int64)
-        n0 = np.minimum(self.count[base + self.c2 % _SLOTS], 7).astype(np.int64)
+        mixed = prev1 * 40503
+        self.at1 = base + ((mixed >> 3) & (_SLOTS - 1))
+        self.at2 = base + (((mixed + prev2 * 30011 + (prev2 >> 7)) >> 2) & (_SLOTS - 1))
+        g2, g1 = self.guess[0].take(self.at2).astype(np.int64), self.guess[1].take(self.at1).astype(np.int64)
+        self.c2, self.c1, self.t2, self.t1 = g2 >> 3, g1 >> 3, g2 & 7, g1 & 7
+        n0 = np.minimum(self.count.take(base + (self.c2 & (_SLOTS - 1))), 7)
         eight = self.lane[:a] * 8
-        self.i2, self.i1, self.i0 = eight + t2, eight + t1, eight + n0
+        self.i2, self.i1, self.i0 = eight + self.t2, eight + self.t1, eight + n0
         self.agree = self.c1 == self.c2
-        s1 = _STRETCH[self.p1[self.i1]]
-        self.s = np.stack([_STRETCH[self.p2[self.i2]], np.where(self.agree, s1, -s1 >> 1), _STRETCH[self.p0[self.i0]]])
-        self.t2, self.t1 = t2, t1
-        dot = (self.w[:, :a] * self.s).sum(0) >> 16
-        self.pa = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        self.v2, self.v1, self.v0 = self.p2.take(self.i2), self.p1.take(self.i1), self.p0.take(self.i0)
+        s1 = _STRETCH.take(self.v1)
+        self.s = [_STRETCH.take(self.v2), np.where(self.agree, s1, -s1 >> 1), _STRETCH.take(self.v0)]
+        dot = self.w[0][:a] * self.s[0]
+        dot += self.w[1][:a] * self.s[1]
+        dot += self.w[2][:a] * self.s[2]
+        dot >>= 16
+        self.pa = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         a = len(ids)
-        err = ((hit.astype(np.int64) << _P) - self.pa) * 6
-        self.w[:, :a] = np.clip(self.w[:, :a] + ((self.s * err + 8192) >> 14), -(1 << 20), 1 << 20)
-        one = hit.astype(np.int64) * 4095
-        self.p2[self.i2] += (one - self.p2[self.i2]) >> 5
-        self.p0[self.i0] += (one - self.p0[self.i0]) >> 5
-        right = self.c1 == ids
-        self.p1[self.i1] += (right * 4095 - self.p1[self.i1]) >> 5
-        for k, at, now, trust, good in ((0, self.at2, self.c2, self.t2, hit), (1, self.at1, self.c1, self.t1, right)):
-            swap = ~good & (trust < 2)
-            self.guess[k][at] = np.where(swap, ids, now)
-            self.trust[k][at] = np.where(good, np.minimum(trust + 1, 7), np.where(swap, 1, trust >> 1))
-        at = self.lane[:a] * _SLOTS + ids % _SLOTS
-        self.count[at] = np.minimum(self.count[at].astype(np.int64) + 1, 255)
+        hits = hit.astype(np.int64)
+        err = ((hits << _P) - self.pa) * 6
+        for w, s in zip(self.w, self.s):
+            w[:a] += (s * err + 8192) >> 14
+        one = hits * 4095
+        self.p2[self.i2] = self.v2 + ((one - self.v2) >> 5)
+        self.p0[self.i0] = self.v0 + ((one - self.v0) >> 5)
+        right = (self.c1 == ids).astype(np.int64)
+        self.p1[self.i1] = self.v1 + ((right * 4095 - self.v1) >> 5)
+        for k, at, now, trust, good in ((0, self.at2, self.c2, self.t2, hits), (1, self.at1, self.c1, self.t1, right)):
+            new = np.where((good == 0) & (trust < 2), ids, now)
+            self.guess[k][at] = (new << 3) | _TRUST.take(good * 8 + trust)
+        at = self.lane[:a] * _SLOTS + (ids & (_SLOTS - 1))
+        self.count[at] = np.minimum(self.count.take(at).astype(np.int16) + 1, 255)
 
 
 def _clip(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.maximum(p, 1), _PONE - 1).astype(np.uint64)
+    return np.minimum(np.maximum(p, 1), _ONE - 1).astype(np.uint64)
 
 
 def _settle(m, who: np.ndarray | None) -> None:
@@ -173,29 +177,32 @@ def _step(m: _Lanes, prev1: np.ndarray, prev2: np.ndarray, ids: np.ndarray | Non
     rest = np.flatnonzero(rest)
     _settle(m, rest)
     if len(rest):
-        done = np.zeros(len(rest), np.int64)
-        span = np.arange(len(rest))
+        node, base = np.ones(len(rest), np.int64), rest << _TREE
         own = None if ids is None else ids[rest]
+        for k in range(_TREE):
+            if k % 3 == 0:
+                if k:
+                    m.low[rest], m.range[rest] = low, rng
+                    _settle(m, rest)
+                low, rng = m.low[rest], m.range[rest]
+                code = None if own is not None else m.code[rest]
+            at = base + node
+            p = m.tree.take(at).astype(np.int64)
+            split = (rng >> np.uint64(_P)) * p.view(np.uint64)
+            bit = (own >> (15 - k)) & 1 if own is not None else ((code - low) < split).astype(np.int64)
+            over = split * (1 - bit).view(np.uint64)
+            low = low + over
+            rng = np.where(bit, split, rng - split)
+            fast = 4 if k < 4 else 3 if k < 8 else 2
+            m.tree[at] = p + ((bit * (_ONE - (1 << fast) + 1) + ((1 << fast) - 1) - p) >> fast)
+            node = node * 2 + bit
+        m.low[rest], m.range[rest] = low, rng
+        _settle(m, rest)
         low, rng = m.low[rest], m.range[rest]
-        code = None if ids is not None else m.code[rest]
-        for k in range(3):
-            row = rest * (16**k) + done
-            table = m.nibbles[k]
-            cum, step = table[row], rng >> np.uint64(_BITS)
-            if own is None:
-                v = np.minimum((code - low) // step, np.uint64(_ONE - 1)).astype(np.int16)
-                s = (cum <= v[:, None]).sum(1) - 1
-            else:
-                s = (own >> (12 - 4 * k)) & 15
-            lo = cum[span, s]
-            hi = np.where(s < 15, cum[span, np.minimum(s + 1, 15)], _ONE)
-            low, rng = low + lo.astype(np.uint64) * step, (hi - lo).astype(np.uint64) * step
-            table[row] = cum + ((_TARGET[s] - cum) >> 4)
-            done = done * 16 + s
-        step = rng >> np.uint64(4)
-        s = np.minimum((code - low) // step, np.uint64(15)).astype(np.int64) if own is None else own & 15
-        m.low[rest], m.range[rest] = low + s.astype(np.uint64) * step, step
-        out[rest] = done * 16 + s
+        step = rng >> np.uint64(_REST)
+        last = np.minimum((m.code[rest] - low) // step, np.uint64((1 << _REST) - 1)).astype(np.int64) if own is None else own & ((1 << _REST) - 1)
+        m.low[rest], m.range[rest] = low + last.astype(np.uint64) * step, step
+        out[rest] = ((node - (1 << _TREE)) << _REST) + last
     _settle(m, None if a == m.n else m.lane[:a])
     m.learn(out, hit)
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .arrays import chunks, text_column
 from .shared import shared_path
 from .shared import store as _files
-from .tokens import Encoder, with_end
+from .tokens import encoder, with_end
 
 SEPARATOR = 50256
 BLOCK_BYTES = 4 << 20
@@ -35,7 +35,7 @@ BLOCKS = "file string, block bigint, n bigint, head bigint, tail bigint, lengths
 
 def _writing(folder: str, path: str | None, separator: int, dtype: str):
     def run(batches):
-        encoder = None
+        ids_of = None
         store, base = _files(folder)
         part = TaskContext.get().partitionId()
         name = f"ids-{part:06d}.bin"
@@ -43,9 +43,9 @@ def _writing(folder: str, path: str | None, separator: int, dtype: str):
         out, keys, nth = None, [], 0
         for batch in chunks(batches):
             if out is None:
-                encoder = Encoder(path, special_as_text=True)
+                ids_of = encoder(path, True)
                 out = store.open_output_stream(draft)
-            flat, per_row = with_end(*encoder.encode(text_column(batch)), separator)
+            flat, per_row = with_end(*ids_of.encode(text_column(batch)), separator)
             out.write(flat.astype(dtype).tobytes())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(nth, nth + n)), text_column(batch, "doc_id")], names=["file", "nth", "doc_id"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .arrays import chunks, text_column
 from .shared import shared_path
-from .tokens import Encoder, with_end
+from .tokens import encoder, with_end
 
 END = 2
 SEGMENT = 1 << 18
@@ -58,10 +58,10 @@ def _coding(path: str | None, end: int, special_as_text: bool):
         return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "lengths", "n_tokens", "payload"])
 
     def run(batches):
-        encoder, part, segment = Encoder(path, special_as_text), TaskContext.get().partitionId(), 0
+        ids_of, part, segment = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
         keys, ids, lens, held = [], [], [], 0
         for batch in chunks(batches):
-            flat, per_row = with_end(*encoder.encode(text_column(batch)), end)
+            flat, per_row = with_end(*ids_of.encode(text_column(batch)), end)
             keys.append(text_column(batch, "doc_id"))
             ids.append(flat.astype(np.uint16 if flat.max(initial=0) < 65536 else np.uint32))
             lens.append(per_row)

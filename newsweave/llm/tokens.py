@@ -2,7 +2,8 @@
 
 A byte-level tokenizer encodes each piece of its pre-tokenizer by itself, so a chunk is cut into pieces with
 vectorised class tests (letters, numbers, white space, the rest, and the short contractions), equal pieces are
-encoded once by the library and the ids are gathered. Only a bounded cache of pieces outlives a chunk.
+encoded once by the library and the ids are gathered. A bounded cache of pieces outlives a chunk and, as workers are
+reused, a task.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from .arrays import Fingerprints, buffers
+from .arrays import U64, Fingerprints, buffers
 
-MOST_CACHED = 500_000
+MOST_CACHED = 1_200_000
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 
 
@@ -90,46 +92,36 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        """Start with an empty cache: keys ascending, and where each one's ids begin and how many they are."""
+        self.keys, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        if not texts:
-            return
+    def _add(self, keys: np.ndarray, places: np.ndarray, texts: list[str]) -> None:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if hasattr(self.tokenizer, "encode_batch_fast") else self.tokenizer.encode_batch(texts, add_special_tokens=False)
         lists = [e.ids for e in got]
-        flat, base = np.array([i for x in lists for i in x], np.uint32), len(self.known)
-        lens = np.array([len(x) for x in lists], np.int64)
-        for name, need in (("ids", self.used + len(flat)), ("begin", base + len(lens)), ("length", base + len(lens))):
-            old = getattr(self, name)
-            if need > len(old):
-                grown = np.zeros(max(need, 2 * len(old)), old.dtype)
-                grown[: len(old)] = old
-                setattr(self, name, grown)
+        flat, lens = np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int32, len(lists))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), len(self.ids)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[base : base + len(lens)] = self.used + np.cumsum(lens) - lens
-        self.length[base : base + len(lens)] = lens
-        self.known.update(zip(hashes, range(base, base + len(lens))))
+        self.keys, self.length = np.insert(self.keys, places, keys), np.insert(self.length, places, lens)
+        self.begin = np.insert(self.begin, places, self.used + np.cumsum(lens) - lens)
         self.used += len(flat)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offs = buffers(column)
         start = pieces(data, offs)
-        if len(self.known) > MOST_CACHED:
+        if len(self.keys) > MOST_CACHED:
             self.forget()
         end = np.append(start[1:], len(data))
         unique, where, which = np.unique(Fingerprints(data).of(start, end), return_index=True, return_inverse=True)
-        known = self.known
-        slot = [known.get(h, -1) for h in unique.tolist()]
-        new = [i for i, s in enumerate(slot) if s < 0]
-        if new:
+        at = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(np.append(self.keys, U64(0))[at] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
             raw = data.tobytes()
-            self._add([int(unique[i]) for i in new], [raw[start[where[i]] : end[where[i]]].decode() for i in new])
-            for i in new:
-                slot[i] = known[int(unique[i])]
-        index = np.array(slot, np.int64)[which] if len(slot) else np.zeros(0, np.int64)
-        lens = self.length[index]
+            self._add(unique[new], at[new], [raw[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist())])
+            at = np.searchsorted(self.keys, unique)
+        index = at[which]
+        lens = self.length[index].astype(np.int64)
         stop = np.cumsum(lens)
         flat = self.ids[np.repeat(self.begin[index] - (stop - lens), lens) + np.arange(stop[-1] if len(stop) else 0)]
         per_row = np.diff(np.concatenate([[0], stop])[np.searchsorted(start, offs)])
@@ -153,3 +145,9 @@ def with_end(flat: np.ndarray, per_row: np.ndarray, end: int) -> tuple[np.ndarra
     """The ids with one end id after each row."""
     stop = np.cumsum(per_row)
     return np.insert(flat, stop, np.uint32(end)), per_row + 1
+
+
+@cache
+def encoder(path: str | None, special_as_text: bool) -> Encoder:
+    """The worker's own encoder."""
+    return Encoder(path, special_as_text)
