@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsweave.functions import dates, html, text, urls
 
 from .dedup import fuzzy_first
+from .numbering import numbered
 
 LEAST_TOKENS = 10
 
@@ -32,9 +32,8 @@ def search_news(entries: DataFrame, pages: DataFrame, keywords: Sequence[str], d
     kept = fuzzy_first(candidates(entries, keywords, days, as_of))
     own = pages.select(F.col("url").alias("link"), "html")
     found = kept.join(own, "link").withColumn("summary", html.snippet("html")).filter(text.token_count(F.col("summary")) >= LEAST_TOKENS)
-    # numbering the report needs one order over its rows: they are the found articles only
-    nth = F.row_number().over(W.orderBy("feed_ord", "entry_ord"))
-    return found.select(nth.alias("n"), "title", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"), "link", "summary")
+    listed = numbered(found, "n", F.col("feed_ord"), F.col("entry_ord"))
+    return listed.select("n", "title", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"), "link", "summary")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.constants import LOCATION, TAG_ALERT, TAG_NEW
-from newsweave.functions import html, text, urls
-from newsweave.operators import dedup, scan, search, stats
+from newsweave.functions import display, html, text, urls
+from newsweave.operators import dedup, numbering, scan, search, selection, stats
 
 from . import views
 
@@ -77,6 +77,11 @@ QUERIES = {
     "top3_per_feed": lambda s, d: stats.first_of_feed(views.entries(s, d)).select("feed_ord", "entry_ord", "nth"),
     "trend_vs_prev_day": lambda s, d: stats.change(stats.trends(views.cases(s, d), 30, F.col("as_of"))),
     "trend_spikes": lambda s, d: stats.spikes(stats.trends(views.cases(s, d), 30, F.col("as_of"))).select("date", "cases", "is_spike"),
+    "row_numbers": lambda s, d: numbering.numbered(views.table(s, d, "orders").select("o_orderkey", "o_orderdate"), "n", F.desc("o_orderdate"), F.asc("o_orderkey"), after=100),
+    "display_columns": lambda s, d: views.table(s, d, "orders").select("o_orderkey", display.badge(F.col("o_orderstatus") == "F").alias("badge"), display.grouped(F.col("o_orderkey")).alias("grouped"), display.local_date(F.col("o_orderdate")).alias("day")),
+    "list_parts": lambda s, d: views.table(s, d, "part").select("p_partkey", F.array_join(display.listed(F.replace("p_name", F.lit(" "), F.lit(" , "))), "|").alias("parts")),
+    "selection_toggle": lambda s, d: views.table(s, d, "nation").select("n_nationkey", F.array_join(selection.toggled(F.array(F.lit(1), F.lit(2), F.lit(3)), F.col("n_nationkey")), ",").alias("chosen")),
+    "selection_tally": lambda s, d: selection.tally(views.table(s, d, "customer").withColumnRenamed("c_nationkey", "k"), views.table(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("k")), "k"),
     "title_near_dup_pairs": lambda s, d: dedup.near_pairs(dedup.first_seen(views.entries(s, d).withColumn("title", F.lower("title")), "title").select(F.col("entry_ord").alias("id"), "title")),
     "title_fuzzy_dedup": lambda s, d: dedup.fuzzy_first(views.entries(s, d)).select("entry_ord", "title"),
     "search_news": lambda s, d: search.search_news(_raw_entries(s, d), _pages(s, d), views.KEYWORDS, 30, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")),
@@ -151,5 +156,10 @@ ORACLES = {
     "feed_health": f"WITH {_ENTRIES} SELECT feed_ord, count(*) AS entries, CAST(0 AS BIGINT) AS malformed FROM ent GROUP BY 1",
     "top3_per_feed": f"WITH {_ENTRIES} SELECT feed_ord, entry_ord, CAST(row_number() OVER (PARTITION BY feed_ord ORDER BY entry_ord) AS INT) AS nth FROM ent QUALIFY nth <= 3",
     "trend_vs_prev_day": f"WITH {_CASE_ROWS}, {_TREND.format(30)} SELECT date, cases, cases - lag(cases) OVER (ORDER BY date) AS change FROM trend",
+    "row_numbers": "SELECT o_orderkey, o_orderdate, 100 + row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders",
+    "display_columns": f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '{display.TRUSTED}' ELSE '{display.MANUAL}' END AS badge, format('{{:,}}', o_orderkey) AS grouped, day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) AS day FROM orders",
+    "list_parts": "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM part",
+    "selection_toggle": "SELECT n_nationkey, CASE WHEN n_nationkey IN (1, 2, 3) THEN array_to_string(list_filter([1, 2, 3], lambda x: x <> n_nationkey), ',') ELSE '1,2,3,' || n_nationkey END AS chosen FROM nation",
+    "selection_tally": "SELECT count(*) AS found, count(*) FILTER (WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) AS chosen FROM customer",
     "trend_spikes": f"WITH {_CASE_ROWS}, {_TREND.format(30)} SELECT date, cases, coalesce(cases >= 2 * avg(cases) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), false) AS is_spike FROM trend",
 }

@@ -11,10 +11,10 @@ from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsweave.operators.dedup import ORDER, not_stored
+from newsweave.operators.numbering import numbered
 from newsweave.operators.scan import approve, cases, saved
 from newsweave.schemas import TABLES
 
@@ -52,13 +52,9 @@ class Store:
         rows.write.parquet(f"{self.root}/{table}/{number:010d}-{'all' if replace else 'add'}")
 
     def _numbered(self, table: str, rows: DataFrame, *order: Column) -> DataFrame:
-        """Rows with the next ids, in order: ranks within hash-free ranges of the order, so no task holds all rows."""
+        """Rows with the next ids, in order."""
         last = self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        placed = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-        sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
-        base = sizes.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-        nth = F.row_number().over(W.partitionBy("_part").orderBy("_at"))
-        return placed.withColumn("_nth", nth).join(F.broadcast(base), "_part").withColumn("id", (F.col("_base") + F.col("_nth") + F.lit(last)).cast("long")).drop("_part", "_at", "_nth", "_base")
+        return numbered(rows, "id", *order, after=last)
 
     def create(self) -> None:
         """Empty tables where there are none."""

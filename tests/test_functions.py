@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsweave.functions import dates, html, text, urls
+from newsweave.functions import dates, display, html, text, urls
+from newsweave.operators import numbering, selection
 
 NOW = datetime(2024, 3, 5, 12)
 
@@ -128,3 +129,27 @@ LONG = "This paragraph has rather more than ten words in it, surely. Second one!
 )
 def test_describe(page, expected):
     assert html.describe(page) == expected
+
+
+def test_display(spark):
+    assert one(spark, " a,  b ,,c", display.listed) == ["a", "b", "c"]
+    assert one(spark, None, display.listed) == []
+    assert one(spark, None, display.badge, "boolean") == display.MANUAL
+    assert one(spark, 1234567, display.grouped, "long") == "1,234,567"
+    assert one(spark, NOW, lambda c: display.as_json(F.struct(c.alias("at"))), "timestamp_ntz") == '{"at":"2024-03-05 12:00:00 UTC"}'
+    assert one(spark, NOW, display.local_date, "timestamp_ntz") == "5/3/2024"
+
+
+def test_selection(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, link string")
+    chosen = spark.createDataFrame([("a",), ("a",), ("z",)], "link string")
+    assert [r.id for r in selection.picked(rows, chosen).collect()] == [1]
+    assert sorted(r.id for r in selection.without(rows, 2).collect()) == [1, 3]
+    assert tuple(selection.tally(rows, chosen).first()) == (3, 1)
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 as v").repartition(7)
+    got = numbering.numbered(rows, "n", F.desc("v"), after=5).collect()
+    assert {r.v: r.n for r in got} == {v: 1005 - v for v in range(1000)}
+    assert numbering.numbered(rows.limit(0), "n", F.desc("v")).count() == 0
