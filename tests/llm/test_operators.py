@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from newsweave.llm import decontaminate, lm_scoring, mixing, near_dup, pii, quality, suffix_dedup, token_counts, token_output, toxicity
 from newsweave.llm.components import components
@@ -362,6 +361,33 @@ def test_pipeline(spark, tmp_path, docs, labels):
     ids = [r.doc_id for r in now.select("doc_id").collect()]
     assert 20 not in ids
     assert not {200, 201} & set(ids)
+    # each stage against the definition, on what it was given
+    read = lambda name: spark.read.parquet(f"{sf}/{name}")
+    toxic = {(r.doc_id, r.text) for r in read("documents.parquet").collect()} - {(r.doc_id, r.text) for r in read("toxicity").collect()}
+    model = toxicity.fit(read("documents.parquet"), labels, None)
+    scored = read("documents.parquet").select("doc_id", "text").mapInArrow(toxicity.score_texts(model), "doc_id long, score double")
+    assert bag(i for i, _ in toxic) == bag({r.doc_id for r in scored.filter("score >= 0.7").collect()})
+    given = {(r.doc_id, r.text or "") for r in read("toxicity").collect()}
+    sets = {i: shingle_set(t) for i, t in given if i is not None}
+    alike = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    stay, left = set(), set(sets)
+    while left:  # one component after another
+        group, open_ = set(), [min(left)]
+        while open_:
+            x = open_.pop()
+            if x not in group:
+                group.add(x)
+                open_ += [y for y in left - group if alike(x, y)]
+        stay.add(min(group))
+        left -= group
+    assert {r.doc_id for r in read("near_duplicates").filter("doc_id is not null").collect()} == stay
+    after = Counter(r.doc_id for r in read("decontamination").collect())
+    assert set(after) == {r.doc_id for r in read("near_duplicates").collect()} - {20}
+    mixed = Counter({i: 0 for i in after})
+    for r in mixing.copies(read("decontamination")).collect():
+        mixed[r.doc_id] += r.copies
+    assert {i: n for i, n in mixed.items() if n} == dict(Counter(ids))
     last = corpus_pipeline.run(spark, sf)
     assert bag(r.doc_id for r in last.collect()) == bag(ids)
-    assert last.agg(F.sum("n_tokens")).first()[0] > 0
+    rows = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in last.collect()}
+    assert rows == {(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_output.token_table(now).collect()}
