@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from newsweave import cli
 from newsweave.operators import scan, stats
 from newsweave.schemas import ENTRY
 from newsweave.sources import feeds
@@ -87,3 +88,13 @@ def test_feed(spark, tmp_path):
     assert (health.entries, health.malformed) == (2, 0)
     routed = scan.route(feeds.read_feeds(spark, [str(path)]), ["sởi"], ["a.vn"], None, as_of()).collect()
     assert [(r.link, r.case_count, r.route) for r in routed] == [("https://a.vn/1", 2, "saved")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "feed.xml").write_text(RSS)
+    body = "<p>Một đoạn văn dài hơn mười từ để được chọn làm tóm tắt của trang này."
+    spark.createDataFrame([("https://a.vn/1", body), ("https://a.vn/2", body)], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    chosen = cli.options(["--keywords", "sởi, ,x1", "--days", "5", "--feeds", str(tmp_path / "feed.xml"), "--pages", str(tmp_path / "pages"), "--as-of", "2024-03-05T12:00:00"])
+    assert chosen.keywords == ["sởi", "x1"]
+    assert cli.run(spark, chosen) == 1
+    assert capsys.readouterr().out.startswith("1. Sởi\n2024-03-05 03:00\nhttps://a.vn/1\n")
