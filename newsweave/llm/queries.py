@@ -29,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_systematic_mix": mixing.ORACLE_SQL,
+    "op6_circulant_minhash": near_dup.ORACLE_SQL,
 }
