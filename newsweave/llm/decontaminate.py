@@ -2,7 +2,7 @@
 
 Texts become template words: ASCII punctuation around a word is dropped, words without a letter but with a digit
 are numbers, words that begin with a capital followed by a small letter are names, a listed set are units, all
-others are themselves in small letters. Windows of `WINDOW` template words (a shorter item: all of its words)
+others are themselves in small letters (A-Z and accented Latin ones). Windows of `WINDOW` template words (a shorter item: all of its words)
 with at least `LITERALS` plain words are fingerprinted and hash-joined with the documents' windows. On each
 diagonal of a document and an item, slots must map one to one (an item's name or number always meets the same
 one in the document); `LEAST` consistent windows, or all of a short item's, make a hit. Equal slots are a
@@ -46,12 +46,20 @@ def _unit_hashes() -> np.ndarray:
 _SLOT = {k: mix(np.array([k], np.uint64))[0] for k in (1, 2, 3)}
 
 
+def _small(data: np.ndarray) -> np.ndarray:
+    """Accented Latin capitals (two bytes from C3 80 on) made small; A-Z are folded by the fingerprints."""
+    out, second = data.copy(), data[1:]
+    at = np.flatnonzero((data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)) + 1
+    out[at] += 0x20
+    return out
+
+
 class Template:
     """Template words of a chunk: doc, hash, slot (0: plain), start, end."""
 
     def __init__(self, batch: pa.RecordBatch):
-        words = Words(*buffers(text_column(batch)))
-        data = words.data
+        data, offs = buffers(text_column(batch))
+        words = Words(_small(data), offs)
         solid = np.concatenate([[0], np.cumsum(~_PUNCT[data])])
         keep = solid[words.end] > solid[words.start]
         start, end, doc = words.start[keep], words.end[keep], words.doc[keep]

@@ -271,6 +271,9 @@ def test_leaks(spark, docs, empty):
     assert {r.doc_id for r in decontaminate.drop_leaks(own, bench).collect()} == {3, 4, 5}
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     assert (20, None) in found
+    loud = frame(spark, [(1, "!! " + " ".join(w + "!!" for w in "été à la plage où les élèves jouent près du port après midi".upper().split()))])
+    quiet = spark.createDataFrame([(1, "été à la plage où les élèves jouent près du port après midi")], "item_id long, text string")
+    assert decontaminate.leaks(loud, quiet).count() == 1
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
