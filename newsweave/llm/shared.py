@@ -31,11 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have a written path deleted when the session ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back (columnar, so later reads can prune)."""
+    """Write a frame as Parquet in the shared folder for the session and read it back (columnar, so later reads can prune)."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

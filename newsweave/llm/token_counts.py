@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import chunks, text_column
-from .shared import shared_path
+from .shared import shared_path, until_exit
 from .shared import store as _files
 from .tokens import encoder, with_end
 
@@ -112,4 +112,6 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_path(spark, "flat-ids")
     keys = write_flat(docs, folder, tokenizer)
+    for path in (folder, f"{folder}-keys"):
+        until_exit(spark, path)
     return keys.join(scan_flat(spark, folder), ["file", "nth"]).select("doc_id", "n_tokens")

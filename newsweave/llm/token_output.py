@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .arrays import chunks, text_column
-from .shared import shared_path
+from .shared import shared_path, until_exit
 from .tokens import encoder, with_end
 
 END = 2
@@ -131,7 +131,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """Write the token file in the shared folder and report its documents."""
+    """Write the token file in the shared folder, for the session, and report its documents."""
     path = shared_path(docs.sparkSession, "token-file")
     write_tokens(docs, path, tokenizer, end)
+    until_exit(docs.sparkSession, path)
     return read_tokens(docs.sparkSession, path)
