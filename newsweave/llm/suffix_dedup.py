@@ -184,9 +184,9 @@ def _open_ends(parts: int):
             closes[ends] |= finals & ~follows[ends]
             inner = begins & closes
             stop = np.where(follows, np.append(first[1:], 0), first + span) + LENGTH
-            rows.append((-1 - chunk, chunk, pack(first[inner], stop[inner], np.flatnonzero(common > 0), common[common > 0])))
             maybe = np.flatnonzero(common == 1)
             group, of = np.unique(own[maybe], return_inverse=True)
+            rows.append((-1 - chunk, chunk, pack(first[inner], stop[inner], np.flatnonzero(common > 0), common[common > 0], of)))
             rows += _by_range(chunk, parts, group, np.bincount(of, ~inner[maybe], len(group)) > 0)
         return _table(rows)
 
@@ -307,13 +307,11 @@ def _suffix_runs(parts: int, borders: list[int]):
             chunk = value(left, "chunk", i)
             data, lens = (unpack(value(left, c, i))[0] for c in ("text", "lengths"))
             anchor, back, span, _ = (x.astype(np.int64) for x in unpack(value(left, "places", i)))
-            own = unpack(value(left, "keys", i))[2].astype(np.uint64)
             status = [x for p, _, x in _payloads(right) if p < 0]
             if not status:
                 continue
-            begin, stop, which, level = (x.astype(np.int64) for x in unpack(status[0]))
+            begin, stop, which, level, of = (x.astype(np.int64) for x in unpack(status[0]))
             maybe = which[level == 1]
-            _, of = np.unique(own[maybe], return_inverse=True)
             pick = maybe[_joined(right)[of] > 0] if len(maybe) else maybe
             offs = np.concatenate([[0], np.cumsum(lens.astype(np.int64))])
             doc = np.searchsorted(offs, anchor[pick], "right") - 1
@@ -461,6 +459,6 @@ def remove_repeats(docs: DataFrame, most_grouped: int = MOST_GROUPED) -> DataFra
     counted = rows.select("chunk", "keys").mapInArrow(_sent_keys(parts), PART).groupBy("part").applyInArrow(_repeated(most_grouped), PART)
     ends = rows.select("chunk", "places", "keys").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_open_ends(parts), PART)
     wanted = ends.groupBy("part").applyInArrow(_wanted, PART)
-    runs = rows.select("chunk", "lengths", "text", "places", "keys").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_suffix_runs(parts, borders), PART)
+    runs = rows.select("chunk", "lengths", "text", "places").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_suffix_runs(parts, borders), PART)
     ranges = runs.groupBy("part").applyInArrow(_merged(parts), PART)
     return rows.select("chunk", "doc_ids", "lengths", "text").groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_removed, RESULT)
