@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.constants import LOCATION, TAG_ALERT, TAG_NEW
@@ -27,11 +27,11 @@ def _flagship(s: SparkSession, d: str) -> DataFrame:
     return _routed(s, d).select(*SCAN_COLUMNS, "summary")
 
 
-def _case_texts(s: SparkSession, d: str) -> DataFrame:
+def _case_texts(s: SparkSession, d: str, rest: Column) -> DataFrame:
     docs = views.table(s, d, "documents")
     n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 4
     made = F.when(k == 0, F.concat(F.lit("Ghi nhận "), n, F.lit(" ca, "))).when(k == 1, F.concat(F.lit("phát hiện 3 ca và "), n, F.lit(" ca mắc "))).when(k == 2, F.concat(n, F.lit(".500 TRƯỜNG HỢP "))).otherwise(F.lit(""))
-    return docs.select("doc_id", F.concat(made, F.substring("text", 1, 40)).alias("t"))
+    return docs.select("doc_id", F.concat(made, rest).alias("t"))
 
 
 def _raw_entries(s: SparkSession, d: str) -> DataFrame:
@@ -53,8 +53,14 @@ QUERIES = {
     "keyword_exclusion": lambda s, d: views.table(s, d, "documents").filter(~text.is_excluded(F.substring("text", 1, 80), views.EXCLUDED)).select("doc_id"),
     "keyword_explode_counts": lambda s, d: views.table(s, d, "documents").select(F.explode(text.matched(F.substring("text", 1, 80), views.KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")),
     "tag_new_alert": lambda s, d: views.entries(s, d).select("entry_ord", text.tags(F.col("title"), F.col("published"), F.col("as_of"), views.ALERTS).alias("tags")),
-    "case_count_extract": lambda s, d: _case_texts(s, d).select("doc_id", text.case_count(F.col("t")).alias("cases")),
+    "case_count_extract": lambda s, d: _case_texts(s, d, F.substring("text", 1, 40)).select("doc_id", text.case_count(F.col("t")).alias("cases")),
     "primary_disease": lambda s, d: views.table(s, d, "documents").select("doc_id", text.primary_disease(text.match_keywords(F.substring("text", 1, 80), views.KEYWORDS, views.EXCLUDED)).alias("disease")),
+    # the same over whole texts; the five above read a text's beginning as a title, as their SQL does
+    "keyword_match_whole": lambda s, d: views.table(s, d, "documents").select("doc_id", F.array_join(text.matched(F.col("text"), views.KEYWORDS), ", ").alias("matched")),
+    "keyword_exclusion_whole": lambda s, d: views.table(s, d, "documents").filter(~text.is_excluded(F.col("text"), views.EXCLUDED)).select("doc_id"),
+    "keyword_explode_counts_whole": lambda s, d: views.table(s, d, "documents").select(F.explode(text.matched(F.col("text"), views.KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")),
+    "primary_disease_whole": lambda s, d: views.table(s, d, "documents").select("doc_id", text.primary_disease(text.match_keywords(F.col("text"), views.KEYWORDS, views.EXCLUDED)).alias("disease")),
+    "case_count_extract_whole": lambda s, d: _case_texts(s, d, F.col("text")).select("doc_id", text.case_count(F.col("t")).alias("cases")),
     "summary_truncate": lambda s, d: views.table(s, d, "documents").select("doc_id", text.truncated(F.col("text")).alias("summary")),
     "source_domain": lambda s, d: views.table(s, d, "pages").select("page_id", urls.domain(F.col("url")).alias("source")),
     "trim_url": lambda s, d: views.table(s, d, "pages").select("page_id", urls.trim_url(F.col("url")).alias("trimmed")),
@@ -134,6 +140,12 @@ ORACLES = {
     "case_count_extract": f"""SELECT doc_id, {_CASES.format("t")} AS cases FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ghi nhận ' || n_chars || ' ca, ' WHEN 1 THEN 'phát hiện 3 ca và ' || n_chars || ' ca mắc '
   WHEN 2 THEN n_chars || '.500 TRƯỜNG HỢP ' ELSE '' END || substr(text, 1, 40) AS t FROM documents)""",
     "primary_disease": f"SELECT doc_id, CASE WHEN NOT ({_EXCLUDED.format(_T80)}) THEN nullif(split_part({_MATCHED.format(_T80)}, ', ', 1), '') END AS disease FROM documents",
+    "keyword_match_whole": f"SELECT doc_id, {_MATCHED.format('text')} AS matched FROM documents",
+    "keyword_exclusion_whole": f"SELECT doc_id FROM documents WHERE NOT ({_EXCLUDED.format('text')})",
+    "keyword_explode_counts_whole": f"SELECT keyword, count(*) AS n FROM (SELECT unnest(list_filter({_list(views.KEYWORDS)}, lambda k: contains(lower(text), k))) AS keyword FROM documents) GROUP BY 1",
+    "primary_disease_whole": f"SELECT doc_id, CASE WHEN NOT ({_EXCLUDED.format('text')}) THEN nullif(split_part({_MATCHED.format('text')}, ', ', 1), '') END AS disease FROM documents",
+    "case_count_extract_whole": f"""SELECT doc_id, {_CASES.format("t")} AS cases FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ghi nhận ' || n_chars || ' ca, ' WHEN 1 THEN 'phát hiện 3 ca và ' || n_chars || ' ca mắc '
+  WHEN 2 THEN n_chars || '.500 TRƯỜNG HỢP ' ELSE '' END || text AS t FROM documents)""",
     "summary_truncate": f"SELECT doc_id, {_TRUNCATED.format('text')} AS summary FROM documents",
     "source_domain": f"SELECT page_id, {_DOMAIN.format('url')} AS source FROM pages",
     "trim_url": r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', '') AS trimmed FROM pages",
