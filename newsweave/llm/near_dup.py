@@ -3,7 +3,8 @@
 One permutation scatters the shingle fingerprints over 32-bit places, a second one, circularly shifted by the
 coordinate's number, orders them: coordinate k of a signature is the least value of the second permutation at
 place + k * stride (modulo the domain). `ROWS` coordinates make a band, `BANDS` bands a signature: a pair at
-the threshold 0.85 shares no band with probability (1 - 0.85**5)**28, about 1e-7.
+the threshold 0.85 shares no band with probability (1 - 0.85**5)**28, about 1e-7; at 0.8, the pipeline's threshold,
+with (1 - 0.8**5)**28, about 1.5e-5.
 
 Rows with equal shingle sets form one class first (a pre-aggregated group), so copies never meet in pairs. Classes
 that share a band bucket are compared with the bucket's most connected class on full shingle sets. Only where
