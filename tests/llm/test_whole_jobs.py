@@ -20,3 +20,28 @@ def test_pipeline_takes_near_copies_from_four_fifths(spark):
         far[i] = "other"
     docs = frame(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+LONG = " ".join(f"{'Anna' if i in (10, 100, 190) else 'plain' + chr(97 + i % 26) + chr(97 + i // 26)}" for i in range(200))
+
+
+def found(spark, docs, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+
+
+@pytest.mark.parametrize("nth", [0, 1, 2])
+def test_one_changed_name_does_not_hide_a_copy(spark, nth):
+    words = LONG.split(" ")
+    words[(10, 100, 190)[nth]] = "Anne"
+    assert found(spark, [(1, " ".join(words))], [LONG]) == {(1, 0): True}
+
+
+@pytest.mark.parametrize("tried", range(30))
+def test_longest_stretch(tried):
+    import random
+
+    own = random.Random(tried)
+    rows = [{(own.choice("ab"), own.choice("xy")) for _ in range(own.randint(0, 2))} for _ in range(12)]
+    fits = lambda part: len({x for x, _ in set().union(*part)}) == len(set().union(*part))
+    assert decontaminate.longest(rows) == max(j - i for i in range(12) for j in range(i, 13) if i == j or fits(rows[i:j]))
