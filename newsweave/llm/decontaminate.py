@@ -118,9 +118,9 @@ def _rows(template: Template, ids: pa.Array, found: list[tuple[int, bool, np.nda
 def _item_windows(batches):
     for batch in chunks(batches):
         t = Template(batch)
-        found = [(WINDOW, exact, *t.windows(WINDOW, exact)) for exact in (False,)]
-        for size in range(SHORTEST, WINDOW):
-            for exact in (False,):
+        found = [(WINDOW, exact, *t.windows(WINDOW, exact)) for exact in (False, True)]
+        for size in range(1, WINDOW):
+            for exact in (False, True) if size >= SHORTEST else (True,):
                 at, h = t.windows(size, exact)
                 whole = np.diff(t.cut)[t.doc[at]] == size
                 found.append((size, exact, at[whole], h[whole]))

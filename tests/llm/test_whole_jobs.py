@@ -37,6 +37,12 @@ def test_one_changed_name_does_not_hide_a_copy(spark, nth):
     assert found(spark, [(1, " ".join(words))], [LONG]) == {(1, 0): True}
 
 
+def test_items_without_plain_words_and_case_changed_copies(spark):
+    items = ["What is 345 times 27 minus 18", "Oslo Bergen", "Anna Keller met Mary Jones of Oslo and Peter Smith from Bergen in Rome", "11 12 13 14 15 16 17 18 19 20 21"]
+    docs = [(k, f"so {t} it goes") for k, t in enumerate(items)] + [(10 + k, f"so {t.upper()} it goes") for k, t in enumerate(items)] + [(20, items[2].lower()), (30, "What is 346 times 27 minus 18")]
+    assert found(spark, docs, items) == {(a, k): True for k in range(4) for a in (k, 10 + k)} | {(20, 2): True}
+
+
 @pytest.mark.parametrize("tried", range(30))
 def test_longest_stretch(tried):
     import random
