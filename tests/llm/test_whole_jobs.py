@@ -2,7 +2,7 @@
 
 import pytest
 
-from newsweave.llm import decontaminate, pii
+from newsweave.llm import decontaminate
 
 
 def frame(spark, texts):
@@ -51,3 +51,9 @@ def test_longest_stretch(tried):
     rows = [{(own.choice("ab"), own.choice("xy")) for _ in range(own.randint(0, 2))} for _ in range(12)]
     fits = lambda part: len({x for x, _ in set().union(*part)}) == len(set().union(*part))
     assert decontaminate.longest(rows) == max(j - i for i in range(12) for j in range(i, 13) if i == j or fits(rows[i:j]))
+
+
+def test_only_the_rows_with_a_passage_go(spark):
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    docs = frame(spark, [(None, LONG), (None, "clean"), (None, None), (7, LONG), (7, "clean"), (8, "clean")])
+    assert sorted(map(str, decontaminate.drop_leaks(docs, bench).collect())) == sorted(map(str, frame(spark, [(None, "clean"), (None, None), (7, "clean"), (8, "clean")]).collect()))
