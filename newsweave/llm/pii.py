@@ -5,8 +5,9 @@ from the lengths of what `split` leaves between the matches, in code points. The
 possessively and anchored behind their own run, which changes no match and keeps very long runs linear.
 
 The method then learns from the base spans as seeds. The two words before a seed are a lexical pattern; a pattern
-and every identifier-like word (a digit or an at sign, six characters or more) that follows the same two words
-anywhere are linked. `ROUNDS` times a pattern's confidence becomes the mean score of its instances (seeds of its
+and every identifier-like word (with a digit or an at sign, of any length) or run of digit groups (joined by blanks, dots, hyphens
+or brackets) that follows the same two words anywhere are linked; patterns of cards and phones take a run whole, those of the
+other kinds take its words. `ROUNDS` times a pattern's confidence becomes the mean score of its instances (seeds of its
 kind score 1) and an instance's score the noisy-or of its patterns. Patterns with `SEEDS` different seeds
 and a confidence of `SURE` or more are trusted; their unseen instances are added as spans of the pattern's kind.
 
@@ -34,7 +35,12 @@ PATTERNS = {
 #: a literal without which a kind cannot occur
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S{6,}+"
+CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+_GROUP = r"(?:\([0-9]++\)|[0-9]++)(?![\p{L}\p{N}@])"
+GROUPED = rf"(?<!\S){_GROUP}(?:[\x20.-]{{0,3}}+{_GROUP})++"
+#: what a candidate is, in its span's kind: a word, a word within a run of groups, a run
+WORD, INNER, RUN = -1, -2, -3
+GROUPED_KINDS = (2, 3)  # card, phone
 ROUNDS, SEEDS, SURE = 3, 3, 0.8
 REACH = 48  # characters before a span in which its two words are looked for
 
@@ -111,9 +117,12 @@ def _with_left(text: Column, spans: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Identifier-like words that touch no base span, without the punctuation around them."""
+    """Identifier-like words, without the punctuation around them, and runs of digit groups that touch no base span."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    spans = _spans(text, found, F.split(text, CANDIDATE, -1), -1)
+    spans = _spans(text, found, F.split(text, CANDIDATE, -1), WORD)
+    grouped = F.regexp_extract_all(text, F.lit(GROUPED), F.lit(0))
+    runs = F.when(F.size(grouped) > 0, _spans(text, grouped, F.split(text, GROUPED, -1), RUN)).otherwise(F.array().cast(SPAN))
+    meets = lambda s, others: F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     def trim(s: Column) -> Column:
         bare = F.regexp_replace(s["value"], r"^[^\p{L}\p{N}@+]++", "")
@@ -121,26 +130,44 @@ def candidates(text: Column, base: Column) -> Column:
         core = F.regexp_extract(bare, r"^(.*[\p{L}\p{N}])", 1)
         return F.struct((s["start"] + lead).alias("start"), s["kind"].alias("kind"), (s["start"] + lead + F.length(core)).alias("end"), core.alias("value"), s["left"].alias("left"))
 
-    trimmed = F.transform(spans, trim)
-    free = F.filter(trimmed, lambda s: (F.length(s["value"]) >= 6) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(F.size(found) > 0, free).otherwise(F.array().cast(SPAN))
+    def placed(s: Column, whole: Column) -> Column:
+        kind = F.when(meets(s, whole), F.lit(INNER)).otherwise(s["kind"])
+        return F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"))
+
+    free = lambda all_: F.filter(all_, lambda s: (F.length(s["value"]) > 0) & ~meets(s, base))
+    whole = free(runs)
+    words = F.transform(free(F.transform(spans, trim)), lambda s: placed(s, whole))
+    return F.when(F.size(found) > 0, F.concat(words, whole)).otherwise(F.array().cast(SPAN))
+
+
+def _grouped(kind: Column) -> Column:
+    """Whether a pattern of this kind takes runs of digit groups whole."""
+    return kind.isin(*GROUPED_KINDS)
+
+
+def _forms(form: Column) -> Column:
+    """The values of `_grouped` whose patterns a candidate of this form can follow."""
+    return F.when(form == RUN, F.array(F.lit(True))).when(form == INNER, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
 
 
 def _bootstrap(rows: DataFrame) -> DataFrame:
     """left, kind of the trusted patterns."""
     seeds = rows.select(F.explode("base").alias("s")).select("s.left", "s.kind", F.lower("s.value").alias("value")).filter("left is not null").distinct()
-    loose = rows.select(F.explode("loose").alias("s")).select("s.left", F.lower("s.value").alias("value")).filter("left is not null")
+    loose = rows.select(F.explode("loose").alias("s")).select("s.left", F.lower("s.value").alias("value"), F.col("s.kind").alias("form")).filter("left is not null")
     heads = seeds.groupBy("left").agg(F.countDistinct("kind", "value").alias("known")).filter(F.col("known") >= SEEDS)
-    edges = seeds.select("left", "value").union(loose).join(heads.select("left"), "left", "left_semi").distinct()
+    # a seed stands beside the candidates of both forms
+    known = seeds.select("left", "value", F.explode(F.array(F.lit(True), F.lit(False))).alias("grouped"))
+    unseen = loose.select("left", "value", F.explode(_forms(F.col("form"))).alias("grouped"))
+    edges = known.union(unseen).join(heads.select("left"), "left", "left_semi").distinct()
     edges = cut(edges)
-    of = edges.groupBy("left").agg(F.count("*").alias("of"))
+    of = edges.groupBy("left", "grouped").agg(F.count("*").alias("of"))
     fixed = seeds.select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     support = seeds.groupBy("left", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= SEEDS)
     scores, patterns = fixed, None
     for _ in range(ROUNDS):
-        total = edges.join(scores, "value").groupBy("left", "kind").agg(F.sum("score").alias("sum"))
-        patterns = cut(total.join(of, "left").join(support, ["left", "kind"]).select("left", "kind", (F.col("sum") / F.col("of")).alias("conf")))
-        reached = edges.join(patterns, "left").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
+        total = edges.join(scores.withColumn("grouped", _grouped(F.col("kind"))), ["value", "grouped"]).groupBy("left", "kind", "grouped").agg(F.sum("score").alias("sum"))
+        patterns = cut(total.join(of, ["left", "grouped"]).join(support, ["left", "kind"]).select("left", "kind", "grouped", (F.col("sum") / F.col("of")).alias("conf")))
+        reached = edges.join(patterns, ["left", "grouped"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
         reached = reached.join(fixed.select("value", "kind"), ["value", "kind"], "left_anti")
         scores = cut(fixed.unionByName(reached))
     best = patterns.filter(F.col("conf") >= SURE).groupBy("left").agg(F.max(F.struct("conf", -F.col("kind"))).alias("m"), F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"))
@@ -158,7 +185,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = base_spans(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", _with_left(text, F.col("base")).alias("base"), _with_left(text, candidates(text, F.col("base"))).alias("loose"))
     rows = stored(found, "pii-spans")
     trusted = _bootstrap(rows)
-    hits = rows.select("uid", F.explode("loose").alias("s")).join(trusted.withColumnRenamed("kind", "p_kind"), F.col("s.left") == F.col("left"))
+    hits = rows.select("uid", F.explode("loose").alias("s")).join(trusted.withColumnRenamed("kind", "p_kind"), (F.col("s.left") == F.col("left")) & F.array_contains(_forms(F.col("s.kind")), _grouped(F.col("p_kind"))))
     more = hits.select("uid", F.struct(F.col("s.start").alias("start"), F.col("p_kind").alias("kind"), F.col("s.end").alias("end")).alias("x"))
     more = more.groupBy("uid").agg(F.collect_list("x").alias("more"))
     short = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

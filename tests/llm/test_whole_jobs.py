@@ -2,7 +2,7 @@
 
 import pytest
 
-from newsweave.llm import decontaminate
+from newsweave.llm import decontaminate, pii
 
 
 def frame(spark, texts):
@@ -57,3 +57,13 @@ def test_only_the_rows_with_a_passage_go(spark):
     bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
     docs = frame(spark, [(None, LONG), (None, "clean"), (None, None), (7, LONG), (7, "clean"), (8, "clean")])
     assert sorted(map(str, decontaminate.drop_leaks(docs, bench).collect())) == sorted(map(str, frame(spark, [(None, "clean"), (None, None), (7, "clean"), (8, "clean")]).collect()))
+
+
+def test_identifiers_in_groups_and_short_ones(spark):
+    seeds = [f"please call me on +44 20 7946 {1000 + i} today" for i in range(20)] + [f"write to us at user{i}@host{i}.example now" for i in range(20)]
+    numbers = ["(020) 7946 0958", "020 7946 0958", "020 7946-0958", "020.7946.0958", "12345", "020 7946 0958."]
+    texts = seeds + [f"please call me on {n} today" for n in numbers] + ["write to us at a@b now"]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, enumerate(texts))).collect()}
+    for k, n in enumerate(numbers):
+        assert got[40 + k] == f"phone:18:{18 + len(n.rstrip('.'))}"
+    assert got[46] == "email:15:18"
