@@ -9,10 +9,10 @@ with (1 - 0.8**5)**28, about 1.5e-5.
 Rows with equal shingle sets form one class first (a pre-aggregated group), so copies never meet in pairs. Classes
 that share a band bucket are compared with the bucket's most connected class on full shingle sets. Only where
 that leaves a bucket with more than one component are the remaining cross-component pairs formed, between the
-members outside the bucket's largest component and the others, and confirmed the same way. Shingles that no other
-member of such buckets has cannot be shared, which bounds a pair's similarity before it is formed, and a pair of
-many common buckets is formed in the first of them: a large family of ever differently edited copies gives few
-pairs. No bucket is capped.
+members outside the bucket's largest component and the others, and confirmed the same way. Such buckets with the same
+main component are a family; its rows meet block by block within a task, which holds each set once, so what is sent
+grows with rows and blocks, not with pairs. Shingles that no other such row has cannot be shared, which bounds a
+pair's similarity before it is compared. No bucket is capped.
 
 Null and empty texts have no shingles and stand alone; a text of one to four words has its word sequence as the
 only shingle; repeated rows are one class; null doc_id rows take part, component_id is the least doc_id that is
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .arrays import U64, Words, buffers, chunks, mix, shingles, text_column
 from .components import components
-from .shared import cut, stored
+from .shared import cut, fresh, stored
 
 ROWS, BANDS = 5, 28
 STRIDE = 0x9E3779B1
 ID_BITS = 50
+GROUPED, BLOCK_ITEMS = 128, 32_768  # members of a leader, and shingles of a block, that are confirmed together
 SIGNED = "doc_id bigint, n_shingles bigint, class bigint, class_check bigint, bands array<bigint>"
 
 
@@ -106,25 +107,77 @@ def set_rows(batches):
 
 
 def _confirm(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left, right = text_column(batch, "items"), text_column(batch, "items_b")
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                c = np.sort(np.concatenate([a, b]), kind="stable")
-                both = int(np.count_nonzero(c[1:] == c[:-1]))
-                keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([text_column(batch, "a"), text_column(batch, "b")], names=["a", "b"]).filter(pa.array(keep))
+    """The pairs of one group whose sets are alike enough; the group holds each set it needs once."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = dict(zip(sets["node"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in sets["items"])))
+        keep = np.zeros(pairs.num_rows, bool)
+        for i, (x, y) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())):
+            a, b = held[x], held[y]
+            c = np.sort(np.concatenate([a, b]), kind="stable")
+            both = int(np.count_nonzero(c[1:] == c[:-1]))
+            keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike enough."""
-    first = pairs.join(sets.withColumnRenamed("node", "b").withColumnRenamed("items", "items_b"), "b")
-    both = first.join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", "items", "items_b")
-    return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
+    """The pairs (group, a, b) whose full shingle sets are alike enough.
+
+    A set is sent once to each group that needs it, not once for each pair.
+    """
+    ends = pairs.select(F.col("group").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = ends.join(sets, "node").select("to", "node", "items")
+    return pairs.groupBy("group").cogroup(needed.groupBy("to")).applyInArrow(_confirm(percent), "a bigint, b bigint")
+
+
+def _by_leader(star: DataFrame) -> DataFrame:
+    """Pairs of a leader `a` in groups of about `GROUPED` members, whatever its family."""
+    many = cut(star.groupBy("a").agg(F.ceil(F.count("*") / GROUPED).alias("groups")))  # apart, so that the join can split a leader
+    return star.join(many, "a").select(F.xxhash64("a", F.pmod(F.hash("b"), F.col("groups"))).alias("group"), "a", "b")
+
+
+def _alike_across(percent: int):
+    """Links between the two blocks of a group: open rows (side 0) against all rows (side 1) of other components.
+
+    Only rows that share a band and whose bounds allow a link are compared, on their full sets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        node, root, n, shared, is_open = (table[c].to_numpy() for c in ("node", "root", "n_shingles", "shared", "is_open"))
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"]]
+        every, out = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0):
+            both = np.minimum(shared[every], shared[i])
+            fit = (root[every] != root[i]) & ~(is_open[every] & (node[every] < node[i])) & (100 * both >= percent * (n[every] + n[i] - both))
+            for j in every[fit][(bands[every[fit]] == bands[i]).any(1)]:
+                c = np.sort(np.concatenate([items[i], items[j]]), kind="stable")
+                same = int(np.count_nonzero(c[1:] == c[:-1]))
+                if 100 * same >= percent * (n[i] + n[j] - same):
+                    out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within families that the stars left in several components.
+
+    `members`: family, node, root, n_shingles, shared, bands. The rows outside a family's main component meet all of its
+    rows block by block, about `BLOCK_ITEMS` shingles a block; pairs are formed only within a group's task.
+    """
+    own = F.when(F.col("root") != F.col("family"), F.col("n_shingles"))
+    count = cut(members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).alias("all_blocks"), F.ceil(F.coalesce(F.sum(own), F.lit(0)) / BLOCK_ITEMS).alias("open_blocks")))
+    placed = members.join(count, "family").withColumn("is_open", F.col("root") != F.col("family"))
+    mine = lambda blocks: F.pmod(F.hash("node"), F.col(blocks))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    first = placed.filter("is_open").select("*", F.lit(0).alias("side"), mine("open_blocks").alias("i"), each("all_blocks").alias("j"))
+    second = placed.filter("open_blocks > 0").select("*", F.lit(1).alias("side"), each("open_blocks").alias("i"), mine("all_blocks").alias("j")).select(first.columns)
+    met = first.unionByName(second).withColumn("group", F.xxhash64("family", "i", "j")).drop("family", "i", "j", "open_blocks", "all_blocks")
+    return met.join(sets, "node").groupBy("group").applyInArrow(_alike_across(percent), "a bigint, b bigint")
 
 
 def _items(batches):
@@ -166,23 +219,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # one text for each class that shares a bucket: the row of its least key; a key with several texts is told apart by digest
     owner = plain.join(by_doc.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")))
     sets = stored(owner.select("node", "text").mapInArrow(set_rows, "node bigint, items binary").dropDuplicates(["node"]), "near-dup-sets")
-    links = cut(confirmed(star, sets, percent))
+    links = cut(confirmed(_by_leader(star), sets, percent))
     where = components(links)
     placed = cut(members.join(where, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_ = placed.join(split, "band").select("band", "node", "root", "n_shingles", "main")
-    open_ = open_.join(_shared_counts(open_.select("node").distinct(), sets), "node").join(classes.select("node", "bands"), "node")
-    open_ = cut(open_.select("band", "node", "root", "n_shingles", "main", "shared", "bands"))
-    others = open_.filter("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_n"), F.col("shared").alias("a_shared"), F.col("bands").alias("a_bands"))
-    pairs = others.join(open_.withColumnRenamed("node", "b"), "band").filter("root <> a_root").filter("root = main or a < b")
-    pairs = pairs.filter(f"100 * least(shared, a_shared) >= {percent} * (n_shingles + a_n - least(shared, a_shared))")
-    # a pair is formed in the first of its common buckets only
-    pairs = pairs.filter(F.col("band") == F.array_min(F.array_intersect("bands", "a_bands")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = confirmed(pairs, sets, percent)
-    roots = components(links.unionByName(more)) if not pairs.isEmpty() else where
+    open_ = placed.join(split, "band").select(F.col("main").alias("family"), "node", "root", "n_shingles").distinct()
+    open_ = cut(open_.join(_shared_counts(open_.select("node").distinct(), sets), "node").join(classes.select("node", "bands"), "node"))
+    more = cut(_across(open_, sets, percent))
+    roots = where if more.isEmpty() else components(links.unionByName(more))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = named.join(ids, "root").select(F.col("node").alias("class"), "class_check", "component_id")
@@ -196,9 +241,9 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Texts without words and rows without a doc_id all stay; of rows alike in doc_id and text one stays.
     """
-    verdict = near_duplicates(docs, percent)
-    kept = cut(verdict.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("n_id")).agg(F.count("*").alias("rows")))
-    out = docs.join(kept.select("n_id"), F.col("doc_id") == F.col("n_id"), "left_semi")
+    verdict, own = near_duplicates(docs, percent), fresh(docs, "kept_id")
+    kept = cut(verdict.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("rows")))
+    out = docs.join(kept.select(own), F.col("doc_id") == F.col(own), "left_semi")
     if not kept.filter("rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out.unionByName(docs.filter("doc_id is null"))

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is configured."""
+    """The shared checkpoint folder of the session; where none is configured, one in the warehouse, or a temporary one on a single machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_newsweave"  # executors elsewhere do not see a temporary folder
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="newsweave-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -46,6 +48,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written path that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
