@@ -1,15 +1,20 @@
-"""Adaptive context-mixing range coder for token ids below 65,536.
-
-A block codes up to `BLOCK` ids and starts from a fresh model, so blocks are independent; many blocks run side by
-side, one numpy lane each. For every id three predictors speak: an order-2 table (the id that last followed the
-two previous ids), an order-1 table (after the previous id) and order-0 counts. Their adaptive hit probabilities
-are mixed in the logistic domain with weights learnt on the way; the mix codes "the order-2 prediction is right".
-After a miss the order-1 prediction is tried with its own probability, and then the id's upper nine bits go
-out one by one under adaptive order-0 probabilities, a tree of them, the last seven bits evenly. All arithmetic is
-in integers, so machines agree.
-
-Layout of a coded stream (little endian): b"CMRC", u8 version, u32 ids, u32 ids per block, then for each block
-u32 bytes and u32 crc32 of its ids as u32, then the blocks' bytes.
+"""Adaptive context-mixing range coder for token ids.
+
+A block codes up to `BLOCK` ids and starts from a fresh model, so blocks are independent; each has a checksum. Within
+a block the ids are dealt over up to `LANES` lanes (one after the other: each lane is a stretch of the block) that take
+one step side by side in numpy. Every lane has a range coder and a history of its own; the model is shared and learns
+from all lanes after each step, so it knows the whole block so far, not a lane.
+
+Three orders speak for every id. Order 0 is a count of each id of the block. Order 1 (the previous id) and order 2
+(the two previous ids) each hold a context's two leading ids with their trust. The prediction is the weighted sum of the
+three: each of the four leading ids gets a weight, order 0 the rest. The weights are learnt per state (the
+trusts and which of the four agree) from how often each speaker was right. An id is coded in one step of the range
+coder: its interval is its order-0 interval, moved by the weights of leading ids below it and widened by its own.
+All arithmetic is in integers, so machines agree.
+
+Layout of a coded stream (little endian): b"CMRC", u8 version, u32 ids, u32 ids per block, then for each block u32 bytes
+and u32 crc32 of its ids as u32, then the blocks. A block: u32 distinct ids and u32 bytes of their packed differences,
+these, u16 words of each lane, the lanes' words.
 """
 
 from __future__ import annotations
@@ -19,282 +24,310 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 2048
-MAGIC, VERSION = b"CMRC", 2
-_HEAD = struct.Struct("<4sBII")
-_SLOTS = 2048  # of the prediction tables, a power of two
-_TREE, _REST, _ONE = 9, 7, 1 << 12  # bits of an id that the order-0 tree codes, and that go evenly; the unit of probabilities
-_P = 12  # bits of a probability
-_TOP, _LOW = np.uint64(48), np.uint64((1 << 48) - 1)
-_ALL = np.uint64((1 << 64) - 1)
-_SMALL = np.uint64(1 << 41)  # a range this large takes two decisions on predictions or three on bits, and stays positive
-_WORD = np.uint64(16)
-
-_x = np.arange(-2047, 2048)
-_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-_x / 256))), 1, 4095).astype(np.int64)
-#: inverse of the squash: the first logit whose probability reaches p
-_STRETCH = np.searchsorted(_SQUASH, np.arange(4096)).clip(0, 4094).astype(np.int64) - 2047
-#: trust after a miss (first eight) or a hit, by trust before; below two a miss also takes the new id
-_TRUST = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
+from .packed import pack, unpack
+
+BLOCK, LANES, STEPS = 1 << 20, 4096, 128  # STEPS: the least length of a lane, where a block allows
+MAGIC, VERSION = b"CMRC", 3
+_HEAD, _BLOCK_HEAD = struct.Struct("<4sBII"), struct.Struct("<II")
+_MASS, _FINE = 16, 22  # bits of a weight, and of an order-0 probability
+_TOTAL = np.uint64(_MASS + _FINE)
+_TOP, _LOW, _WORD = np.uint64(48), np.uint64((1 << 48) - 1), np.uint64(16)
+_SMALL = np.uint64(1 << 46)  # a range this large takes a step
+_TWO_SLOTS = 19  # bits of an order-2 slot
+_ADD, _MOST = 32, 1 << 26  # what an id adds to its order-0 count, and the sum that halves all
+_LEVEL = np.array([0, 1, 2, 3, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, *[7] * 16])  # of the first id's trust; the second's has two
+_STATES = 16 * 16 * 5
+_TRUSTED = 31
+#: a slot packs trust of the first id (5 bits), of the second (5), a check of its context (14), second and first id (20 each)
+_ID, _CHECK = (1 << 20) - 1, (1 << 14) - 1
+
+
+def _trust_table() -> np.ndarray:
+    """By trust of the first and second id and what came (first, second, neither): new trusts << 2 | change of the ids.
+
+    A hit gains trust; the second passes the first once it has more (1: they change places); another id costs the second
+    trust, takes its place when it has none (3) and the first's where the context is new (2).
+    """
+    out = np.zeros((32, 32, 3), np.int64)
+    for one in range(32):
+        for two in range(32):
+            for came in range(3):
+                a, b, change = one, two, 0
+                if came == 0:
+                    a = min(a + 1, _TRUSTED)
+                elif came == 1:
+                    b = min(b + 2, _TRUSTED)
+                    if b > a:
+                        a, b, change = b, a, 1
+                elif a == 0:
+                    a, b, change = 1, 0, 2
+                elif b == 0:
+                    b, change = 1, 3
+                else:
+                    b -= 1
+                out[one, two, came] = (((a << 5) | b) << 2) | change
+    return out.ravel()
+
+
+_TRUST = _trust_table()
+_LEVELS = (_LEVEL[:, None] * 2 + (np.arange(32) > 1)).ravel()
+_IDS = (1 << 40) - 1
+
+
+class _Slots:
+    """The two leading ids of every context of one order."""
+
+    def __init__(self, n: int):
+        self.packed = np.zeros(n, np.int64)
+
+    def read(self, at: np.ndarray, check: np.ndarray | int) -> None:
+        x = self.packed.take(at)
+        self.at, self.check = at, check
+        x *= ((x >> 40) & _CHECK) == check
+        self.a, self.b = x & _ID, (x >> 20) & _ID
+        self.both, self.trust = x & _IDS, (x >> 54) & 1023
+        self.level = _LEVELS.take(self.trust)
+
+    def learn(self, ids: np.ndarray, is_a: np.ndarray, is_b: np.ndarray) -> None:
+        trusted = self.trust
+        came = 2 - 2 * (is_a & (trusted > 31)) - (is_b & ~is_a & ((trusted & 31) > 0))
+        new = _TRUST.take(trusted * 3 + came)
+        change, both = new & 3, self.both
+        for k in np.flatnonzero(np.bincount(change, minlength=4)[1:]) + 1:
+            who = np.flatnonzero(change == k)
+            a, b = self.a[who], self.b[who]
+            both[who] = (a << 20) | b if k == 1 else (b << 20) | ids[who] if k == 2 else (ids[who] << 20) | a
+        self.packed[self.at] = ((new >> 2) << 54) | (self.check << 40) | both
+
+
+class _Model:
+    """The shared model of a block with `n` distinct ids."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.count = np.ones(n, np.int64)
+        self.one, self.two = _Slots(n + 1), _Slots(1 << _TWO_SLOTS)
+        self.right = np.tile(np.array([30, 8, 8, 4, 14], np.int64), (_STATES, 1))  # of the four leading ids and of order 0
+        self.new: list[np.ndarray] = []
+        self.steps = self.due = 0
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Cumulative tables from the counts so far."""
+        if self.new:
+            self.count += _ADD * np.bincount(np.concatenate(self.new), minlength=self.n)
+            self.new = []
+        total = int(self.count.sum())
+        if total > _MOST:
+            self.count = (self.count + 1) >> 1
+            total = int(self.count.sum())
+        cum = np.concatenate([[0], np.cumsum(self.count)])
+        self.cum = cum * ((1 << _FINE) - self.n) // total + np.arange(self.n + 1)
+        self.size = np.diff(self.cum)
+        every = self.right.sum(1)
+        old = every > 1 << 14
+        if old.any():
+            self.right[old] = (self.right[old] + 1) >> 1
+            every = self.right.sum(1)
+        mass = self.right[:, :4] * ((1 << _MASS) - 64) // every[:, None]
+        self.mass = [np.ascontiguousarray(mass[:, k]) for k in range(4)]
+        self.rest = (1 << _MASS) - mass.sum(1)
+        self.due = self.steps + max(1, min(8, self.steps // 16))
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """The leading ids and weights after `one`, before it `two` (places among the distinct ids, from 1; 0: none)."""
+        if self.steps >= self.due:
+            self._refresh()
+        mixed = (one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFFFF
+        mixed = (mixed ^ (mixed >> 15)) * 0x2C1B3C6D
+        self.one.read(one, 1)
+        self.two.read((mixed >> 20) & ((1 << _TWO_SLOTS) - 1), ((mixed >> 6) & (_CHECK - 1)) + 1)
+        a, b, c, d = self.two.a, self.two.b, self.one.a, self.one.b
+        alike = np.where(a == c, 1 + (b == d), 0) + np.where(a == d, 3, 0) + np.where((b == c) & (a != d), 4, 0)
+        self.state = (self.two.level * 16 + self.one.level) * 5 + alike
+        self.leading = (a, b, c, d)
+        self.weight = [m.take(self.state) for m in self.mass]
+        self.other = self.rest.take(self.state)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id's interval begins and how large it is, of 2**38."""
+        low, size = self.other * self.cum.take(ids), self.other * self.size.take(ids)
+        for x, w in zip(self.leading, self.weight):
+            wide = w << _FINE
+            low += wide * (x < ids)
+            size += wide * (x == ids)
+        return low, size
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold these places."""
+        both = [(x << _MASS) | w for x, w in zip(self.leading, self.weight)]
+        for i, j in ((0, 1), (2, 3), (0, 2), (1, 3), (1, 2)):  # ascending
+            both[i], both[j] = np.minimum(both[i], both[j]), np.maximum(both[i], both[j])
+        rest = at.copy()
+        for x in both:
+            over = rest - self.other * self.cum.take(x >> _MASS)
+            rest -= np.minimum(np.maximum(over, 0), (x & ((1 << _MASS) - 1)) << _FINE)
+        return np.searchsorted(self.cum, rest // self.other, "right") - 1
+
+    def learn(self, ids: np.ndarray) -> None:
+        a, b, c, d = (x == ids for x in self.leading)
+        who = np.where(a, 0, np.where(b, 1, np.where(c, 2, 4 - d)))
+        self.right += np.bincount(self.state * 5 + who, minlength=_STATES * 5).reshape(_STATES, 5)
+        self.two.learn(ids, a, b)
+        self.one.learn(ids, c, d)
+        self.new.append(ids)
+        self.steps += 1
 
 
 class _Lanes:
-    """Model and coder state of some blocks."""
+    """Range coders side by side."""
 
     def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        # id << 3 | trust of the order-2 and order-1 predictions
-        self.guess = [np.zeros(n * _SLOTS, np.uint32) for _ in range(2)]
-        self.count = np.zeros(n * _SLOTS, np.uint8)
-        self.p2 = np.tile(np.array([8, 1400, 2200, 2800, 3200, 3400, 3600, 3700], np.int64), n)
-        self.p1 = self.p2 // 2
-        self.p1b = self.p2 // 2
-        self.p0 = np.tile(np.array([8, 40, 80, 120, 160, 200, 250, 300], np.int64), n)
-        self.w = [np.full(n, w, np.int64) for w in (40000, 16000, 8000)]
-        self.tree = np.full(n << _TREE, _ONE // 2, np.int16)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _ALL)
-
-    def context(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
-        a = len(prev1)
-        base = self.lane[:a] * _SLOTS
-        mixed = prev1 * 40503
-        self.at1 = base + ((mixed >> 3) & (_SLOTS - 1))
-        self.at2 = base + (((mixed + prev2 * 30011 + (prev2 >> 7)) >> 2) & (_SLOTS - 1))
-        g2, g1 = self.guess[0].take(self.at2).astype(np.int64), self.guess[1].take(self.at1).astype(np.int64)
-        self.c2, self.c1, self.t2, self.t1 = g2 >> 3, g1 >> 3, g2 & 7, g1 & 7
-        n0 = np.minimum(self.count.take(base + (self.c2 & (_SLOTS - 1))), 7)
-        eight = self.lane[:a] * 8
-        self.i2, self.i1, self.i0 = eight + self.t2, eight + self.t1, eight + n0
-        self.agree = self.c1 == self.c2
-        self.v2, self.v1, self.v0 = self.p2.take(self.i2), self.p1.take(self.i1), self.p0.take(self.i0)
-        s1 = _STRETCH.take(self.v1)
-        self.s = [_STRETCH.take(self.v2), np.where(self.agree, s1, -s1 >> 1), _STRETCH.take(self.v0)]
-        dot = self.w[0][:a] * self.s[0]
-        dot += self.w[1][:a] * self.s[1]
-        dot += self.w[2][:a] * self.s[2]
-        dot >>= 16
-        self.pa = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        a = len(ids)
-        hits = hit.astype(np.int64)
-        err = ((hits << _P) - self.pa) * 6
-        for w, s in zip(self.w, self.s):
-            w[:a] += (s * err + 8192) >> 14
-        one = hits * 4095
-        self.p2[self.i2] = self.v2 + ((one - self.v2) >> 5)
-        self.p0[self.i0] = self.v0 + ((one - self.v0) >> 5)
-        right = (self.c1 == ids).astype(np.int64)
-        self.p1[self.i1] = self.v1 + ((right * 4095 - self.v1) >> 5)
-        for k, at, now, trust, good in ((0, self.at2, self.c2, self.t2, hits), (1, self.at1, self.c1, self.t1, right)):
-            new = np.where((good == 0) & (trust < 2), ids, now)
-            self.guess[k][at] = (new << 3) | _TRUST.take(good * 8 + trust)
-        at = self.lane[:a] * _SLOTS + (ids & (_SLOTS - 1))
-        self.count[at] = np.minimum(self.count.take(at).astype(np.int16) + 1, 255)
-
-
-def _clip(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.maximum(p, 1), _ONE - 1).astype(np.uint64)
-
-
-def _settle(m, who: np.ndarray | None) -> None:
-    """Shift out settled words, lowering ranges that straddle a boundary, until each range is wide (who: which lanes)."""
-    who = m.lane if who is None else who
-    while True:
-        rng = m.range[who]
-        who = who[rng < _SMALL]
-        if not len(who):
-            return
-        low, rng = m.low[who], m.range[who]
-        open_ = ((low ^ (low + rng - np.uint64(1))) >> _TOP) != 0
-        rng = np.where(open_, (np.uint64(0) - low) & _LOW, rng)
-        m.shift(who, low)
-        m.low[who], m.range[who] = low << _WORD, rng << _WORD
+        self.n, self.low, self.range = n, np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+        self.used = np.zeros(n, np.int64)
+
+    def take(self, low: np.ndarray, size: np.ndarray) -> None:
+        step = self.range >> _TOTAL
+        self.low += step * low.view(np.uint64)
+        self.range = step * size.view(np.uint64)
+        self.settle()
+
+    def settle(self) -> None:
+        """Shift out settled words, lowering ranges that straddle a boundary, until each range is wide."""
+        who = np.flatnonzero(self.range < _SMALL)
+        while len(who):
+            low, rng = self.low[who], self.range[who]
+            open_ = ((low ^ (low + rng - np.uint64(1))) >> _TOP) != 0
+            rng = np.where(open_, (np.uint64(0) - low) & _LOW, rng) << _WORD
+            self.shift(who, low)
+            self.low[who], self.range[who] = low << _WORD, rng
+            who = who[rng < _SMALL]
 
 
 class _Writer(_Lanes):
     def __init__(self, n: int, most: int):
         super().__init__(n)
-        self.out, self.used = np.zeros((n, most + 64), np.uint16), np.zeros(n, np.int64)
+        self.out = np.zeros((n, most + 8), np.uint16)
 
     def shift(self, who: np.ndarray, low: np.ndarray) -> None:
-        if self.used.max() + 8 > self.out.shape[1]:
+        if int(self.used.max()) + 2 > self.out.shape[1]:
             self.out = np.hstack([self.out, np.zeros_like(self.out)])
         self.out[who, self.used[who]] = low >> _TOP
         self.used[who] += 1
 
-    def flush(self) -> list[bytes]:
-        for _ in range(4):
-            self.shift(self.lane, self.low)
-            self.low = self.low << _WORD
-        return [self.out[i, : self.used[i]].tobytes() for i in range(self.n)]
+    def flush(self) -> bytes:
+        # the shortest number within the range: one word where it is wide enough, else more
+        every = np.arange(self.n)
+        top = (self.low + _LOW) & ~_LOW
+        short = (top >= self.low) & (top - self.low < self.range)
+        self.low = np.where(short, top, self.low)
+        self.shift(every, self.low)
+        self.low = self.low << _WORD
+        for _ in range(3):
+            who = every[~short]
+            if len(who):
+                self.shift(who, self.low[who])
+                self.low[who] = self.low[who] << _WORD
+        return self.used.astype("<u2").tobytes() + b"".join(self.out[i, : self.used[i]].astype("<u2").tobytes() for i in range(self.n))
 
 
 class _Reader(_Lanes):
-    def __init__(self, streams: list[bytes]):
-        super().__init__(len(streams))
-        most = max(map(len, streams)) // 2 + 8
-        self.words = np.zeros((len(streams), most), np.uint16)
-        for i, s in enumerate(streams):
-            self.words[i, : len(s) // 2] = np.frombuffer(s, np.uint16)
-        self.code = np.zeros(self.n, np.uint64)
-        for k in range(4):
-            self.code = (self.code << _WORD) | self.words[:, k]
-        self.used = np.full(self.n, 4)
+    def __init__(self, n: int, raw: bytes):
+        super().__init__(n)
+        sizes = np.frombuffer(raw, "<u2", n).astype(np.int64)
+        self.words = np.append(np.frombuffer(raw, "<u2", int(sizes.sum()), 2 * n), np.uint16(0)).astype(np.uint64)
+        self.stop = np.cumsum(sizes)
+        self.used = self.stop - sizes
+        self.code = np.zeros(n, np.uint64)
+        every = np.arange(n)
+        for _ in range(4):
+            self.shift(every, self.low)
 
     def shift(self, who: np.ndarray, low: np.ndarray) -> None:
-        self.code[who] = (self.code[who] << _WORD) | self.words[who, np.minimum(self.used[who], self.words.shape[1] - 1)]
-        self.used[who] += 1
+        at = self.used[who]
+        self.code[who] = (self.code[who] << _WORD) | self.words[np.where(at < self.stop[who], at, -1)]
+        self.used[who] = at + 1
+
+    def place(self) -> np.ndarray:
+        return np.minimum((self.code - self.low) // (self.range >> _TOTAL), np.uint64((1 << (_MASS + _FINE)) - 1)).view(np.int64)
+
+
+def _lanes(n: int) -> int:
+    return max(1, min(LANES, n // STEPS))
 
 
-def _bit(low, rng, p, bit=None, code=None):
-    """One binary decision: the new low and range, and the bit."""
-    split = (rng >> np.uint64(_P)) * p
-    if bit is None:
-        bit = (code - low) < split
-    return np.where(bit, low, low + split), np.where(bit, split, rng - split), bit
-
-
-def _step(m: _Lanes, prev1: np.ndarray, prev2: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code one id in each of the first lanes; decoding when `ids` is None."""
-    a = len(prev1)
-    m.context(prev1, prev2)
-    code = None if ids is not None else m.code[:a]
-    low, rng, hit = _bit(m.low[:a], m.range[:a], m.pa.astype(np.uint64), None if ids is None else ids == m.c2, code)
-    out = m.c2.copy()
-    m.low[:a], m.range[:a] = low, rng
-    second = np.flatnonzero(~hit & ~m.agree)
-    if len(second):
-        i1 = m.i1[second]
-        l2, r2, good = _bit(low[second], rng[second], _clip(m.p1b[i1]), None if ids is None else ids[second] == m.c1[second], None if code is None else code[second])
-        m.low[second], m.range[second] = l2, r2
-        m.p1b[i1] += (good * 4095 - m.p1b[i1]) >> 5
-        out[second] = m.c1[second]
-        rest = ~hit
-        rest[second] = ~good
+def encode_block(ids: np.ndarray) -> bytes:
+    """The coded bytes of one block, at least one id."""
+    if int(ids.max()) <= _ID:
+        names = np.flatnonzero(np.bincount(ids))
+        where = np.zeros(int(names[-1]) + 1, np.int64)
+        where[names] = np.arange(len(names))
+        places = where[ids]
     else:
-        rest = ~hit
-    rest = np.flatnonzero(rest)
-    _settle(m, rest)
-    if len(rest):
-        node, base = np.ones(len(rest), np.int64), rest << _TREE
-        own = None if ids is None else ids[rest]
-        for k in range(_TREE):
-            if k % 3 == 0:
-                if k:
-                    m.low[rest], m.range[rest] = low, rng
-                    _settle(m, rest)
-                low, rng = m.low[rest], m.range[rest]
-                code = None if own is not None else m.code[rest]
-            at = base + node
-            p = m.tree.take(at).astype(np.int64)
-            split = (rng >> np.uint64(_P)) * p.view(np.uint64)
-            bit = (own >> (15 - k)) & 1 if own is not None else ((code - low) < split).astype(np.int64)
-            over = split * (1 - bit).view(np.uint64)
-            low = low + over
-            rng = np.where(bit, split, rng - split)
-            fast = 4 if k < 4 else 3 if k < 8 else 2
-            m.tree[at] = p + ((bit * (_ONE - (1 << fast) + 1) + ((1 << fast) - 1) - p) >> fast)
-            node = node * 2 + bit
-        m.low[rest], m.range[rest] = low, rng
-        _settle(m, rest)
-        low, rng = m.low[rest], m.range[rest]
-        step = rng >> np.uint64(_REST)
-        last = np.minimum((m.code[rest] - low) // step, np.uint64((1 << _REST) - 1)).astype(np.int64) if own is None else own & ((1 << _REST) - 1)
-        m.low[rest], m.range[rest] = low + last.astype(np.uint64) * step, step
-        out[rest] = ((node - (1 << _TREE)) << _REST) + last
-    _settle(m, None if a == m.n else m.lane[:a])
-    m.learn(out, hit)
-    return out
-
-
-def _batches(order: np.ndarray):
-    for at in range(0, len(order), LANES):
-        yield order[at : at + LANES]
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids."""
-    lens = np.array([len(b) for b in blocks])
-    out: list[bytes] = [b""] * len(blocks)
-    for group in _batches(np.argsort(-lens, kind="stable")):
-        most = int(lens[group[0]])
-        ids = np.zeros((most, len(group)), np.uint16)
-        for j, g in enumerate(group):
-            ids[: lens[g], j] = blocks[g]
-        live = (lens[group][None, :] > np.arange(most)[:, None]).sum(1)
-        m = _Writer(len(group), most)
-        one = two = np.zeros(len(group), np.int64)
-        for t in range(most):
-            a = live[t]
-            now = ids[t, :a].astype(np.int64)
-            _step(m, one[:a], two[:a], now)
-            one, two = now, one
-        for g, raw in zip(group, m.flush()):
-            out[g] = raw
-    return out
-
-
-def decode_blocks(streams: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(streams)
-    for group in _batches(np.argsort(-lens, kind="stable")):
-        most = int(lens[group[0]])
-        live = (lens[group][None, :] > np.arange(most)[:, None]).sum(1)
-        m = _Reader([streams[g] for g in group])
-        ids = np.zeros((most, len(group)), np.uint16)
-        one = two = np.zeros(len(group), np.int64)
-        for t in range(most):
-            a = live[t]
-            now = _step(m, one[:a], two[:a], None)
-            ids[t, :a], one, two = now, now, one
-        for j, g in enumerate(group):
-            out[g] = ids[: lens[g], j].astype(np.uint32)
-    return out
-
-
-def _cut(ids: np.ndarray) -> list[np.ndarray]:
-    return [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+        names, places = np.unique(ids, return_inverse=True)
+    lanes = _lanes(len(ids))
+    steps = -(-len(ids) // lanes)
+    places = np.append(places, np.full(lanes * steps - len(ids), places[-1])).reshape(lanes, steps).T  # the last id fills up
+    model, coder = _Model(len(names)), _Writer(lanes, steps)
+    one = two = np.zeros(lanes, np.int64)
+    for now in np.ascontiguousarray(places):
+        model.predict(one, two)
+        coder.take(*model.interval(now))
+        model.learn(now)
+        one, two = now + 1, one
+    packed = pack(np.diff(names.astype(np.int64), prepend=0))
+    return _BLOCK_HEAD.pack(len(names), len(packed)) + packed + coder.flush()
+
+
+def decode_block(raw: bytes, n: int) -> np.ndarray:
+    """The `n` ids of a block."""
+    kinds, size = _BLOCK_HEAD.unpack_from(raw)
+    names = np.cumsum(unpack(raw[_BLOCK_HEAD.size : _BLOCK_HEAD.size + size])[0].astype(np.int64))
+    lanes = _lanes(n)
+    model, coder = _Model(kinds), _Reader(lanes, raw[_BLOCK_HEAD.size + size :])
+    out = np.zeros((-(-n // lanes), lanes), np.int64)
+    one = two = np.zeros(lanes, np.int64)
+    for t in range(len(out)):
+        model.predict(one, two)
+        now = model.find(coder.place())
+        coder.take(*model.interval(now))
+        model.learn(now)
+        out[t] = now
+        one, two = now + 1, one
+    return names[out.T.ravel()[:n]].astype(np.uint32)
+
+
+def _stream(ids: np.ndarray) -> bytes:
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    raw = [encode_block(b) for b in blocks]
+    table = b"".join(struct.pack("<II", len(r), zlib.crc32(b.astype("<u4").tobytes())) for r, b in zip(raw, blocks))
+    return _HEAD.pack(MAGIC, VERSION, len(ids), BLOCK) + table + b"".join(raw)
 
 
 def encode(streams: list[np.ndarray]) -> list[bytes]:
-    """Each array of ids as a coded stream; all their blocks share lanes."""
-    for ids in streams:
-        if len(ids) and int(ids.max()) > 0xFFFF:
-            raise ValueError("ids must be below 65,536")
-    parts = [_cut(ids) for ids in streams]
-    coded = iter(encode_blocks([b for p in parts for b in p]))
-    out = []
-    for ids, blocks in zip(streams, parts):
-        raw = [next(coded) for _ in blocks]
-        table = b"".join(struct.pack("<II", len(r), zlib.crc32(b.astype("<u4").tobytes())) for r, b in zip(raw, blocks))
-        out.append(_HEAD.pack(MAGIC, VERSION, len(ids), BLOCK) + table + b"".join(raw))
-    return out
+    """Each array of ids (below 2**32) as a coded stream."""
+    return [_stream(ids) for ids in streams]
 
 
 def decode(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of each coded stream; a block whose checksum differs raises ValueError."""
-    streams, lens, sums, counts = [], [], [], []
-    for raw in payloads:
-        magic, version, n, size = _HEAD.unpack_from(raw)
-        if magic != MAGIC or version != VERSION:
-            raise ValueError("not a coded id stream")
-        blocks = -(-n // size)
-        table = np.frombuffer(raw, "<u4", 2 * blocks, _HEAD.size).reshape(-1, 2)
-        at = _HEAD.size + 8 * blocks
-        for i, (length, crc) in enumerate(table.tolist()):
-            streams.append(raw[at : at + length])
-            lens.append(min(size, n - i * size))
-            sums.append(crc)
-            at += length
-        counts.append(blocks)
-    got = iter(zip(decode_blocks(streams, np.array(lens, np.int64)), sums)) if streams else iter(())
-    out = []
-    for blocks in counts:
-        own = []
-        for _ in range(blocks):
-            ids, crc = next(got)
-            if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-                raise ValueError("a block's checksum differs")
-            own.append(ids)
-        out.append(np.concatenate(own) if own else np.zeros(0, np.uint32))
-    return out
+    return [_ids(raw) for raw in payloads]
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    magic, version, n, size = _HEAD.unpack_from(raw)
+    if magic != MAGIC or version != VERSION:
+        raise ValueError("not a coded id stream")
+    blocks = -(-n // size)
+    table = np.frombuffer(raw, "<u4", 2 * blocks, _HEAD.size).reshape(-1, 2).tolist()
+    at, out = _HEAD.size + 8 * blocks, [np.zeros(0, np.uint32)]
+    for i, (length, crc) in enumerate(table):
+        try:
+            ids = decode_block(raw[at : at + length], min(size, n - i * size))
+        except (ValueError, IndexError, struct.error, OSError) as e:
+            raise ValueError("a block's checksum differs: it cannot be read") from e
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            raise ValueError("a block's checksum differs")
+        out.append(ids)
+        at += length
+    return np.concatenate(out)

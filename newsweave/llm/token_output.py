@@ -6,8 +6,8 @@ committers write it, so a retried task leaves no half file and any file system w
 ascending doc_id order over parts, segments and lists: one exchange by key range, tokenising and coding follow in the
 same stage. A segment takes whole documents up to `SEGMENT` ids; a longer document has one of its own.
 
-Null text is empty and still gets its end id; a null doc_id comes first; rows with equal doc_id follow each other by
-text; an empty table gives a dataset without rows; further columns are ignored.
+Null text is empty and still gets its end id; a null doc_id comes first; rows with equal doc_id follow each other by the
+first `HEAD` characters of their texts; an empty table gives a dataset without rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from .shared import shared_path, until_exit
 from .tokens import encoder, with_end
 
 END = 2
-SEGMENT = 1 << 18
-HELD = range_coder.BLOCK * range_coder.LANES  # ids that are coded side by side
+HEAD = 32  # characters that order the rows of one doc_id
+SEGMENT = range_coder.BLOCK
 FILE = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_tokens bigint, payload binary"
-READ = "part int, segment int, doc_id bigint, nth bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
+READ = "part int, segment int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def _segments(ids: np.ndarray, lens: np.ndarray) -> list[tuple[int, int]]:
@@ -66,7 +66,7 @@ def _coding(path: str | None, end: int, special_as_text: bool):
             ids.append(flat.astype(np.uint16 if flat.max(initial=0) < 65536 else np.uint32))
             lens.append(per_row)
             held += len(flat)
-            if held >= HELD:
+            if held >= SEGMENT:
                 out = code(part, segment, keys, np.concatenate(ids), np.concatenate(lens))
                 segment += out.num_rows
                 keys, ids, lens, held = [], [], [], 0
@@ -81,40 +81,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     """Write `docs` (doc_id, text) as a token file. `tokenizer`: a path that every machine has."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # a key of many rows is dealt out by the beginning of its texts and, for equal ones, by the place of the row
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "head"]
+    ordered = rows.repartitionByRange(parts, *order, "row").sortWithinPartitions(*order, "text").select("doc_id", "text")
     ordered.mapInArrow(_coding(tokenizer, end, special_as_text), FILE).write.parquet(path)
 
 
 def _reading(batches):
-    def made(rows: list[tuple], payloads: list[bytes]) -> pa.RecordBatch:
-        out = {k: [] for k in ("part", "segment", "doc_id", "nth", "before", "n_tokens", "ids_crc32")}
-        for (part, segment, doc_ids, lengths), ids in zip(rows, range_coder.decode(payloads)):
-            stop = np.concatenate([[0], np.cumsum(lengths)]).astype(int).tolist()
-            if stop[-1] != len(ids):
-                raise ValueError("lengths and ids of a segment differ")
-            raw = ids.astype("<u4").tobytes()
-            out["part"] += [part] * len(doc_ids)
-            out["segment"] += [segment] * len(doc_ids)
-            out["doc_id"] += doc_ids
-            out["nth"] += range(len(doc_ids))
-            out["before"] += stop[:-1]
-            out["n_tokens"] += lengths
-            out["ids_crc32"] += [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(stop, stop[1:])]
-        kinds = {"part": pa.int32(), "segment": pa.int32()}
-        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
-
-    rows, payloads, held = [], [], 0
     for batch in batches:
         for i in range(batch.num_rows):
-            get = lambda name: text_column(batch, name)[i].as_py()  # noqa: B023, E731
-            rows.append((get("part"), get("segment"), get("doc_ids"), get("lengths")))
-            payloads.append(get("payload"))
-            held += get("n_tokens")
-            if held >= HELD:
-                yield made(rows, payloads)
-                rows, payloads, held = [], [], 0
-    if rows:
-        yield made(rows, payloads)
+            part, segment, doc_ids, lengths, payload = (text_column(batch, c)[i] for c in ("part", "segment", "doc_ids", "lengths", "payload"))
+            ids, lens = range_coder.decode([payload.as_py()])[0], lengths.values.to_numpy()
+            stop = np.concatenate([[0], np.cumsum(lens)])
+            if stop[-1] != len(ids):
+                raise ValueError("lengths and ids of a segment differ")
+            raw, n = memoryview(ids.astype("<u4").tobytes()), len(lens)
+            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(stop.tolist(), stop[1:].tolist())]
+            columns = [pa.array([part.as_py()] * n, pa.int32()), pa.array([segment.as_py()] * n, pa.int32()), doc_ids.values, pa.array(stop[:-1]), pa.array(lens), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_id", "before", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

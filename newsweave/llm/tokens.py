@@ -29,25 +29,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _newer(split) -> tuple[list[int], list[int]]:
+    """Letters and numbers among the characters that Python's tables do not know, as the pre-tokenizer takes them.
+
+    Each stands between a letter and a digit: it is of the class whose piece it joins.
+    """
+    unknown = [cp for cp in range(0x40000) if unicodedata.category(chr(cp)) == "Cn"]
+    begins = {a for _, (a, _) in split("".join(f"a{chr(cp)}1" for cp in unknown))}
+    letters = [cp for k, cp in enumerate(unknown) if 3 * k + 1 not in begins]
+    numbers = [cp for k, cp in enumerate(unknown) if 3 * k + 2 not in begins]
+    return letters, numbers
+
+
 @cache
-def _classes() -> np.ndarray:
+def _classes(path: str) -> np.ndarray:
+    from tokenizers import Tokenizer
+
     out = np.full(0x110000, OTHER, np.uint8)
     for cp in range(0x110000):
         kind = unicodedata.category(chr(cp))[0]
         if kind in "LN":
             out[cp] = LETTER if kind == "L" else NUMBER
+    letters, numbers = _newer(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
+    out[letters], out[numbers] = LETTER, NUMBER
     out[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = WHITE
     return out
 
 
-def pieces(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Byte offsets at which the pre-tokenizer's pieces begin."""
+def pieces(data: np.ndarray, offs: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Byte offsets at which the pre-tokenizer's pieces begin. `classes`: of every code point."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     n = len(cp)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _classes()[cp]
+    kind = classes[cp]
     first = np.zeros(n, bool)
     edges = np.searchsorted(at, offs)
     first[edges[:-1][edges[:-1] < n]] = True
@@ -86,7 +102,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
+        path = path or default_tokenizer()
+        self.tokenizer, self.classes = Tokenizer.from_file(path), _classes(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
@@ -109,7 +126,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offs = buffers(column)
-        start = pieces(data, offs)
+        start = pieces(data, offs, self.classes)
         if len(self.keys) > MOST_CACHED:
             self.forget()
         end = np.append(start[1:], len(data))

@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsweave.llm import elias_fano, range_coder
@@ -25,8 +28,36 @@ def test_range_coder_checks():
     raw[-200] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         range_coder.decode([bytes(raw)])
-    with pytest.raises(ValueError, match="65,536"):
-        range_coder.encode([np.array([65536])])
+
+
+def test_range_coder_takes_ids_of_32_bits():
+    ids = np.array([65536, 0, (1 << 32) - 1, 1 << 20, 65536] * 300, np.int64)
+    assert np.array_equal(range_coder.decode(range_coder.encode([ids]))[0], ids)
+
+
+def test_range_coder_beats_order_0_and_zlib():
+    import pyarrow.parquet as pq
+
+    from newsweave.llm.tokens import Encoder
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids = Encoder().encode(texts)[0][:400_000]
+    count = np.bincount(ids)
+    count = count[count > 0]
+    bits = 8 * len(range_coder.encode([ids])[0]) / len(ids)
+    assert bits < -(count / len(ids) * np.log2(count / len(ids))).sum() - 0.3
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids) - 0.3
+
+
+def test_pieces_of_every_code_point():
+    """Also those that are newer than Python's tables."""
+    from newsweave.llm.tokens import Encoder
+
+    encoder = Encoder(special_as_text=True)
+    texts = ["".join(f"a{chr(c)}1's {chr(c)}" for c in range(base, base + 64)) for base in range(0, 0x30000, 64) if not 0xD800 <= base < 0xE000]
+    flat, per_row = encoder.encode(pa.array(texts))
+    cut = np.concatenate([[0], np.cumsum(per_row)])
+    assert all(e.ids == flat[a:b].tolist() for e, a, b in zip(encoder.tokenizer.encode_batch(texts, add_special_tokens=False), cut, cut[1:]))
 
 
 @pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (5, 1 << 56), (1000, 1500), (3000, 1 << 40)])
