@@ -26,7 +26,7 @@ import numpy as np
 
 from .packed import pack, unpack
 
-BLOCK, LANES, STEPS = 1 << 20, 4096, 128  # STEPS: the least length of a lane, where a block allows
+BLOCK, LANES, STEPS = 1 << 21, 8192, 128  # STEPS: the least length of a lane, where a block allows
 MAGIC, VERSION = b"CMRC", 3
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sBII"), struct.Struct("<II")
 _MASS, _FINE = 16, 22  # bits of a weight, and of an order-0 probability
@@ -38,8 +38,9 @@ _ADD, _MOST = 32, 1 << 26  # what an id adds to its order-0 count, and the sum t
 _LEVEL = np.array([0, 1, 2, 3, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, *[7] * 16])  # of the first id's trust; the second's has two
 _STATES = 16 * 16 * 5
 _TRUSTED = 31
-#: a slot packs trust of the first id (5 bits), of the second (5), a check of its context (14), second and first id (20 each)
-_ID, _CHECK = (1 << 20) - 1, (1 << 14) - 1
+#: a slot packs trust of the first id (5 bits), of the second (5), a check of its context (12), second and first id (21 each)
+_BITS = 21
+_ID, _CHECK = (1 << _BITS) - 1, (1 << 12) - 1
 
 
 def _trust_table() -> np.ndarray:
@@ -71,7 +72,7 @@ def _trust_table() -> np.ndarray:
 
 _TRUST = _trust_table()
 _LEVELS = (_LEVEL[:, None] * 2 + (np.arange(32) > 1)).ravel()
-_IDS = (1 << 40) - 1
+_IDS = (1 << 2 * _BITS) - 1
 
 
 class _Slots:
@@ -83,8 +84,8 @@ class _Slots:
     def read(self, at: np.ndarray, check: np.ndarray | int) -> None:
         x = self.packed.take(at)
         self.at, self.check = at, check
-        x *= ((x >> 40) & _CHECK) == check
-        self.a, self.b = x & _ID, (x >> 20) & _ID
+        x *= ((x >> 2 * _BITS) & _CHECK) == check
+        self.a, self.b = x & _ID, (x >> _BITS) & _ID
         self.both, self.trust = x & _IDS, (x >> 54) & 1023
         self.level = _LEVELS.take(self.trust)
 
@@ -96,8 +97,8 @@ class _Slots:
         for k in np.flatnonzero(np.bincount(change, minlength=4)[1:]) + 1:
             who = np.flatnonzero(change == k)
             a, b = self.a[who], self.b[who]
-            both[who] = (a << 20) | b if k == 1 else (b << 20) | ids[who] if k == 2 else (ids[who] << 20) | a
-        self.packed[self.at] = ((new >> 2) << 54) | (self.check << 40) | both
+            both[who] = (a << _BITS) | b if k == 1 else (b << _BITS) | ids[who] if k == 2 else (ids[who] << _BITS) | a
+        self.packed[self.at] = ((new >> 2) << 54) | (self.check << 2 * _BITS) | both
 
 
 class _Model:

@@ -62,15 +62,15 @@ def _coding(path: str | None, end: int, special_as_text: bool):
         keys, ids, lens, held = [], [], [], 0
         for batch in chunks(batches):
             flat, per_row = with_end(*ids_of.encode(text_column(batch)), end)
-            keys.append(text_column(batch, "doc_id"))
-            ids.append(flat.astype(np.uint16 if flat.max(initial=0) < 65536 else np.uint32))
-            lens.append(per_row)
-            held += len(flat)
-            if held >= SEGMENT:
+            if keys and held + len(flat) > SEGMENT:
                 out = code(part, segment, keys, np.concatenate(ids), np.concatenate(lens))
                 segment += out.num_rows
                 keys, ids, lens, held = [], [], [], 0
                 yield out
+            keys.append(text_column(batch, "doc_id"))
+            ids.append(flat.astype(np.uint16 if flat.max(initial=0) < 65536 else np.uint32))
+            lens.append(per_row)
+            held += len(flat)
         if keys:
             yield code(part, segment, keys, np.concatenate(ids), np.concatenate(lens))
 
