@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, buffers, chunks, mix, text_column, windows
+from .shared import fresh
 
 WINDOW, LITERALS, LEAST, SHORTEST = 8, 4, 3, 5
 #: fixed values: words that stand for a unit
@@ -227,5 +228,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A row is known by a 64-bit digest of its doc_id and text, so rows of the same or a null doc_id with another text stay.
     """
     row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    bad = leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("l_row")).distinct()
-    return docs.join(bad, row == F.col("l_row"), "left_anti")
+    own = fresh(docs, "leaking")
+    bad = leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(bad, row == F.col(own), "left_anti")

@@ -4,10 +4,11 @@ Within a source every document is expected target / size copies. Documents stand
 and key digest, so equal stretches of the prefix sum hold like sizes; the running sum of expected copies plus
 one offset of the source crosses integers, and each crossing emits the document once. The order is dealt over
 buckets (size class and leading digest bits): only bucket counts are summed per source, so a source with a third
-of all rows is still numbered by many tasks.
+of all rows is still numbered by many tasks. Rows are written once with their sizes and a number, so words are counted
+once and rows are told apart by more than their key.
 
 Null text has size 0, null source is a source of its own and comes last, null doc_id gets the digest of an empty
-key; repeated rows count each; an empty table gives no rows; other columns are kept by `mix` and ignored here.
+key; repeated rows count each and are drawn one by one; an empty table gives no rows; other columns are kept by `mix` and ignored here.
 A source without words has target 0 and emits nothing.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import fresh, stored
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
@@ -54,10 +57,16 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit("\x00null")))), 1, 8), 16, 10).cast("long") % 1024) / F.lit(1024.0)
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of `docs` (doc_id, text, source)."""
+def _measured(docs: DataFrame, keep: bool) -> tuple[DataFrame, str, str]:
+    """The rows, written once with a number and their size, and the names of these two columns; `keep`: with all columns of `docs`."""
+    row, size = fresh(docs, "row"), fresh(docs, "size")
+    out = docs.withColumns({size: word_count("text"), row: F.monotonically_increasing_id()})
+    return stored(out if keep else out.select("doc_id", "source", size, row), "mix-rows"), row, size
+
+
+def _drawn(sized: DataFrame, weights, share: float, cap: float, seed: str) -> DataFrame:
+    """`sized`: row, doc_id, source, size; with source_size, target and copies."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     sized = sized.withColumns({"digest": digest, "bits": F.length(F.bin("size"))})
     sized = sized.withColumn("class", F.expr("bits * 8L + (shiftright(size, greatest(bits - 4, 0)) & 7)")).drop("bits")
     sized = sized.withColumn("bucket", F.col("class") * BITS + F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % BITS)
@@ -66,25 +75,29 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     starts = starts.join(targets, F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    ranked = sized.withColumn("nth", F.row_number().over(W.partitionBy("source", "bucket").orderBy("digest", "doc_id")))
+    ranked = sized.withColumn("nth", F.row_number().over(W.partitionBy("source", "bucket").orderBy("digest", "doc_id", "row")))
     ranked = ranked.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ranked = ranked.withColumns({"rank": F.col("base") + F.col("nth"), "rate": rate, "u": offset(F.col("source"), seed)})
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("u"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(int(cap))).cast("long").alias("copies"))
+    return ranked.select("row", "doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(int(cap))).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """The mixed documents: the rows of `docs`, each as often as it was emitted.
+def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for each row of `docs` (doc_id, text, source)."""
+    rows, row, size = _measured(docs, False)
+    sized = rows.select(F.col(row).alias("row"), "doc_id", "source", F.col(size).alias("size"))
+    return _drawn(sized, weights, share, cap, seed).drop("row")
 
-    Rows alike in doc_id, source and size share their draws: each gets the mean, rounded by the digest of the key.
-    """
-    drawn = copies(docs, weights, share, cap, seed).groupBy(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("size").alias("c_size"))
-    drawn = drawn.agg((F.sum("copies") / F.count("*")).alias("c_mean")).filter("c_mean > 0")
-    own = docs.withColumn("c_own", word_count("text"))
-    hit = own.join(drawn, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.col("source").eqNullSafe(F.col("c_source")) & (F.col("c_own") == F.col("c_size")))
-    times = F.floor(F.col("c_mean") + F.when(F.col("c_mean") == F.floor("c_mean"), 0.0).otherwise(offset(F.col("c_id").cast("string"), seed)))
-    return hit.withColumn("c_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """The mixed documents: the rows of `docs`, each as often as it was emitted."""
+    rows, row, size = _measured(docs, True)
+    sized = rows.select(F.col(row).alias("row"), "doc_id", "source", F.col(size).alias("size"))
+    times = _drawn(sized, weights, share, cap, seed).filter("copies > 0").select(F.col("row").alias("drawn_row"), F.array_repeat(F.lit(True), F.col("copies").cast("int")).alias("times"))
+    drawn = times.select(F.col("drawn_row").alias(fresh(rows, "drawn_row")), F.col("times").alias(fresh(rows, "times")))
+    hit = rows.join(drawn, F.col(row) == F.col(drawn.columns[0]))
+    return hit.withColumn(fresh(hit, "copy"), F.explode(drawn.columns[1])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ it if it is precise there, removes what it covers and goes on. The list comes ou
 
 Words are maximal runs of characters other than space and 0x09-0x0D. Null and empty texts have zero statistics,
 fail the base rule (fewer than ten words) and are not kept. Null labels and rows without doc_id teach nothing, a
-repeated label counts as its least quality; without labels, or with one class only, the list is empty and only
+repeated label counts as its least quality, of rows with one doc_id one text teaches; without labels, or with one class only, the list is empty and only
 the base rule speaks. An empty table gives no rows; further columns are ignored.
 """
 
@@ -186,7 +186,8 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, seed: int = 11) -> list[
 def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("quality"))
     drawn = marks.orderBy(F.xxhash64(F.lit("rules"), "l_id"), "l_id").limit(MOST_LABELLED)
-    own = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id")).select("doc_id", "quality", "text")
+    own = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id"))
+    own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))  # bounded whatever repeats
     got = own.mapInArrow(_stat_rows, "doc_id bigint, quality int, " + ", ".join(f"{c} bigint" for c in COUNTS)).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("n_words", "ascending"), ("word_chars", "ascending")])
     rows = {c: got[c].to_numpy() for c in COUNTS}

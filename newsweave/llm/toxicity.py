@@ -9,7 +9,7 @@ when the clipped part turns negative, the step goes against it, as the non-negat
 then set so that the threshold cuts where recall less a multiple of the estimated false positive rate is greatest.
 
 Scores lie in [0, 1]; null and empty texts score the model's bias. Null labels are unlabelled, repeated labels
-count as toxic when any row says so, null doc_id rows are scored and never learnt from. Without positives every
+count as toxic when any row says so, of rows with one doc_id one text is learnt from (all are scored), null doc_id rows are scored and never learnt from. Without positives every
 score is 0; an empty table gives no rows. Only texts enter a score.
 """
 
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
     """The model: feature places, weights, bias. Rows whose remainder is `held_out` are not used."""
     # the sample is drawn on keys alone; only then are its texts read
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
-    ids = docs.filter("doc_id is not null").select("doc_id")
+    ids = docs.filter("doc_id is not null").select("doc_id").distinct()
     if held_out is not None:
         ids = ids.filter(remainder("doc_id", modulus) != held_out)
         marks = marks.filter(remainder("l_id", modulus) != held_out)
@@ -136,7 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
     drawn = [keyed.filter(F.col("label") == y).orderBy("place", "doc_id").limit(n).select(F.col("doc_id").alias("s_id"), F.col("label")) for y, n in ((1, MOST_POSITIVE), (0, MOST_UNLABELLED))]
     sample = drawn[0].unionByName(drawn[1])
     prior = marks.filter("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id")).select("label", "text")
+    # one text for each key drawn, so the sample is bounded whatever repeats
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))
+    rows = rows.groupBy("s_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
     got = rows.mapInArrow(_sample_rows, "label int, places binary").toArrow()
     y = np.array(got["label"].to_pylist(), np.int64)
     if not y.any() or y.all():
