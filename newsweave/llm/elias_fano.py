@@ -2,7 +2,7 @@
 
 A sequence of n ascending integers below u keeps floor(log2(u / n)) low bits of each packed, and the high parts in
 unary, about two bits an element. A successor search jumps to the bucket of a value's high part and compares low
-bits within it; a batch of about as many queries as elements is merged with the sequence, read once.
+bits within it.
 
 The trie's first level holds contexts (the last word), its second their successors and, separately, the words before
 them, its third the successors of both words. A third-level word is stored relative to its context: as its place among
@@ -81,15 +81,10 @@ class Sequence:
         return ((self.low[word] >> shift) | ((self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))) & self.mask
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        if 4 * len(i) > self.n:
-            return self.values[i]
         return ((self.ones[i] - i) << np.int64(self.bits)) | self._low(i).astype(np.int64)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first element at or above each x, and whether it equals x."""
-        if 4 * len(x) > self.n:
-            at = np.searchsorted(self.values, x)
-            return at, np.append(self.values, -1)[at] == x
         x = x.astype(np.uint64)
         high = np.minimum((x >> self.bits).astype(np.int64), len(self.start) - 2)
         low, stop, want = self.start[high], self.start[high + 1], x & self.mask
@@ -112,12 +107,12 @@ def code(log10: np.ndarray) -> np.ndarray:
 
 
 def _ranges(node: np.ndarray, ids: np.ndarray, nodes: int) -> list[bytes]:
-    """Pointers and monotone ids of children (sorted by node, then id); every node has a child."""
+    """Pointers and monotone ids of children (sorted by node, then id)."""
     first = np.concatenate([np.searchsorted(node, np.arange(nodes)), [len(node)]])
-    last = ids[first[1:] - 1] + 1 if nodes else np.zeros(0, np.int64)
+    last = np.where(first[1:] > first[:-1], ids[first[1:] - 1] + 1, 0) if len(ids) else np.zeros(nodes, np.int64)
     base = np.cumsum(last) - last
     total = int(last.sum()) + 1
-    return [encode_sequence(first, len(node) + 1), encode_sequence(base[node] + ids + 1 if nodes else ids, total)]
+    return [encode_sequence(first, len(node) + 1), encode_sequence(base[node] + ids + 1 if len(ids) else ids, total)]
 
 
 class Children:
@@ -142,40 +137,49 @@ class Children:
         return out
 
 
-def build(words: np.ndarray, context: np.ndarray, before: np.ndarray, word: np.ndarray, unigram: np.ndarray, discount: float) -> bytes:
+def _group(key: np.ndarray, trained: np.ndarray, total: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys that training knows, their training totals (`total` where it is not negative), and each token's place or -1."""
+    own, of = np.unique(key, return_inverse=True)
+    count = np.bincount(of, trained, len(own)).astype(np.int64)
+    if total is not None:
+        given = np.full(len(own), -1, np.int64)
+        given[of] = total
+        count = np.where(given >= 0, given, count)
+    known = count > 0
+    return own[known], count[known], np.where(known, np.cumsum(known) - 1, -1)[of]
+
+
+def build(
+    words: np.ndarray, counts: np.ndarray, context: np.ndarray, before: np.ndarray, word: np.ndarray, unigram: np.ndarray, strength: float,
+    trained: np.ndarray | None = None, after_total: np.ndarray | None = None, both_total: np.ndarray | None = None,
+) -> bytes:
     """The trie of counted trigrams.
 
-    `words`: distinct fingerprints below 2**56, ascending; `context`, `before`, `word`: their indices for every token;
-    `unigram`: each word's lowest-order probability. Probabilities are interpolated with absolute discounting.
+    `words`: distinct fingerprints below 2**56, ascending, with `counts` in training; `context`, `before`, `word`: their indices for
+    every token; `unigram`: each word's lowest-order probability; `trained`: which tokens count (default: all). A level's
+    probability is (count + strength * lower level) / (count of its context + strength), so a context's sum to one. A word is followed by
+    one token each time, so its count is that of its context. `after_total` and `both_total` have, for tokens whose context
+    is spread over several tries, the corpus counts of (context, word) and (before, context); -1: all of them are here.
     """
     n = len(words)
-    key = context.astype(np.int64) * n + word
-    order = np.argsort(key)
-    key, context, before = key[order], context[order].astype(np.int64), before[order]
-    new = np.diff(key, prepend=-1) != 0
-    place, begin = np.cumsum(new) - 1, np.flatnonzero(new)
-    pair, pair_count = key[begin], np.diff(np.append(begin, len(key)))
-    of_pair = pair // n
-    fresh = np.diff(of_pair, prepend=-1) != 0
-    nodes, node_of = of_pair[fresh], np.cumsum(fresh) - 1
-    total = np.bincount(node_of, pair_count, len(nodes))
-    types = np.bincount(node_of, minlength=len(nodes))
-    spread = discount * types / total
-    lower = (pair_count - discount) / total[node_of] + spread[node_of] * unigram[pair % n]
-    first = np.flatnonzero(fresh)
-    relative = place - first[node_of[place]]
-
-    two, two_of = np.unique(context * n + before, return_inverse=True)
-    width = int(types.max(initial=0)) + 1
-    three, count = np.unique(two_of * width + relative, return_counts=True)
+    trained = np.ones(len(word), bool) if trained is None else trained
+    context, before, word = (x.astype(np.int64) for x in (context, before, word))
+    pair, pair_count, pair_of = _group(context * n + word, trained, after_total)
+    two, two_count, two_of = _group(context * n + before, trained, both_total)
+    nodes = np.unique(np.concatenate([pair // n, two // n]))
+    node_of, two_node = np.searchsorted(nodes, pair // n), np.searchsorted(nodes, two // n)
+    total = counts[nodes].astype(float)
+    spread = strength / (total + strength)
+    lower = (pair_count + strength * unigram[pair % n]) / (total[node_of] + strength)
+    first = np.searchsorted(node_of, np.arange(len(nodes)))
+    relative = pair_of - first[np.searchsorted(nodes, context).clip(0, max(0, len(nodes) - 1))] if len(nodes) else pair_of
+    width = int(relative.max(initial=0)) + 1
+    full_of = two_of[trained] * width + relative[trained]
+    three, count = np.unique(full_of, return_counts=True)
     of = three // width
-    two_total = np.bincount(of, count, len(two))
-    two_types = np.bincount(of, minlength=len(two))
-    two_spread = discount * two_types / two_total
-    two_node = np.searchsorted(nodes, two // n)
-    full = (count - discount) / two_total[of] + two_spread[of] * lower[first[two_node[of]] + three % width]
-    with np.errstate(divide="ignore"):
-        logs = [code(np.log10(x)) for x in (spread, lower, two_spread, full)]
+    two_spread = strength / (two_count + strength)
+    full = (count + strength * lower[first[two_node[of]] + three % width]) / (two_count[of] + strength)
+    logs = [code(np.log10(x)) for x in (spread, lower, two_spread, full)]
     sections = [encode_sequence(words, 1 << 56), encode_sequence(nodes, max(1, n))]
     sections += _ranges(node_of, pair % n, len(nodes)) + _ranges(two_node, two % n, len(nodes)) + _ranges(of, three % width, len(two))
     sections += [x.tobytes() for x in logs]

@@ -6,14 +6,16 @@ Documents whose key digest falls in the held-out remainder teach nothing; all ar
 1. Texts are read once and stored as chunks of about `CHUNK_TOKENS` tokens: a sorted vocabulary and codes.
 2. Each chunk sends its vocabulary's counts, a word at most once, by ranges of fingerprints; sums come back.
 3. With the counts, a chunk deals its tokens out by context (the word before). About `SHARD_TOKENS` training tokens
-   make a shard; a context word with more than a quarter of that is refined by a class of the word before it, and a
-   very common one by a class of the word before that as well, so no word fills a task. A refined context is a model
-   context like any other, its probabilities sum to one. The number of shards follows from the training tokens.
-4. A shard builds its trie (`elias_fano`), writes it to the shared folder, maps it and scores its tokens by
+   make a shard; their number follows from the corpus. A context word with more than a quarter of that is split over
+   shards of its own by classes of the word before and of the word itself.
+4. Such shards count their pairs (word before and context, context and word), the counts are summed over the corpus by
+   ranges of pairs, and each shard gets the whole counts of its pairs back. So a split divides work only: all counts that a
+   probability needs are the corpus's, and scores do not depend on `shard_tokens`.
+5. A shard builds its trie (`elias_fano`), writes it to the shared folder, maps it and scores its tokens by
    successor search. Sums by chunk and document go back.
 
-A document's first word has its unigram probability. Probabilities are interpolated with absolute discounting down to
-the unigram (c + 0.1) / (N + 0.1 (V + 1)) and kept as eight-bit codes.
+A document's first word has its unigram probability (c + 0.1) / (N + 0.1 (V + 1)). From there each order is smoothed by the one
+below it, which counts as `STRENGTH` observations, and probabilities are kept as eight-bit codes.
 
 Null and empty texts score their end; a null doc_id is trained on (it has no remainder) and reported; repeated rows count
 and are scored each; an empty table gives no rows; without training rows only the unigram floor is left; further columns
@@ -40,7 +42,7 @@ from .packed import pack, unpack, value
 from .shared import shared_path, store, stored, until_exit
 
 CHUNK_TOKENS, SHARD_TOKENS = 1_600_000, 1_000_000
-DISCOUNT = 0.75
+STRENGTH = 2.0
 MODULUS, HELD_OUT = 10, 0
 _ID = U64((1 << 56) - 1)
 END = U64(2)  # stands for a document's end
@@ -125,16 +127,20 @@ def unigram(counts: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (counts + 0.1) / (tokens + 0.1 * (types + 1))
 
 
+def _shards(tokens: int, shard_tokens: int) -> int:
+    return max(1, -(-tokens // shard_tokens))
+
+
 def _dealt(tokens: int, types: int, sizes: dict[int, int], shard_tokens: int):
     """A chunk's tokens by shard, and one row of what it knows itself (shard below 0).
 
-    From here on a word is its rank among the fingerprints of the corpus. `sizes`: words in each range.
+    From here on a word is its rank among the fingerprints of the corpus. `sizes`: words in each range. Shards from `shards` on
+    hold split contexts.
     """
     ranges = sorted(sizes)
     base = dict(zip(ranges, np.cumsum([0, *(sizes[p] for p in ranges)]).tolist()))
     every = sum(sizes.values())
-    shards = max(1, -(-tokens // shard_tokens))
-    hot = max(1, shard_tokens // 4)
+    shards, hot = _shards(tokens, shard_tokens), max(1, shard_tokens // 4)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _release()
@@ -157,23 +163,20 @@ def _dealt(tokens: int, types: int, sizes: dict[int, int], shard_tokens: int):
             if not len(at):
                 continue
             doc, third, second = doc[at], codes[at], codes[at - 1]
-            # vocabulary with the place before a document, then refined contexts
+            # vocabulary with the place before a document
             start = len(words)
             names, counts = np.append(words, every).astype(np.uint64), np.append(known, 0)
-            first = np.where(at - 1 > begin[doc], codes[np.maximum(at - 2, 0)], np.int32(start))
-            context, classes = second.copy(), -(-counts // hot)
-            busy = np.flatnonzero(classes[second] > 1)
-            if len(busy):
-                zero = np.where(at[busy] - 2 > begin[doc[busy]], codes[np.maximum(at[busy] - 3, 0)], start)
-                one, outer = classes[second[busy]].astype(np.uint64), -(-classes[second[busy]] // 16).astype(np.uint64)
-                kind = mix(names)[first[busy]] % one + one * (mix(names ^ U64(5))[zero] % outer)
-                refined, which = np.unique(U64(every + 1) + (mix(names[second[busy]] + mix(kind + U64(1))) >> U64(16)), return_inverse=True)
-                context[busy] = len(names) + which
-                names, counts = np.concatenate([names, refined]), np.concatenate([counts, np.zeros(len(refined), np.int64)])
+            first, context = np.where(at - 1 > begin[doc], codes[np.maximum(at - 2, 0)], np.int32(start)), second
             shard = (mix(names) % U64(shards)).astype(np.int32)[context]
+            busy = np.flatnonzero(counts[context] > hot)
+            if len(busy):
+                pieces = np.ceil(counts[context[busy]] / hot)
+                rows_ = np.ceil(np.sqrt(pieces))
+                one, two = rows_.astype(np.uint64), np.ceil(pieces / rows_).astype(np.uint64)
+                piece = (mix(names ^ U64(5))[first[busy]] % one) * two + mix(names ^ U64(9))[third[busy]] % two
+                shard[busy] = shards + (mix(names[context[busy]] + mix(piece + U64(1))) % U64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1)) if shards < len(at) else None
-            spans = [(s, cut[s], cut[s + 1]) for s in range(shards) if cut[s] < cut[s + 1]] if cut is not None else _runs(shard[order])
+            spans = _runs(shard[order])
             remap, used = np.zeros(len(names), np.int32), np.zeros(len(names), bool)
             for s, a, b in spans:
                 pick = order[a:b]
@@ -221,32 +224,72 @@ def _mapped(folder: str, name: str, trie: bytes, keep: bool):
             files.delete_file(path)
 
 
-def _scored(folder: str, keep: bool, tokens: int, types: int, discount: float):
-    """Train a shard's trie and score its tokens: chunk, payload (documents and sums)."""
+class _Tokens:
+    """A shard's tokens from all chunks: ascending words with their counts, and per token before, context, word (indices) and trained."""
+
+    def __init__(self, payloads: list[bytes]):
+        self.sent = [unpack(p) for p in payloads]
+        self.words, place = np.unique(np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in self.sent]), return_inverse=True)
+        self.counts = np.zeros(len(self.words), np.int64)
+        self.counts[place] = np.concatenate([x[1] for x in self.sent]).astype(np.int64)
+        place = place.astype(np.int32)
+        base = np.cumsum([0, *(len(x[0]) for x in self.sent)])
+        self.before, self.context, self.word = (place[np.concatenate([x[k].astype(np.int64) + b for x, b in zip(self.sent, base)])] for k in (2, 3, 4))
+        self.trained = np.concatenate([x[6] for x in self.sent]) == 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct fingerprints of (before, context) and (context, word), and for each token where its two stand."""
+        inner, outer = mix(self.words ^ U64(0x243F6A88)), mix(self.words ^ U64(0x85A308D3))
+        of_context = mix(self.words + U64(1))[self.context]
+        keys, at = np.unique(np.concatenate([mix(of_context + inner[self.before]), mix(of_context ^ outer[self.word])]), return_inverse=True)
+        return keys, at.reshape(2, -1)
+
+
+def _pair_counts(shards: int, parts: int):
+    """The training counts of the pairs in a shard of split contexts, by ranges of fingerprints."""
 
     def run(table: pa.Table) -> pa.Table:
+        shard, rows = table.column("shard")[0].as_py(), []
+        if shard >= shards:
+            tokens = _Tokens(table.column("payload").to_pylist())
+            keys, at = tokens.pairs()
+            counts = sum(np.bincount(x[tokens.trained], minlength=len(keys)) for x in at)
+            cut = np.append(np.searchsorted(keys, np.array([(p << 64) // parts for p in range(parts)], np.uint64)), len(keys))
+            rows = [(p, shard, pack(keys[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["part", "shard", "payload"])
+
+    return run
+
+
+def _pair_totals(table: pa.Table) -> pa.Table:
+    """Corpus counts of the pairs in one range, to each shard that asked, in the order it sent them."""
+    sent = [unpack(p) for p in table.column("payload").to_pylist()]
+    _, at = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([c for _, c in sent]).astype(float)).astype(np.int64)
+    cut = np.cumsum([0, *(len(k) for k, _ in sent)])
+    payloads = [pack(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.Table.from_arrays([table.column("part"), table.column("shard"), pa.array(payloads, pa.binary())], names=["part", "shard", "payload"])
+
+
+def _scored(folder: str, keep: bool, tokens: int, types: int, strength: float):
+    """Train a shard's trie and score its tokens: chunk, payload (documents and sums)."""
+
+    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
         shard, chunk = table.column("shard")[0].as_py(), table.column("chunk")
         if shard < 0:
             return table.select(["shard", "chunk", "payload"])
         _release()
-        sent = [unpack(p) for p in table.column("payload").to_pylist()]
-        words, place = np.unique(np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in sent]), return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        counts[place] = np.concatenate([x[1] for x in sent]).astype(np.int64)
-        place = place.astype(np.int32)
-        base = np.cumsum([0, *(len(x[0]) for x in sent)])
-        before, context, word = (place[np.concatenate([x[k].astype(np.int64) + b for x, b in zip(sent, base)])] for k in (2, 3, 4))
-        train = np.concatenate([x[6] for x in sent]) == 0
-        prior = unigram(counts, tokens, types)
-        log10 = np.log10(prior)[word]
-        if train.any():
-            own, which = np.unique(np.concatenate([context[train], before[train], word[train]]), return_inverse=True)
-            c, b, w = which.astype(np.int32).reshape(3, -1)
-            trie = elias_fano.Trie(_mapped(folder, f"shard-{shard:08d}.trie", elias_fano.build(words[own], c, b, w, prior[own], discount), keep))
-            ids = trie.identify(words)
-            log10 = trie.log10(trie.node(ids)[context], ids[before], ids[word], log10)
-        cut, payloads = np.cumsum([0, *(len(x[2]) for x in sent)]), []
-        for x, a, z in zip(sent, cut[:-1], cut[1:]):
+        own = _Tokens(table.column("payload").to_pylist())
+        prior = unigram(own.counts, tokens, types)
+        log10 = np.log10(prior)[own.word]
+        given = (None, None)
+        if totals.num_rows:
+            back = sorted(zip(totals.column("part").to_pylist(), totals.column("payload").to_pylist()))
+            given = np.concatenate([unpack(x)[0].astype(np.int64) for _, x in back])[own.pairs()[1]]
+        trie = elias_fano.Trie(_mapped(folder, f"shard-{shard:08d}.trie", elias_fano.build(own.words, own.counts, own.context, own.before, own.word, prior, strength, own.trained, given[1], given[0]), keep))
+        log10 = trie.log10(trie.node(trie.identify(own.words))[own.context], own.before, own.word, log10)
+        cut, payloads = np.cumsum([0, *(len(x[2]) for x in own.sent)]), []
+        for x, a, z in zip(own.sent, cut[:-1], cut[1:]):
             step = x[5].astype(np.int64)
             begin = np.flatnonzero(np.concatenate([[True], step[1:] > 0]))
             sums = np.add.reduceat(log10[a:z], begin)
@@ -272,7 +315,7 @@ def _gathered(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, discount: float = DISCOUNT, folder: str | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, strength: float = STRENGTH, folder: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, text).
 
     With `folder` (on shared storage) the tries stay there, a file for each shard; otherwise they go when they are done.
@@ -291,6 +334,8 @@ def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, discount: float
     tokens, types = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     sizes = {r.part: r.n for r in counts.groupBy("part").agg(F.sum("words").alias("n")).collect()}  # one number a partition
     dealt = rows.select("chunk", "lengths", "held", "codes").groupBy("chunk").cogroup(counts.select("chunk", "part", "payload").groupBy("chunk")).applyInArrow(_dealt(tokens, types, sizes, shard_tokens), SHARD)
-    scored = dealt.groupBy("shard").applyInArrow(_scored(folder, keep, tokens, types, discount), SHARD)
+    pairs = dealt.groupBy("shard").applyInArrow(_pair_counts(_shards(tokens, shard_tokens), parts), "part int, shard bigint, payload binary")
+    totals = pairs.groupBy("part").applyInArrow(_pair_totals, "part int, shard bigint, payload binary")
+    scored = dealt.groupBy("shard").cogroup(totals.withColumnRenamed("shard", "to").groupBy("to")).applyInArrow(_scored(folder, keep, tokens, types, strength), SHARD)
     out = rows.select("chunk", "doc_ids").groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInArrow(_gathered, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -79,7 +79,8 @@ def test_trie_sums_to_one():
     before, context, word = (np.minimum(own.zipf(1.5, 4000) - 1, 29) for _ in range(3))
     prior = np.bincount(word, minlength=30) + 0.1
     prior = prior / prior.sum()
-    trie = elias_fano.Trie(elias_fano.build(words, context, before, word, prior, 0.75))
+    counts = np.bincount(context, minlength=30)  # a word is followed by one token each time
+    trie = elias_fano.Trie(elias_fano.build(words, counts, context, before, word, prior, 2.0))
     ids = trie.identify(words)
     assert np.array_equal(ids, np.arange(30))
     assert np.array_equal(trie.identify(np.array([1, 1 << 50], np.uint64)), [-1, -1])

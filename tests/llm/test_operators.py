@@ -293,7 +293,34 @@ def test_lm(docs, empty):
     assert bag((r.doc_id, round(r.score, 2)) for r in few) == bag((r.doc_id, round(r.score, 2)) for r in again)
     trained = [r for r in one if not r.held_out and r.n_tokens > 50]
     assert all(r.score > r.base_score for r in trained)
-    assert all(abs(a.score - b.score) < 0.3 * abs(b.base_score) + 1 for a, b in zip(sorted(one, key=str), sorted(few, key=str)))
+    by_key = lambda rows: sorted(rows, key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score, r.score))
+    middle = lm_scoring.lm_scores(docs, shard_tokens=20_000).collect()
+    for other in (few, middle):  # a shard's size is no part of the model
+        assert all(abs(a.score - b.score) <= 1e-3 * abs(b.score) + 0.01 for a, b in zip(by_key(one), by_key(other)))
+    # the model itself, in plain counts, up to eight-bit codes
+    pair, two, triple = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            for k in range(1, len(t)):
+                b = t[k - 2] if k > 1 else 0
+                pair[t[k - 1], t[k]] += 1
+                two[b, t[k - 1]] += 1
+                triple[b, t[k - 1], t[k]] += 1
+    q = lm_scoring.STRENGTH
+
+    def score(t):
+        total = np.log10((count[t[0]] + 0.1) / (n + 0.1 * (v + 1)))
+        for k in range(1, len(t)):
+            b, c, w = t[k - 2] if k > 1 else 0, t[k - 1], t[k]
+            p1 = (count[w] + 0.1) / (n + 0.1 * (v + 1))
+            p2 = (pair[c, w] + q * p1) / (count[c] + q)
+            total += np.log10((triple[b, c, w] + q * p2) / (two[b, c] + q))
+        return float(total)
+
+    full = by_key([type("R", (), {"doc_id": i, "n_tokens": len(t), "base_score": float(base(t)), "score": score(t)}) for i, t in rows])
+    for a, b in zip(by_key(one), full):
+        assert a.doc_id == b.doc_id
+        assert abs(a.score - b.score) <= 0.03 * a.n_tokens
     assert lm_scoring.lm_scores(empty).count() == 0
     alone = lm_scoring.lm_scores(docs.filter("doc_id is not null and crc32(cast(doc_id as string)) % 10 = 0")).collect()
     assert alone
