@@ -127,6 +127,10 @@ def unigram(counts: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (counts + 0.1) / (tokens + 0.1 * (types + 1))
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 def _shards(tokens: int, shard_tokens: int) -> int:
     return max(1, -(-tokens // shard_tokens))
 
@@ -188,7 +192,7 @@ def _dealt(tokens: int, types: int, sizes: dict[int, int], shard_tokens: int):
                         used[x] = True
                     local = np.flatnonzero(used)
                     used[local] = False
-                remap[local] = np.arange(len(local))
+                remap[local[_by_count(counts[local])]] = np.arange(len(local))  # common words get small, well packed numbers
                 row = doc[pick]
                 rows.append((int(s), chunk, pack(np.diff(names[local], prepend=U64(0)), counts[local], *(remap[x] for x in three), np.diff(row, prepend=0), held[row])))
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "chunk", "payload"])
@@ -232,8 +236,8 @@ class _Tokens:
         self.words, place = np.unique(np.concatenate([np.cumsum(x[0].astype(np.uint64)) for x in self.sent]), return_inverse=True)
         self.counts = np.zeros(len(self.words), np.int64)
         self.counts[place] = np.concatenate([x[1] for x in self.sent]).astype(np.int64)
-        place = place.astype(np.int32)
         base = np.cumsum([0, *(len(x[0]) for x in self.sent)])
+        place = np.concatenate([place[b + _by_count(x[1])] for x, b in zip(self.sent, base)]).astype(np.int32)
         self.before, self.context, self.word = (place[np.concatenate([x[k].astype(np.int64) + b for x, b in zip(self.sent, base)])] for k in (2, 3, 4))
         self.trained = np.concatenate([x[6] for x in self.sent]) == 0
 
