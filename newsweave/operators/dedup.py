@@ -59,19 +59,20 @@ def near_pairs(titles: DataFrame) -> DataFrame:
     edits = "cast(floor((n + floor(n * 21 / 19)) * 0.05) as int)"
     sized = titles.select("id", "title", F.length("title").alias("n")).filter("n > 0")
     cuts = "transform(sequence(0, k), i -> struct(i as nth, cast(floor(i * n / (k + 1)) as int) as at, cast(floor((i + 1) * n / (k + 1)) as int) as to))"
+    # only ids, lengths and 64-bit digests of (length, number of the piece, piece) meet; a wrong meeting is found by the ratio
     short = sized.withColumn("k", F.expr(edits)).select("id", "title", "n", F.explode(F.expr(cuts)).alias("c"))
-    short = short.select("id", "title", "n", F.col("c.nth").alias("nth"), F.expr("substring(title, c.at + 1, c.to - c.at)").alias("piece"))
+    short = short.select("id", "n", F.expr("xxhash64(n, c.nth, substring(title, c.at + 1, c.to - c.at))").alias("piece"))
     # the longer side looks at every length it may meet, at every piece, at every place that the edits leave open
-    long = sized.select(F.col("id").alias("l_id"), F.col("title").alias("l_title"), F.col("n").alias("l_n"))
+    long = sized.select(F.col("id").alias("l_id"), "title", F.col("n").alias("l_n"))
     long = long.select("*", F.explode(F.expr("sequence(cast(ceil(19 * l_n / 21) as int), l_n)")).alias("n")).withColumn("k", F.expr(edits))
-    long = long.select("l_id", "l_title", "l_n", "n", "k", F.explode(F.expr(cuts)).alias("c"))
-    first = F.expr("greatest(0, c.at - c.nth, c.at + l_n - n - (k - c.nth))")
-    last = F.expr("least(l_n - (c.to - c.at), c.at + c.nth, c.at + l_n - n + (k - c.nth))")
-    places = long.withColumns({"lo": first, "hi": last}).filter("lo <= hi").withColumn("place", F.explode(F.expr("sequence(lo, hi)")))
-    looked = places.select("l_id", "l_title", "l_n", "n", F.col("c.nth").alias("nth"), F.expr("substring(l_title, place + 1, c.to - c.at)").alias("piece"))
-    met = short.join(looked, ["n", "nth", "piece"]).filter((F.col("n") < F.col("l_n")) | ((F.col("n") == F.col("l_n")) & (F.col("id") < F.col("l_id"))))
-    pairs = met.select("id", "title", "l_id", "l_title", F.expr("cast(floor((n + l_n) * 0.05) as int)").alias("most")).distinct()
-    close = pairs.filter(F.levenshtein("title", "l_title") <= F.col("most")).filter(alike("title", "l_title"))
+    first = "greatest(0, c.at - c.nth, c.at + l_n - n - (k - c.nth))"
+    last = "least(l_n - (c.to - c.at), c.at + c.nth, c.at + l_n - n + (k - c.nth))"
+    places = f"transform(if({first} <= {last}, sequence({first}, {last}), array()), place -> xxhash64(n, c.nth, substring(title, place + 1, c.to - c.at)))"
+    looked = long.select("l_id", "l_n", F.explode(F.expr(f"array_distinct(flatten(transform({cuts}, c -> {places})))")).alias("piece"))
+    met = short.join(looked, "piece").filter((F.col("n") < F.col("l_n")) | ((F.col("n") == F.col("l_n")) & (F.col("id") < F.col("l_id"))))
+    pairs = met.select("id", "l_id").distinct()
+    pairs = pairs.join(sized.select("id", "title", "n"), "id").join(sized.select(F.col("id").alias("l_id"), F.col("title").alias("l_title"), F.col("n").alias("l_n")), "l_id")
+    close = pairs.filter(F.levenshtein("title", "l_title") <= F.expr("cast(floor((n + l_n) * 0.05) as int)")).filter(alike("title", "l_title"))
     return close.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b"))
 
 

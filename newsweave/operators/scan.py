@@ -28,7 +28,8 @@ class ScanOptions:
 
 
 def trusted(source: Column, domains: Sequence[str], suffix_match: bool = False) -> Column:
-    """Whether any domain is contained in the source (or, as an option, is its end)."""
+    """Whether any domain, in small letters, is contained in the source (or, as an option, is its end)."""
+    domains = [d.lower() for d in domains]
     if suffix_match:
         return F.exists(text.literals(domains), lambda d: (source == d) | F.endswith(source, F.concat(F.lit("."), d)))
     return text.contains_any(source, text.literals(domains))
@@ -41,7 +42,7 @@ def route(entries: DataFrame, keywords: Sequence[str], domains: Sequence[str], e
     A null or empty keyword list gives no rows. The cheap title tests come before the date and the derived columns.
     """
     o = options or ScanOptions()
-    keywords, domains = list(keywords)[: o.max_keywords], list(domains)[: o.max_domains] or TRUSTED
+    keywords, domains = list(keywords or [])[: o.max_keywords], list(domains or [])[: o.max_domains] or TRUSTED
     seen = first_seen(entries)
     hits = seen.withColumns({"title": F.coalesce("title", F.lit(""))}).withColumn("keywords_matched", text.match_keywords(F.col("title"), keywords, o.excluded))
     hits = hits.filter(F.col("keywords_matched").isNotNull())

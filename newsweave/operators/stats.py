@@ -15,14 +15,15 @@ def flat_articles(identity: DataFrame, details: DataFrame) -> DataFrame:
     return identity.join(own, "id", "left").withColumn("is_whitelisted", F.coalesce("is_whitelisted", F.lit(False)))
 
 
-def overview(identity: DataFrame, details: DataFrame, cases: DataFrame) -> DataFrame:
-    """total_articles, total_cases (0 where there are none), alert_count."""
+def overview(identity: DataFrame, details: DataFrame, cases: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """total_articles, total_cases (0 where there are none), alert_count and, with a reference time, last_updated."""
     articles = identity.agg(F.count("*").alias("total_articles"))
     total = cases.agg(F.coalesce(F.sum("case_count"), F.lit(0)).cast("long").alias("total_cases"))
     alerts = details.filter(F.col("tags").like(f"%{TAG_ALERT}%")).select(F.col("article_id").alias("id"))
     counted = identity.join(alerts, "id").agg(F.count("*").alias("alert_count"))
     # three aggregates of one row each
-    return articles.join(total, F.lit(True)).join(counted, F.lit(True))
+    out = articles.join(total, F.lit(True)).join(counted, F.lit(True))
+    return out if as_of is None else out.withColumn("last_updated", as_of)
 
 
 def trends(cases: DataFrame, days: int, as_of: Column) -> DataFrame:

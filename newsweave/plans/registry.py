@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.constants import LOCATION, TAG_ALERT, TAG_NEW
 from newsweave.functions import display, html, text, urls
 from newsweave.operators import dedup, numbering, scan, search, selection, stats
+from newsweave.sources import places, store
 
 from . import views
 
+NOW = "2024-01-31 00:00:00"
 OPTIONS = scan.ScanOptions(excluded=views.EXCLUDED, alerts=views.ALERTS)
 
 
-def _routed(s: SparkSession, d: str) -> DataFrame:
+def _routed(s: SparkSession, d: str, summary: Column | None = None) -> DataFrame:
     e = views.entries(s, d).drop("html")
+    e = e if summary is None else e.withColumn("summary", summary)
     existing = views.table(s, d, "pages").filter("page_id % 5 = 0").select(F.col("url").alias("link"))
     return scan.route(e, views.KEYWORDS, views.TRUSTED, existing, F.col("as_of"), OPTIONS)
 
@@ -42,25 +47,50 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return views.table(s, d, "pages").select(urls.trim_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
 
 
+#: two entries in three report cases, one of them none
+_CASE_SUMMARY = "concat(CASE entry_ord % 3 WHEN 0 THEN concat('Ghi nhận ', entry_ord, ' ca, ') WHEN 1 THEN 'có 12  ca mắc; ' ELSE '' END, summary)"
+
+
+def _stored(s: SparkSession, d: str) -> store.Store:
+    """A store after two scans of the same entries; the second finds nothing new."""
+    own = store.Store(s, places.new(s, "store"))
+    own.create()
+    for _ in range(2):
+        e = views.entries(s, d).drop("html").withColumn("summary", F.expr(_CASE_SUMMARY))
+        routed = scan.route(e, views.KEYWORDS, views.TRUSTED, own.read("article_identity"), F.col("as_of"), OPTIONS)
+        own.save_scan(routed, F.col("published_date"))
+    return own
+
+
+def _named(s: SparkSession) -> store.Store:
+    own = store.Store(s, places.new(s, "store"))
+    own.add_keywords("sởi", " cúm A ", "ho gà", now=datetime.fromisoformat(NOW))
+    own.add_keywords("cúm A", "dại", now=datetime.fromisoformat(NOW), strict=False)
+    own.delete_keyword(1)
+    own.add_domains("VnExpress.net", "a.vn")
+    return own
+
+
 QUERIES = {
     "scan_flagship": _flagship,
     "scan_trusted_new": lambda s, d: scan.saved(_routed(s, d)).select("entry_ord", "link", "source"),
     "scan_unknown": lambda s, d: scan.unknown(_routed(s, d)).select("title", "link", "source", "keywords_matched", "tags"),
     "scan_saved_count": lambda s, d: scan.counts(_routed(s, d)),
     "scan_cases": lambda s, d: scan.cases(_routed(s, d).withColumn("case_count", F.length("title")), F.col("published_date")),
+    "scan_cases_found": lambda s, d: scan.cases(_routed(s, d, F.expr(_CASE_SUMMARY)), F.col("published_date")),
+    "stored_articles": lambda s, d: stats.flat_articles((x := _stored(s, d)).read("article_identity"), x.read("article_details")).drop("summary"),
+    "stored_cases": lambda s, d: _stored(s, d).read("disease_cases").drop("id"),
+    "stored_keywords": lambda s, d: _named(s).read("keywords"),
+    "stored_domains": lambda s, d: _named(s).read("whitelist_domains"),
+    "cases_of_article": lambda s, d: views.identity(s, d).join(views.cases(s, d), F.col("id") == F.col("article_id")).select("id", "title", "disease_name", "case_count"),
+    "trusted_mixed_case": lambda s, d: views.table(s, d, "pages").filter(scan.trusted(urls.domain(F.col("url")), [x.title() for x in views.TRUSTED])).select("page_id"),
     "first_seen_link": lambda s, d: dedup.first_seen(views.entries(s, d)).select("link", "feed_ord", "entry_ord"),
-    "keyword_match": lambda s, d: views.table(s, d, "documents").select("doc_id", F.array_join(text.matched(F.substring("text", 1, 80), views.KEYWORDS), ", ").alias("matched")),
-    "keyword_exclusion": lambda s, d: views.table(s, d, "documents").filter(~text.is_excluded(F.substring("text", 1, 80), views.EXCLUDED)).select("doc_id"),
-    "keyword_explode_counts": lambda s, d: views.table(s, d, "documents").select(F.explode(text.matched(F.substring("text", 1, 80), views.KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")),
+    "keyword_match": lambda s, d: views.table(s, d, "documents").select("doc_id", F.array_join(text.matched(F.col("text"), views.KEYWORDS), ", ").alias("matched")),
+    "keyword_exclusion": lambda s, d: views.table(s, d, "documents").filter(~text.is_excluded(F.col("text"), views.EXCLUDED)).select("doc_id"),
+    "keyword_explode_counts": lambda s, d: views.table(s, d, "documents").select(F.explode(text.matched(F.col("text"), views.KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")),
     "tag_new_alert": lambda s, d: views.entries(s, d).select("entry_ord", text.tags(F.col("title"), F.col("published"), F.col("as_of"), views.ALERTS).alias("tags")),
-    "case_count_extract": lambda s, d: _case_texts(s, d, F.substring("text", 1, 40)).select("doc_id", text.case_count(F.col("t")).alias("cases")),
-    "primary_disease": lambda s, d: views.table(s, d, "documents").select("doc_id", text.primary_disease(text.match_keywords(F.substring("text", 1, 80), views.KEYWORDS, views.EXCLUDED)).alias("disease")),
-    # the same over whole texts; the five above read a text's beginning as a title, as their SQL does
-    "keyword_match_whole": lambda s, d: views.table(s, d, "documents").select("doc_id", F.array_join(text.matched(F.col("text"), views.KEYWORDS), ", ").alias("matched")),
-    "keyword_exclusion_whole": lambda s, d: views.table(s, d, "documents").filter(~text.is_excluded(F.col("text"), views.EXCLUDED)).select("doc_id"),
-    "keyword_explode_counts_whole": lambda s, d: views.table(s, d, "documents").select(F.explode(text.matched(F.col("text"), views.KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")),
-    "primary_disease_whole": lambda s, d: views.table(s, d, "documents").select("doc_id", text.primary_disease(text.match_keywords(F.col("text"), views.KEYWORDS, views.EXCLUDED)).alias("disease")),
-    "case_count_extract_whole": lambda s, d: _case_texts(s, d, F.col("text")).select("doc_id", text.case_count(F.col("t")).alias("cases")),
+    "case_count_extract": lambda s, d: _case_texts(s, d, F.col("text")).select("doc_id", text.case_count(F.col("t")).alias("cases")),
+    "primary_disease": lambda s, d: views.table(s, d, "documents").select("doc_id", text.primary_disease(text.match_keywords(F.col("text"), views.KEYWORDS, views.EXCLUDED)).alias("disease")),
     "summary_truncate": lambda s, d: views.table(s, d, "documents").select("doc_id", text.truncated(F.col("text")).alias("summary")),
     "source_domain": lambda s, d: views.table(s, d, "pages").select("page_id", urls.domain(F.col("url")).alias("source")),
     "trim_url": lambda s, d: views.table(s, d, "pages").select("page_id", urls.trim_url(F.col("url")).alias("trimmed")),
@@ -71,7 +101,7 @@ QUERIES = {
     "articles_page": lambda s, d: stats.page(views.identity(s, d), F.desc("published_date"), F.desc("id"), skip=20, limit=10).select("id", "link", "published_date"),
     "keywords_page": lambda s, d: stats.page(views.table(s, d, "nation").select("n_nationkey", "n_name"), F.desc("n_nationkey"), skip=5, limit=10),
     "whitelist_page": lambda s, d: stats.ui_page(views.table(s, d, "nation").select("n_nationkey", "n_name"), F.asc("n_nationkey"), number=2),
-    "overview": lambda s, d: stats.overview(views.identity(s, d), views.details(s, d), views.cases(s, d)),
+    "overview": lambda s, d: stats.overview(views.identity(s, d), views.details(s, d), views.cases(s, d), F.lit(NOW).cast("timestamp_ntz")),
     "trends_daily": lambda s, d: stats.trends(views.cases(s, d), 7, F.col("as_of")),
     "trends_labeled": lambda s, d: stats.labelled(stats.trends(views.cases(s, d), 7, F.col("as_of"))),
     "article_dto": lambda s, d: stats.flat_articles(views.identity(s, d), views.details(s, d)),
@@ -90,7 +120,7 @@ QUERIES = {
     "selection_tally": lambda s, d: selection.tally(views.table(s, d, "customer").withColumnRenamed("c_nationkey", "k"), views.table(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("k")), "k"),
     "title_near_dup_pairs": lambda s, d: dedup.near_pairs(dedup.first_seen(views.entries(s, d).withColumn("title", F.lower("title")), "title").select(F.col("entry_ord").alias("id"), "title")),
     "title_fuzzy_dedup": lambda s, d: dedup.fuzzy_first(views.entries(s, d)).select("entry_ord", "title"),
-    "search_news": lambda s, d: search.search_news(_raw_entries(s, d), _pages(s, d), views.KEYWORDS, 30, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")),
+    "search_news": lambda s, d: search.search_news(_raw_entries(s, d), _pages(s, d), views.KEYWORDS, 30, F.lit(NOW).cast("timestamp_ntz")),
     "html_snippet": lambda s, d: views.table(s, d, "pages").select("page_id", html.snippet("html").alias("snippet")),
 }
 
@@ -120,11 +150,12 @@ r AS (SELECT entry_ord, link, title, {_DOMAIN.format("link")} AS source, publish
   {_TAGS.format("title", "published", "as_of")} AS tags, {_CASES.format("title || ' ' || summary")} AS case_count, {_TRUSTED.format(_DOMAIN.format("link"))} AS is_whitelisted, {_TRUNCATED.format("summary")} AS summary
   FROM hit WHERE keywords_matched IS NOT NULL AND published >= as_of - INTERVAL 5 DAY),
 routed AS (SELECT r.*, CASE WHEN NOT is_whitelisted THEN 'unknown' WHEN link IN (SELECT url FROM pages WHERE page_id % 5 = 0) THEN 'existing' ELSE 'saved' END AS route FROM r)"""
+_ROUTED_CASES = _ROUTED.replace("d.text AS summary", "CASE d.doc_id % 3 WHEN 0 THEN 'Ghi nhận ' || d.doc_id || ' ca, ' WHEN 1 THEN 'có 12  ca mắc; ' ELSE '' END || d.text AS summary")
+_STORED = _ROUTED_CASES.replace(" WHEN link IN (SELECT url FROM pages WHERE page_id % 5 = 0) THEN 'existing'", "").replace("SELECT entry_ord, link, title,", "SELECT feed_ord, entry_ord, link, title,") + ", kept AS (SELECT *, row_number() OVER (ORDER BY feed_ord, entry_ord) AS id FROM routed WHERE route = 'saved')"
 _CASE_ROWS = "c0 AS (SELECT event_id AS article_id, event_type AS disease_name, CAST(floor(value) AS BIGINT) AS case_count, ts AS report_date FROM events), cases AS (SELECT *, max(report_date) OVER () AS as_of FROM c0)"
 _TREND = "trend AS (SELECT strftime(report_date, '%Y-%m-%d') AS date, CAST(sum(case_count) AS BIGINT) AS cases FROM cases WHERE report_date >= as_of - INTERVAL {0} DAY GROUP BY 1)"
 _DETAILS = f"""details AS (SELECT entry_ord AS article_id, {_TRUNCATED.format("summary")} AS summary, {_DOMAIN.format("link")} AS source,
   CASE WHEN NOT ({_EXCLUDED.format("title")}) THEN nullif({_MATCHED.format("title")}, '') END AS keywords_matched, {_TAGS.format("title", "published", "as_of")} AS tags, entry_ord % 2 = 0 AS is_whitelisted FROM ent WHERE entry_ord % 3 <> 0)"""
-_T80 = "substr(text, 1, 80)"
 
 ORACLES = {
     "scan_flagship": f"{_ROUTED} SELECT {', '.join(SCAN_COLUMNS)}, summary FROM routed",
@@ -132,20 +163,21 @@ ORACLES = {
     "scan_unknown": f"{_ROUTED} SELECT title, link, source, keywords_matched, tags FROM routed WHERE route = 'unknown'",
     "scan_saved_count": f"{_ROUTED} SELECT count(*) AS saved_trusted_count FROM routed WHERE route = 'saved'",
     "scan_cases": f"{_ROUTED} SELECT link, primary_disease AS disease_name, CAST(length(title) AS INT) AS case_count, '{LOCATION}' AS location, published_date AS report_date FROM routed WHERE route = 'saved' AND length(title) > 0",
+    "scan_cases_found": f"{_ROUTED_CASES} SELECT link, primary_disease AS disease_name, case_count, '{LOCATION}' AS location, published_date AS report_date FROM routed WHERE route = 'saved' AND case_count > 0",
+    "stored_articles": f"{_STORED} SELECT id, title, link, published_date, source, keywords_matched, tags, is_whitelisted FROM kept",
+    "stored_cases": f"{_STORED} SELECT id AS article_id, primary_disease AS disease_name, case_count, '{LOCATION}' AS location, published_date AS report_date FROM kept WHERE case_count > 0",
+    "stored_keywords": f"SELECT CAST(id AS BIGINT) AS id, t AS text, TIMESTAMP '{NOW}' AS created_at FROM (VALUES (2, 'cúm A'), (3, 'ho gà'), (4, 'dại')) v(id, t)",
+    "stored_domains": "SELECT CAST(id AS BIGINT) AS id, d AS domain, true AS is_active FROM (VALUES (1, 'vnexpress.net'), (2, 'a.vn')) v(id, d)",
+    "cases_of_article": f"WITH {_ENTRIES} SELECT entry_ord AS id, title, event_type AS disease_name, CAST(floor(value) AS BIGINT) AS case_count FROM ent JOIN events ON event_id = entry_ord",
+    "trusted_mixed_case": f"SELECT page_id FROM pages WHERE {_TRUSTED.format(_DOMAIN.format('url'))}",
     "first_seen_link": f"WITH {_ENTRIES} SELECT link, feed_ord, entry_ord FROM ent QUALIFY row_number() OVER (PARTITION BY link ORDER BY feed_ord, entry_ord) = 1",
-    "keyword_match": f"SELECT doc_id, {_MATCHED.format(_T80)} AS matched FROM documents",
-    "keyword_exclusion": f"SELECT doc_id FROM documents WHERE NOT ({_EXCLUDED.format(_T80)})",
-    "keyword_explode_counts": f"SELECT keyword, count(*) AS n FROM (SELECT unnest(list_filter({_list(views.KEYWORDS)}, lambda k: contains(lower({_T80}), k))) AS keyword FROM documents) GROUP BY 1",
+    "keyword_match": f"SELECT doc_id, {_MATCHED.format('text')} AS matched FROM documents",
+    "keyword_exclusion": f"SELECT doc_id FROM documents WHERE NOT ({_EXCLUDED.format('text')})",
+    "keyword_explode_counts": f"SELECT keyword, count(*) AS n FROM (SELECT unnest(list_filter({_list(views.KEYWORDS)}, lambda k: contains(lower(text), k))) AS keyword FROM documents) GROUP BY 1",
     "tag_new_alert": f"WITH {_ENTRIES} SELECT entry_ord, {_TAGS.format('title', 'published', 'as_of')} AS tags FROM ent",
     "case_count_extract": f"""SELECT doc_id, {_CASES.format("t")} AS cases FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ghi nhận ' || n_chars || ' ca, ' WHEN 1 THEN 'phát hiện 3 ca và ' || n_chars || ' ca mắc '
-  WHEN 2 THEN n_chars || '.500 TRƯỜNG HỢP ' ELSE '' END || substr(text, 1, 40) AS t FROM documents)""",
-    "primary_disease": f"SELECT doc_id, CASE WHEN NOT ({_EXCLUDED.format(_T80)}) THEN nullif(split_part({_MATCHED.format(_T80)}, ', ', 1), '') END AS disease FROM documents",
-    "keyword_match_whole": f"SELECT doc_id, {_MATCHED.format('text')} AS matched FROM documents",
-    "keyword_exclusion_whole": f"SELECT doc_id FROM documents WHERE NOT ({_EXCLUDED.format('text')})",
-    "keyword_explode_counts_whole": f"SELECT keyword, count(*) AS n FROM (SELECT unnest(list_filter({_list(views.KEYWORDS)}, lambda k: contains(lower(text), k))) AS keyword FROM documents) GROUP BY 1",
-    "primary_disease_whole": f"SELECT doc_id, CASE WHEN NOT ({_EXCLUDED.format('text')}) THEN nullif(split_part({_MATCHED.format('text')}, ', ', 1), '') END AS disease FROM documents",
-    "case_count_extract_whole": f"""SELECT doc_id, {_CASES.format("t")} AS cases FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ghi nhận ' || n_chars || ' ca, ' WHEN 1 THEN 'phát hiện 3 ca và ' || n_chars || ' ca mắc '
   WHEN 2 THEN n_chars || '.500 TRƯỜNG HỢP ' ELSE '' END || text AS t FROM documents)""",
+    "primary_disease": f"SELECT doc_id, CASE WHEN NOT ({_EXCLUDED.format('text')}) THEN nullif(split_part({_MATCHED.format('text')}, ', ', 1), '') END AS disease FROM documents",
     "summary_truncate": f"SELECT doc_id, {_TRUNCATED.format('text')} AS summary FROM documents",
     "source_domain": f"SELECT page_id, {_DOMAIN.format('url')} AS source FROM pages",
     "trim_url": r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', '') AS trimmed FROM pages",
@@ -157,7 +189,7 @@ ORACLES = {
     "keywords_page": "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey DESC LIMIT 10 OFFSET 5",
     "whitelist_page": "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 10 OFFSET 10",
     "overview": f"""WITH {_ENTRIES}, {_DETAILS} SELECT (SELECT count(*) FROM ent) AS total_articles, (SELECT CAST(coalesce(sum(CAST(floor(value) AS BIGINT)), 0) AS BIGINT) FROM events) AS total_cases,
-  (SELECT count(*) FROM ent JOIN details ON article_id = entry_ord WHERE tags LIKE '%{TAG_ALERT}%') AS alert_count""",
+  (SELECT count(*) FROM ent JOIN details ON article_id = entry_ord WHERE tags LIKE '%{TAG_ALERT}%') AS alert_count, TIMESTAMP '{NOW}' AS last_updated""",
     "trends_daily": f"WITH {_CASE_ROWS}, {_TREND.format(7)} SELECT * FROM trend",
     "trends_labeled": f"WITH {_CASE_ROWS}, {_TREND.format(7)} SELECT substr(date, 6, 2) || '/' || substr(date, 9, 2) AS name, cases FROM trend",
     "article_dto": f"WITH {_ENTRIES}, {_DETAILS} SELECT entry_ord AS id, title, link, published AS published_date, details.summary, source, keywords_matched, tags, coalesce(is_whitelisted, false) AS is_whitelisted FROM ent LEFT JOIN details ON article_id = entry_ord",
@@ -175,3 +207,7 @@ ORACLES = {
     "selection_tally": "SELECT count(*) AS found, count(*) FILTER (WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) AS chosen FROM customer",
     "trend_spikes": f"WITH {_CASE_ROWS}, {_TREND.format(30)} SELECT date, cases, coalesce(cases >= 2 * avg(cases) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), false) AS is_spike FROM trend",
 }
+
+#: earlier names of the same queries
+for _name in ("keyword_match", "keyword_exclusion", "keyword_explode_counts", "primary_disease", "case_count_extract"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

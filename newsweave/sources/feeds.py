@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.functions import dates, text
+from newsweave.operators.numbering import numbered
 
 ITEM = "link string, title string, summary string, description string, pubDate string, published string, updated string, _corrupt_record string"
 
+PLACE = ("_file", "_block", "_row")
+
 
 def read_feed(spark: SparkSession, path: str, feed_ord: int, row_tag: str = "item") -> DataFrame:
     """The entries of one feed's RSS files (`row_tag="entry"` for Atom), in file order; broken ones are kept and marked.
@@ -19,8 +22,10 @@ def read_feed(spark: SparkSession, path: str, feed_ord: int, row_tag: str = "ite
     """
     rows = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(ITEM).load(path)
     bad = F.col("_corrupt_record").isNotNull() | F.coalesce("link", "title").isNull()
+    place = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2])]
     when = F.coalesce("pubDate", "published", "updated")
-    made = rows.select(F.lit(feed_ord).alias("feed_ord"), F.monotonically_increasing_id().alias("entry_ord"), text.strip(F.col("link")).alias("link"), "title", "summary", "description", when.alias("published_text"), bad.alias("malformed"))
+    made = rows.select(F.lit(feed_ord).alias("feed_ord"), text.strip(F.col("link")).alias("link"), "title", "summary", "description", when.alias("published_text"), bad.alias("malformed"), *place)
+    made = numbered(made, "entry_ord", *[F.col(c) for c in PLACE], after=-1).drop(*PLACE)  # by file, whatever order Spark reads them in
     return made.withColumn("published", dates.parsed(F.col("published_text")))
 
 

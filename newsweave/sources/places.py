@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder; one of this machine's own only where none is configured."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The shared checkpoint folder; where none is configured, one in the warehouse, or this machine's own if it is the only one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsweave-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_newsweave"
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="newsweave-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new(spark: SparkSession, name: str) -> str:
+    """A folder below it that is not in use; it goes when the session ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,11 +2,13 @@
 
 A table is a folder of version folders; the highest one that has its `_SUCCESS` mark is current. An append adds a
 version that holds only new rows and a deletion one that replaces all before it (its name says so), so a failed write
-never shows. There is one writer at a time.
+never shows. Versions of several tables that belong together carry one commit in their names and show only once the
+commit's articles, which are written last, are there. There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from datetime import datetime
 
@@ -21,6 +23,9 @@ from newsweave.schemas import TABLES
 from .places import cut
 
 
+IDENTITY = "article_identity"
+
+
 class Duplicate(ValueError):
     """The row is stored already."""
 
@@ -36,7 +41,11 @@ class Store:
         if not fs.exists(path):
             return []
         found = sorted(s.getPath().getName() for s in fs.listStatus(path))
-        return [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{v}/_SUCCESS"))]
+        full = [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{v}/_SUCCESS"))]
+        if table != IDENTITY and any(v.count("-") > 1 for v in full):
+            done = {v.split("-")[2] for v in self._versions(IDENTITY) if v.count("-") > 1}
+            full = [v for v in full if v.count("-") < 2 or v.split("-")[2] in done]
+        return full
 
     def read(self, table: str) -> DataFrame:
         """The current rows; no rows where nothing is stored."""
@@ -47,9 +56,10 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
-    def _write(self, table: str, rows: DataFrame, replace: bool = False) -> None:
+    def _write(self, table: str, rows: DataFrame, replace: bool = False, commit: str = "") -> None:
         number = 1 + max((int(v.split("-")[0]) for v in self._versions(table)), default=0)
-        rows.write.parquet(f"{self.root}/{table}/{number:010d}-{'all' if replace else 'add'}")
+        name = f"{number:010d}-{'all' if replace else 'add'}" + (f"-{commit}" if commit else "")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")  # over what a failed write left
 
     def _numbered(self, table: str, rows: DataFrame, *order: Column) -> DataFrame:
         """Rows with the next ids, in order."""
@@ -69,21 +79,24 @@ class Store:
         for table, schema in TABLES.items():
             self._write(table, self.spark.createDataFrame([], schema), replace=True)
 
-    def _add_articles(self, articles: DataFrame, as_of: Column, *order: str) -> DataFrame:
-        numbered = cut(self._numbered("article_identity", articles.withColumn("published_date", F.coalesce("published_date", as_of)), *[F.col(c) for c in order]))
-        self._write("article_identity", numbered.select("id", "title", "link", "published_date"))
+    def _add_articles(self, articles: DataFrame, as_of: Column, *order: str, with_cases: bool = False) -> int:
+        """Articles, their details and cases as one commit: a failure between the writes leaves nothing that shows."""
+        commit = uuid.uuid4().hex
+        numbered = cut(self._numbered(IDENTITY, articles.withColumn("published_date", F.coalesce("published_date", as_of)), *[F.col(c) for c in order]))
         last = self.read("article_details").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         first = numbered.agg(F.coalesce(F.min("id"), F.lit(1))).first()[0]
         own = numbered.select((F.col("id") - first + 1 + last).alias("id"), F.col("id").alias("article_id"), "summary", "source", "keywords_matched", "tags", F.coalesce("is_whitelisted", F.lit(False)).alias("is_whitelisted"))
-        self._write("article_details", own)
-        return numbered
+        self._write("article_details", own, commit=commit)
+        if with_cases:
+            rows = cases(numbered, as_of).join(numbered.select("link", F.col("id").alias("article_id")), "link")
+            rows = self._numbered("disease_cases", rows, F.col("article_id")).select("id", "article_id", "disease_name", "case_count", "location", "report_date")
+            self._write("disease_cases", rows, commit=commit)
+        self._write(IDENTITY, numbered.select("id", "title", "link", "published_date"), commit=commit)
+        return numbered.count()
 
     def save_scan(self, routed: DataFrame, as_of: Column) -> int:
         """Store the saved articles of a scan and their cases; gives the number of articles."""
-        numbered = self._add_articles(saved(routed).drop("id"), as_of, *ORDER)
-        rows = cases(numbered, as_of).join(numbered.select("link", F.col("id").alias("article_id")), "link")
-        self._write("disease_cases", self._numbered("disease_cases", rows, F.col("article_id")).select("id", "article_id", "disease_name", "case_count", "location", "report_date"))
-        return numbered.count()
+        return self._add_articles(saved(routed).drop("id"), as_of, *ORDER, with_cases=True)
 
     def save_articles(self, articles: DataFrame, as_of: Column, strict: bool = True) -> int:
         """Store articles approved by hand (one or many); with `strict`, one that is stored already is an error."""
@@ -112,7 +125,8 @@ class Store:
         return self._add_named("keywords", "text", texts, {"created_at": F.lit(now).cast("timestamp_ntz")}, strict)
 
     def add_domains(self, *domains: str, strict: bool = True) -> int:
-        return self._add_named("whitelist_domains", "domain", domains, {"is_active": F.lit(True)}, strict)
+        """Store trusted domains, in small letters."""
+        return self._add_named("whitelist_domains", "domain", [d.lower() for d in domains], {"is_active": F.lit(True)}, strict)
 
     def delete_keyword(self, id_: int) -> bool:
         """Whether there was such a keyword; the others become a new version."""

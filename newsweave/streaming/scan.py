@@ -19,7 +19,8 @@ def entry_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> D
 
 
 def scan_stream(entries: DataFrame, store: Store, as_of: Callable[[], Column], checkpoint: str, options: ScanOptions | None = None) -> StreamingQuery:
-    """Scan what has arrived and stop. Links seen in stored articles are not stored again, so a repeated batch is harmless."""
+    """Scan what has arrived and stop. A batch is stored as one commit and links of stored articles are not stored again, so a batch
+    that failed or is repeated does no harm."""
 
     def scan(batch: DataFrame, _: int) -> None:
         now = as_of()

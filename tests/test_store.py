@@ -98,3 +98,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert chosen.keywords == ["sởi", "x1"]
     assert cli.run(spark, chosen) == 1
     assert capsys.readouterr().out.startswith("1. Sởi\n2024-03-05 03:00\nhttps://a.vn/1\n")
+
+
+def test_a_failure_between_writes_leaves_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    routed = lambda: scan.route(spark.createDataFrame(rows(4), ENTRY), ["sởi"], [], store.read("article_identity"), as_of())
+    write = Store._write
+    for broken in ("article_identity", "disease_cases"):
+
+        def fail(self, table, *args, _broken=broken, **kwargs):
+            if table == _broken:
+                raise OSError("lost")
+            write(self, table, *args, **kwargs)
+
+        monkeypatch.setattr(Store, "_write", fail)
+        with pytest.raises(OSError, match="lost"):
+            store.save_scan(routed(), as_of())
+        monkeypatch.setattr(Store, "_write", write)
+        assert [store.read(t).count() for t in ("article_identity", "article_details", "disease_cases")] == [0, 0, 0]
+    assert store.save_scan(routed(), as_of()) == 4
+    assert [store.read(t).count() for t in ("article_identity", "article_details", "disease_cases")] == [4, 4, 2]
+
+
+def test_domains_in_capitals_are_trusted(spark):
+    routed = scan.route(spark.createDataFrame(rows(2), ENTRY), ["sởi"], ["VnExpress.NET"], None, as_of())
+    assert {r.route for r in routed.collect()} == {"saved"}
+    assert scan.route(spark.createDataFrame(rows(2), ENTRY), None, [], None, as_of()).count() == 0
