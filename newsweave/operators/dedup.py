@@ -62,9 +62,10 @@ def near_pairs(titles: DataFrame) -> DataFrame:
     # only ids, lengths and 64-bit digests of (length, number of the piece, piece) meet; a wrong meeting is found by the ratio
     short = sized.withColumn("k", F.expr(edits)).select("id", "title", "n", F.explode(F.expr(cuts)).alias("c"))
     short = short.select("id", "n", F.expr("xxhash64(n, c.nth, substring(title, c.at + 1, c.to - c.at))").alias("piece"))
-    # the longer side looks at every length it may meet, at every piece, at every place that the edits leave open
+    # the longer side looks at every length that it may meet and that there is, at every piece, at every place that the edits leave open
     long = sized.select(F.col("id").alias("l_id"), "title", F.col("n").alias("l_n"))
-    long = long.select("*", F.explode(F.expr("sequence(cast(ceil(19 * l_n / 21) as int), l_n)")).alias("n")).withColumn("k", F.expr(edits))
+    long = long.select("*", F.explode(F.expr("sequence(cast(ceil(19 * l_n / 21) as int), l_n)")).alias("n"))
+    long = long.join(sized.select("n").distinct(), "n", "left_semi").withColumn("k", F.expr(edits))
     first = "greatest(0, c.at - c.nth, c.at + l_n - n - (k - c.nth))"
     last = "least(l_n - (c.to - c.at), c.at + c.nth, c.at + l_n - n + (k - c.nth))"
     places = f"transform(if({first} <= {last}, sequence({first}, {last}), array()), place -> xxhash64(n, c.nth, substring(title, place + 1, c.to - c.at)))"
@@ -72,6 +73,7 @@ def near_pairs(titles: DataFrame) -> DataFrame:
     met = short.join(looked, "piece").filter((F.col("n") < F.col("l_n")) | ((F.col("n") == F.col("l_n")) & (F.col("id") < F.col("l_id"))))
     pairs = met.select("id", "l_id").distinct()
     pairs = pairs.join(sized.select("id", "title", "n"), "id").join(sized.select(F.col("id").alias("l_id"), F.col("title").alias("l_title"), F.col("n").alias("l_n")), "l_id")
+    pairs = pairs.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "l_id")  # few bytes, much work
     close = pairs.filter(F.levenshtein("title", "l_title") <= F.expr("cast(floor((n + l_n) * 0.05) as int)")).filter(alike("title", "l_title"))
     return close.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b"))
 
