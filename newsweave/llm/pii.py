@@ -8,8 +8,10 @@ The method then learns from the base spans as seeds. The two words before a seed
 and every identifier-like word (with a digit or an at sign, of any length) or run of digit groups (joined by blanks, dots, hyphens
 or brackets) that follows the same two words anywhere are linked; patterns of cards and phones take a run whole, those of the
 other kinds take its words. `ROUNDS` times a pattern's confidence becomes the mean score of its instances (seeds of its
-kind score 1) and an instance's score the noisy-or of its patterns. Patterns with `SEEDS` different seeds
-and a confidence of `SURE` or more are trusted; their unseen instances are added as spans of the pattern's kind.
+kind score 1) and an instance's score the noisy-or of its patterns. `SEEDS` different instances with a score of `SURE` or more,
+seeds or found ones, induce a pattern, so what one round finds brings new patterns in the next. Patterns with a confidence of
+`SURE` or more in the last round are trusted; their unseen instances are added as spans of the pattern's kind. A pattern's two words
+and the blanks around them take less than `REACH` characters; longer words make no pattern.
 
 Counts and the digest are of base spans. Null and empty texts have no spans (the digest of an empty string); rows
 keep their own identity, so null and repeated doc_ids give one row each; an empty table gives no rows; further
@@ -74,7 +76,8 @@ def _valid(kind: str, value: Column) -> Column:
 def _left(text: Column, start: Column) -> Column:
     """The two words before a place, small letters, digits alike; null where there are not two."""
     near = text.substr(F.greatest(F.lit(1), start - (REACH - 1)), F.least(start, F.lit(REACH)))
-    words = F.regexp_extract(near, r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
+    # beyond the reach a word is never cut: its beginning must be seen
+    words = F.regexp_extract(F.when(start < REACH, F.concat(F.lit(" "), near)).otherwise(near), r"\s(\S+\s+\S+)\s*$", 1)
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(words), r"\s+", " "), "[0-9]", "0"), F.lit(""))
 
 
@@ -154,23 +157,22 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
     """left, kind of the trusted patterns."""
     seeds = rows.select(F.explode("base").alias("s")).select("s.left", "s.kind", F.lower("s.value").alias("value")).filter("left is not null").distinct()
     loose = rows.select(F.explode("loose").alias("s")).select("s.left", F.lower("s.value").alias("value"), F.col("s.kind").alias("form")).filter("left is not null")
-    heads = seeds.groupBy("left").agg(F.countDistinct("kind", "value").alias("known")).filter(F.col("known") >= SEEDS)
     # a seed stands beside the candidates of both forms
     known = seeds.select("left", "value", F.explode(F.array(F.lit(True), F.lit(False))).alias("grouped"))
     unseen = loose.select("left", "value", F.explode(_forms(F.col("form"))).alias("grouped"))
-    edges = known.union(unseen).join(heads.select("left"), "left", "left_semi").distinct()
-    edges = cut(edges)
+    edges = cut(known.union(unseen).distinct())
     of = edges.groupBy("left", "grouped").agg(F.count("*").alias("of"))
     fixed = seeds.select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    support = seeds.groupBy("left", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= SEEDS)
     scores, patterns = fixed, None
     for _ in range(ROUNDS):
-        total = edges.join(scores.withColumn("grouped", _grouped(F.col("kind"))), ["value", "grouped"]).groupBy("left", "kind", "grouped").agg(F.sum("score").alias("sum"))
-        patterns = cut(total.join(of, ["left", "grouped"]).join(support, ["left", "kind"]).select("left", "kind", "grouped", (F.col("sum") / F.col("of")).alias("conf")))
+        mine = edges.join(scores.withColumn("grouped", _grouped(F.col("kind"))), ["value", "grouped"])
+        total = mine.groupBy("left", "kind", "grouped").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= SURE).alias("sure"))
+        # instances found before induce patterns like seeds do
+        patterns = cut(total.filter(F.col("sure") >= SEEDS).join(of, ["left", "grouped"]).select("left", "kind", "grouped", (F.col("sum") / F.col("of")).alias("conf")))
         reached = edges.join(patterns, ["left", "grouped"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
         reached = reached.join(fixed.select("value", "kind"), ["value", "kind"], "left_anti")
         scores = cut(fixed.unionByName(reached))
-    best = patterns.filter(F.col("conf") >= SURE).groupBy("left").agg(F.max(F.struct("conf", -F.col("kind"))).alias("m"), F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"))
+    best = patterns.filter(F.col("conf") >= SURE).groupBy("left").agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"))
     return best.select("left", "kind")
 
 
