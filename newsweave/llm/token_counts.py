@@ -24,15 +24,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import chunks, text_column
-from .shared import shared_path, until_exit
+from .shared import shared_path, stored, until_exit
 from .shared import store as _files
-from .tokens import encoder, with_end
+from .tokens import default_tokenizer, encoder, with_end
 
 SEPARATOR = 50256
 BLOCK_BYTES = 4 << 20
 BLOCKS = "file string, block bigint, n bigint, head bigint, tail bigint, lengths array<bigint>"
 
 
+def id_type(tokenizer: str | None = None) -> str:
+    """16 bits where all ids of the vocabulary fit, else 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer or default_tokenizer()).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _writing(folder: str, path: str | None, separator: int, dtype: str):
     def run(batches):
         ids_of = None
@@ -46,6 +53,8 @@ def _writing(folder: str, path: str | None, separator: int, dtype: str):
                 ids_of = encoder(path, True)
                 out = store.open_output_stream(draft)
             flat, per_row = with_end(*ids_of.encode(text_column(batch)), separator)
+            if len(flat) and int(flat.max()) > np.iinfo(dtype).max:
+                raise ValueError(f"an id does not fit {dtype}")
             out.write(flat.astype(dtype).tobytes())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(nth, nth + n)), text_column(batch, "doc_id")], names=["file", "nth", "doc_id"])
@@ -91,13 +100,16 @@ def scan_flat(spark: SparkSession, folder: str, separator: int = SEPARATOR, dtyp
     blocks = offsets.select("path", "offset", F.least(F.lit(block_bytes), F.col("length") - F.col("offset")).alias("size"), (F.col("offset") / block_bytes).cast("long").alias("block"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     got = blocks.repartition(parts, "path", "offset").mapInArrow(_scanning(separator, dtype), BLOCKS)
+    got = stored(got, "flat-blocks")
+    # only the blocks' numbers meet in a file's window, not the lengths of their documents
     order = W.partitionBy("file").orderBy("block")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     # ids since the last separator before the block, and separators before it
-    seen = got.withColumn("open", F.sum(F.when(F.col("n") == 0, F.col("tail")).otherwise(0)).over(order))
+    seen = got.drop("lengths").withColumn("open", F.sum(F.when(F.col("n") == 0, F.col("tail")).otherwise(0)).over(order))
     seen = seen.withColumn("mark", F.when(F.col("n") > 0, F.col("tail") - F.col("open")))
     carried = F.coalesce(F.last("mark", ignorenulls=True).over(before), F.lit(0)) + F.coalesce(F.last("open").over(before), F.lit(0))
     seen = seen.withColumns({"carried": carried, "base": F.coalesce(F.sum("n").over(before), F.lit(0)), "is_last": F.lead("block").over(order).isNull()})
+    seen = seen.join(got.select("file", "block", "lengths").hint("merge"), ["file", "block"])
     first = F.array(F.struct((F.col("base")).alias("nth"), (F.col("carried") + F.col("head")).alias("n_tokens"), F.lit(True).alias("ended")))
     inner = F.transform("lengths", lambda x, i: F.struct((F.col("base") + i + 1).alias("nth"), x.alias("n_tokens"), F.lit(True).alias("ended")))
     left = F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail"))
@@ -111,7 +123,9 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens of every document, counted by scanning flat files written in the shared folder."""
     spark = docs.sparkSession
     folder = shared_path(spark, "flat-ids")
-    keys = write_flat(docs, folder, tokenizer)
+    dtype = id_type(tokenizer)
+    keys = write_flat(docs, folder, tokenizer, dtype=dtype)
     for path in (folder, f"{folder}-keys"):
         until_exit(spark, path)
-    return keys.join(scan_flat(spark, folder), ["file", "nth"]).select("doc_id", "n_tokens")
+    # both sides grow with the documents: neither is broadcast
+    return keys.hint("merge").join(scan_flat(spark, folder, dtype=dtype).hint("merge"), ["file", "nth"]).select("doc_id", "n_tokens")
