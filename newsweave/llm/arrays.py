@@ -8,6 +8,8 @@ and the longest single text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def release() -> None:
+    """Hand freed memory back to the system, as workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of record batches with at most `limit` bytes of text each, or a single row."""
     for batch in batches:
@@ -58,6 +67,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = min(max(to, at + 1), at + CHUNK_ROWS, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,8 +24,6 @@ are ignored. `train_tokens` is N. Everything gathered grows with the corpus; not
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import mmap
 import uuid
 import zlib
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .arrays import U64, Words, buffers, chunks, mix, text_column
+from .arrays import U64, Words, buffers, chunks, mix, release, text_column
 from .packed import pack, unpack, value
 from .shared import shared_path, store, stored, until_exit
 
@@ -116,13 +114,6 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("part"), table.column("chunk"), pa.array(payloads, pa.binary()), *sums], names=["part", "chunk", "payload", "tokens", "types", "words"])
 
 
-def _release() -> None:
-    """Hand freed memory back to the system, as workers live on between chunks and shards."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def unigram(counts: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (counts + 0.1) / (tokens + 0.1 * (types + 1))
 
@@ -147,7 +138,7 @@ def _dealt(tokens: int, types: int, sizes: dict[int, int], shard_tokens: int):
     shards, hot = _shards(tokens, shard_tokens), max(1, shard_tokens // 4)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _release()
+        release()
         rows: list[tuple[int, int, bytes]] = []
         for i in range(left.num_rows):
             chunk = value(left, "chunk", i)
@@ -282,7 +273,7 @@ def _scored(folder: str, keep: bool, tokens: int, types: int, strength: float):
         shard, chunk = table.column("shard")[0].as_py(), table.column("chunk")
         if shard < 0:
             return table.select(["shard", "chunk", "payload"])
-        _release()
+        release()
         own = _Tokens(table.column("payload").to_pylist())
         prior = unigram(own.counts, tokens, types)
         log10 = np.log10(prior)[own.word]

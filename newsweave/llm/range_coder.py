@@ -261,17 +261,18 @@ def encode_block(ids: np.ndarray) -> bytes:
     """The coded bytes of one block, at least one id."""
     if int(ids.max()) <= _ID:
         names = np.flatnonzero(np.bincount(ids))
-        where = np.zeros(int(names[-1]) + 1, np.int64)
+        where = np.zeros(int(names[-1]) + 1, np.int32)
         where[names] = np.arange(len(names))
         places = where[ids]
     else:
         names, places = np.unique(ids, return_inverse=True)
     lanes = _lanes(len(ids))
     steps = -(-len(ids) // lanes)
-    places = np.append(places, np.full(lanes * steps - len(ids), places[-1])).reshape(lanes, steps).T  # the last id fills up
+    places = np.append(places, np.full(lanes * steps - len(ids), places[-1])).astype(np.int32).reshape(lanes, steps)  # the last id fills up
     model, coder = _Model(len(names)), _Writer(lanes, steps)
     one = two = np.zeros(lanes, np.int64)
-    for now in np.ascontiguousarray(places):
+    for now in np.ascontiguousarray(places.T):
+        now = now.astype(np.int64)
         model.predict(one, two)
         coder.take(*model.interval(now))
         model.learn(now)
@@ -286,7 +287,7 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
     names = np.cumsum(unpack(raw[_BLOCK_HEAD.size : _BLOCK_HEAD.size + size])[0].astype(np.int64))
     lanes = _lanes(n)
     model, coder = _Model(kinds), _Reader(lanes, raw[_BLOCK_HEAD.size + size :])
-    out = np.zeros((-(-n // lanes), lanes), np.int64)
+    out = np.zeros((-(-n // lanes), lanes), np.int32)
     one = two = np.zeros(lanes, np.int64)
     for t in range(len(out)):
         model.predict(one, two)
@@ -295,7 +296,7 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
         model.learn(now)
         out[t] = now
         one, two = now + 1, one
-    return names[out.T.ravel()[:n]].astype(np.uint32)
+    return names.astype(np.uint32)[out.T.ravel()[:n]]
 
 
 def _stream(ids: np.ndarray) -> bytes:

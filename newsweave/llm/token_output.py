@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .arrays import chunks, text_column
+from .arrays import chunks, release, text_column
 from .shared import shared_path, until_exit
 from .tokens import encoder, with_end
 
@@ -58,6 +58,7 @@ def _coding(path: str | None, end: int, special_as_text: bool):
         return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "lengths", "n_tokens", "payload"])
 
     def run(batches):
+        release()
         ids_of, part, segment = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
         keys, ids, lens, held = [], [], [], 0
         for batch in chunks(batches):
@@ -67,6 +68,8 @@ def _coding(path: str | None, end: int, special_as_text: bool):
                 segment += out.num_rows
                 keys, ids, lens, held = [], [], [], 0
                 yield out
+                del out
+                release()
             keys.append(text_column(batch, "doc_id"))
             ids.append(flat.astype(np.uint16 if flat.max(initial=0) < 65536 else np.uint32))
             lens.append(per_row)
@@ -91,6 +94,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
 def _reading(batches):
     for batch in batches:
         for i in range(batch.num_rows):
+            release()
             part, segment, doc_ids, lengths, payload = (text_column(batch, c)[i] for c in ("part", "segment", "doc_ids", "lengths", "payload"))
             ids, lens = range_coder.decode([payload.as_py()])[0], lengths.values.to_numpy()
             stop = np.concatenate([[0], np.cumsum(lens)])

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from .arrays import U64, Fingerprints, buffers
 
-MOST_CACHED = 1_200_000
+MOST_CACHED = 800_000
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 
 
