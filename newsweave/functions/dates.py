@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from newsweave.constants import ZONES
 
+from .values import once
+
 #: tried in turn, after the weekday is gone and the zone is an offset
 PATTERNS = ("d MMM yyyy HH:mm:ss XXX", "d MMM yyyy HH:mm XXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss XXX", "yyyy-MM-dd XXX", "MMM d, yyyy XXX", "d MMM yyyy XXX")
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _with_offset(bare: Column) -> Column:
     """The text with its zone, UTC where it has none, as an offset."""
     zones = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
     named = F.element_at(zones, F.nullif(F.regexp_extract(bare, r"\s([A-Z]{3,4})$", 1), F.lit("")))
     offset = F.coalesce(F.concat(F.regexp_replace(bare, r"\s+[A-Z]{3,4}$", " "), named), F.regexp_replace(bare, r"([+-]\d\d):?(\d\d)$", "$1:$2"))
-    full = _let(offset, lambda x: F.when(x.rlike(r"[+-]\d\d:\d\d$"), x).otherwise(F.concat(x, F.lit(" +00:00"))))
+    full = once(offset, lambda x: F.when(x.rlike(r"[+-]\d\d:\d\d$"), x).otherwise(F.concat(x, F.lit(" +00:00"))))
     return F.regexp_replace(full, r"(T\d\d:\d\d:\d\d)\s+", "$1")
 
 
@@ -29,7 +26,7 @@ def parsed(text: Column) -> Column:
     """A feed's free-form date; without a zone it is UTC; null where it cannot be read."""
     bare = F.regexp_replace(F.trim(text), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"\.\d+", ""), "Z$", " UTC")
-    moments = _let(_let(bare, _with_offset), lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in PATTERNS]))
+    moments = once(once(bare, _with_offset), lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in PATTERNS]))
     return F.to_timestamp_ntz(F.date_format(F.convert_timezone(None, F.lit("UTC"), moments.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -44,7 +44,8 @@ def _raw_entries(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return views.table(s, d, "pages").select(urls.trim_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    """Pages by trimmed link, the first of equal ones."""
+    return dedup.first_seen(views.table(s, d, "pages").select("page_id", urls.trim_url(F.col("url")).alias("url"), "html"), "url", ["page_id"])
 
 
 #: two entries in three report cases, one of them none

@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from newsweave.plans.registry import ORACLES, QUERIES
+from newsweave.plans import registry, searches
+
+QUERIES, ORACLES = registry.QUERIES | searches.QUERIES, registry.ORACLES | searches.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()  # noqa: SIM905
