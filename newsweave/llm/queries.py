@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_scoring, mixing, near_dup, pii, quality, suffix_dedup, token_counts, token_output, toxicity
+from . import decontaminate, filter_audit, lm_scoring, mixing, near_dup, pii, quality, suffix_dedup, token_counts, token_output, toxicity, warc
 from .shared import documents
 
 
@@ -25,9 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_elias_fano_lm": lambda s, d: lm_scoring.lm_scores(documents(s, d)),
     "op9_nnpu_toxicity": lambda s, d: toxicity.toxicity(documents(s, d), _table(s, d, "labels")),
     "op10_decision_list": lambda s, d: quality.quality(documents(s, d), _table(s, d, "labels")),
+    "op11_filter_audit": lambda s, d: filter_audit.audit(documents(s, d), _table(s, d, "labels")),
+    "op13_zip_archives": lambda s, d: warc.archive_report(_table(s, d, "pages")),
 }
 
 ORACLES: dict[str, str] = {
     "op5_systematic_mix": mixing.ORACLE_SQL,
     "op6_circulant_minhash": near_dup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_zip_archives": warc.ORACLE_SQL,
 }
