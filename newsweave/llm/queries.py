@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filter_audit, lm_scoring, mixing, near_dup, pii, quality, suffix_dedup, token_counts, token_output, toxicity, warc
+from . import decontaminate, divergence, filter_audit, lm_scoring, mixing, near_dup, pii, quality, suffix_dedup, token_counts, token_output, toxicity, warc
 from .shared import documents
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nnpu_toxicity": lambda s, d: toxicity.toxicity(documents(s, d), _table(s, d, "labels")),
     "op10_decision_list": lambda s, d: quality.quality(documents(s, d), _table(s, d, "labels")),
     "op11_filter_audit": lambda s, d: filter_audit.audit(documents(s, d), _table(s, d, "labels")),
+    "op12_source_divergence": lambda s, d: divergence.divergences(documents(s, d)),
     "op13_zip_archives": lambda s, d: warc.archive_report(_table(s, d, "pages")),
 }
 
@@ -33,5 +34,6 @@ ORACLES: dict[str, str] = {
     "op5_systematic_mix": mixing.ORACLE_SQL,
     "op6_circulant_minhash": near_dup.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
     "op13_zip_archives": warc.ORACLE_SQL,
 }
