@@ -20,6 +20,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 FILTERS = "ABCDE"
 MASKS = 1 << len(FILTERS)
 MOST = 120  # orders of five filters
@@ -55,6 +57,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kinds = rows.agg(F.count("*").alias("n")).groupBy("digest", "part", "mask", "good", "toxic")
     # all copies fail E but those with the smallest id
     kinds = kinds.agg(F.sum(F.when(F.col("doc_id").isNotNull(), F.col("n"))).alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("nameless"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"))
+    kinds = stored(kinds, "audit-kinds")  # read twice, made once
     first = kinds.groupBy("digest").agg(F.min("least").alias("first"))
     kinds = kinds.join(first, "digest")
     passing = F.coalesce("nameless", F.lit(0)) + F.when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)
