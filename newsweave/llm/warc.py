@@ -168,13 +168,14 @@ def directory(read: Read, size: int) -> dict[str, tuple[int, int, int]]:
         raise ValueError("no end record: not a ZIP file")
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
     stop = tail_at + end  # where the directory should end
-    if 0xFFFF == count or 0xFFFFFFFF in (length, start):
-        mark, _, at, _ = struct.unpack("<IIQI", read(stop - 20, 20))
-        if mark == 0x07064B50:
-            if read(at, 4) != b"PK\6\6":
-                raise ValueError("no ZIP64 end record where its locator points")
-            count, length, start = struct.unpack("<QQQ", read(at + 32, 24))
-            stop = at
+    locator = read(stop - 20, 20) if stop >= 76 else b""
+    if locator[:4] == b"PK\6\7":
+        # right before its locator, or (with data of its own) where the locator says
+        places = [at for at in (stop - 76, struct.unpack_from("<Q", locator, 8)[0]) if read(at, 4) == b"PK\6\6"]
+        if not places:
+            raise ValueError("no ZIP64 end record where its locator points")
+        count, length, start = struct.unpack("<QQQ", read(places[0] + 32, 24))
+        stop = places[0]
     shift = stop - (start + length)  # bytes before the first member
     raw, at, found = read(start + shift, length), 0, {}
     for _ in range(count):
