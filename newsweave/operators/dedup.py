@@ -11,7 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from newsweave.sources.places import cut
+from newsweave.sources.places import kept
+
+from .graph import greedy_drops
+from .skew import with_counts
 
 ORDER = ("feed_ord", "entry_ord")
 #: a fuzzy ratio of 95 or more: 2 * LCS of at least 95 % of both lengths
@@ -48,60 +51,45 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * OF * common_subsequence(x, y) >= ALIKE * (len(x) + len(y)) for x, y in zip(a, b)], dtype=bool)
 
 
+GRAM = 5
+
+
 def near_pairs(titles: DataFrame) -> DataFrame:
-    """a, b (ids, a before b) of all pairs whose titles are alike. `titles`: id, title (distinct titles).
+    """a, b (ids, a before b) of all pairs whose titles are alike. `titles`: id (bigint), title (distinct titles).
 
-    An alike pair has at most floor(0.05 (la + lb)) edits. The shorter title is cut into one more pieces than the most
-    edits of its length; one piece then stands unharmed in the longer title, shifted by no more than the edits
-    on either side of it allow. Titles are joined on such pieces, the edit bound and the exact ratio follow.
-    No alike pair is lost, and titles without a common piece never meet.
+    An alike pair has at most floor(0.05 (la + lb)) edits, each of which breaks at most `GRAM` of a title's grams of `GRAM`
+    characters; by their lengths not all can be broken. So when the grams of all titles stand in one order, each title's first
+    `GRAM` * edits + 1 hold the first that both have. The order is by how many titles hold a gram, rarest
+    first: what many titles begin or end with is left out, as long as the rest of the title has grams enough. Titles are joined on
+    these grams, the edit bound and the exact ratio follow. No alike pair is lost, and titles without a common rare gram never meet.
     """
-    edits = "cast(floor((n + floor(n * 21 / 19)) * 0.05) as int)"
-    sized = titles.select("id", "title", F.length("title").alias("n")).filter("n > 0")
-    cuts = "transform(sequence(0, k), i -> struct(i as nth, cast(floor(i * n / (k + 1)) as int) as at, cast(floor((i + 1) * n / (k + 1)) as int) as to))"
-    # only ids, lengths and 64-bit digests of (length, number of the piece, piece) meet; a wrong meeting is found by the ratio
-    short = sized.withColumn("k", F.expr(edits)).select("id", "title", "n", F.explode(F.expr(cuts)).alias("c"))
-    short = short.select("id", "n", F.expr("xxhash64(n, c.nth, substring(title, c.at + 1, c.to - c.at))").alias("piece"))
-    # the longer side looks at every length that it may meet and that there is, at every piece, at every place that the edits leave open
-    long = sized.select(F.col("id").alias("l_id"), "title", F.col("n").alias("l_n"))
-    long = long.select("*", F.explode(F.expr("sequence(cast(ceil(19 * l_n / 21) as int), l_n)")).alias("n"))
-    long = long.join(sized.select("n").distinct(), "n", "left_semi").withColumn("k", F.expr(edits))
-    first = "greatest(0, c.at - c.nth, c.at + l_n - n - (k - c.nth))"
-    last = "least(l_n - (c.to - c.at), c.at + c.nth, c.at + l_n - n + (k - c.nth))"
-    places = f"transform(if({first} <= {last}, sequence({first}, {last}), array()), place -> xxhash64(n, c.nth, substring(title, place + 1, c.to - c.at)))"
-    looked = long.select("l_id", "l_n", F.explode(F.expr(f"array_distinct(flatten(transform({cuts}, c -> {places})))")).alias("piece"))
-    met = short.join(looked, "piece").filter((F.col("n") < F.col("l_n")) | ((F.col("n") == F.col("l_n")) & (F.col("id") < F.col("l_id"))))
-    pairs = met.select("id", "l_id").distinct()
-    pairs = pairs.join(sized.select("id", "title", "n"), "id").join(sized.select(F.col("id").alias("l_id"), F.col("title").alias("l_title"), F.col("n").alias("l_n")), "l_id")
-    pairs = pairs.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "l_id")  # few bytes, much work
-    close = pairs.filter(F.levenshtein("title", "l_title") <= F.expr("cast(floor((n + l_n) * 0.05) as int)")).filter(alike("title", "l_title"))
-    return close.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b"))
+    most = "cast(floor((n + floor(n * 21 / 19)) * 0.05) as int)"  # edits of the longest title that may meet this one
+    sized = titles.select("id", "title", F.length("title").alias("n")).withColumn("k", F.expr(most)).filter("k > 0")
+    grams = sized.select("id", "n", "k", F.explode(F.expr(f"array_distinct(transform(sequence(1, n - {GRAM - 1}), i -> xxhash64(substring(title, i, {GRAM}))))")).alias("gram"))
+    held = with_counts(grams, "gram", "titles").groupBy("id", "n", "k").agg(F.collect_list(F.struct("titles", "gram")).alias("grams"))
+    first = held.select("id", "n", F.explode(F.expr(f"slice(array_sort(grams), 1, {GRAM} * k + 1)")).alias("g")).filter("g.titles > 1")
+    first = kept(first.select("id", "n", F.col("g.gram").alias("gram")), "grams")
+    other = first.select(F.col("id").alias("l_id"), F.col("n").alias("l_n"), "gram")
+    met = first.join(other, "gram").filter("id < l_id and abs(n - l_n) <= floor((n + l_n) * 0.05)").select("id", "l_id").distinct()
+    own = sized.select("id", "title", "n")
+    pairs = met.join(own, "id").join(own.select(F.col("id").alias("l_id"), F.col("title").alias("l_title"), F.col("n").alias("l_n")), "l_id")
+    close = pairs.filter(F.levenshtein("title", "l_title") <= F.expr("cast(floor((n + l_n) * 0.05) as int)"))
+    close = close.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "l_id").filter(alike("title", "l_title"))
+    return close.select(F.col("id").alias("a"), F.col("l_id").alias("b"))
 
 
 def fuzzy_first(entries: DataFrame, title: str = "title", order: Sequence[str] = ORDER) -> DataFrame:
     """Entries kept when each, in order, is dropped if its title is alike to an earlier kept one.
 
-    Equal normalised titles are settled by a window. Alike titles form a graph; in each round every open title
-    without an open or kept earlier neighbour is kept and its later neighbours are dropped, until none is open.
+    Equal normalised titles are settled by a window. Alike titles form a graph whose components are settled each for itself.
     """
     norm = F.lower(F.regexp_replace(F.col(title), r"(?U)^\s+|\s+$", ""))
-    placed = entries.withColumns({"_norm": F.coalesce(norm, F.lit("")), "_rank": F.struct(*order)})
-    once = cut(placed.withColumn("_nth", F.row_number().over(W.partitionBy("_norm").orderBy(*order))).filter("_nth = 1").drop("_nth"))
-    pairs = cut(near_pairs(once.select(F.col("_rank").alias("id"), F.col("_norm").alias("title"))))
-    open_ = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    dropped = None
-    edges = pairs
-    while not edges.isEmpty():
-        later = edges.select(F.col("b").alias("id")).distinct()
-        kept = open_.join(later, "id", "left_anti")
-        gone = cut(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        dropped = gone if dropped is None else cut(dropped.unionByName(gone))
-        settled = gone.unionByName(kept)
-        open_ = cut(open_.join(settled, "id", "left_anti"))
-        edges = cut(edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(settled.withColumnRenamed("id", "b"), "b", "left_anti"))
-    if dropped is not None:
-        once = once.join(dropped.withColumnRenamed("id", "_rank"), "_rank", "left_anti")
-    return once.drop("_norm", "_rank")
+    placed = entries.withColumn("_norm", F.coalesce(norm, F.lit("")))
+    first = placed.withColumn("_nth", F.row_number().over(W.partitionBy("_norm").orderBy(*order))).filter("_nth = 1").drop("_nth")
+    # sorted by ranges, so the numbers ascend in the given order
+    once = kept(first.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "titles")
+    gone = greedy_drops(near_pairs(once.select(F.col("_id").alias("id"), F.col("_norm").alias("title"))))
+    return once.join(gone.withColumnRenamed("id", "_id"), "_id", "left_anti").drop("_norm", "_id")
 
 
 def ratio(a: str, b: str) -> float:

@@ -31,3 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet in the shared folder, for the session, and read it back."""
+    path = new(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a frame from `kept` that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
