@@ -46,3 +46,21 @@ def test_clashing_names(spark, names):
     for out in (kept, mixing.mix(docs), decontaminate.drop_leaks(docs, bench), toxicity.drop_toxic(docs, labels)):
         assert out.columns == docs.columns
         assert all(r[3] == str(r.doc_id) for r in out.collect())
+
+
+def test_mixing_again(spark):
+    """The same rows in other orders and partitions are drawn alike, repeated ids and rows included."""
+    rows = [(i % 50, " ".join(["w"] * (1 + i % 7)) + str(i % 90), "abc"[i % 3], i % 4) for i in range(1000)] + [(None, f"null key {i % 5}", "a", i % 2) for i in range(40)]
+    seen = []
+    for k, order in ((4, rows), (7, rows[::-1]), (1, sorted(rows, key=str))):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, rest int").repartition(k)
+        report = sorted(map(str, mixing.mix_report(docs).collect()))
+        seen.append((report, sorted(map(str, mixing.mix(docs).collect()))))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_more_buckets_draw_alike(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"), F.lit("s").alias("source"))
+    few = sorted(map(tuple, mixing.mix_report(docs).collect()))
+    monkeypatch.setattr(mixing, "PER_BUCKET", 1)
+    assert sorted(map(tuple, mixing.mix_report(docs).collect())) == few
