@@ -7,11 +7,12 @@ words) are fingerprinted and hash-joined with the documents' windows by two keys
 and `LITERALS` plain ones on, and the exact words in small letters, whatever they are. A one-word item is thus found wherever that
 word stands.
 
-On each diagonal of a document and an item, slots must map one to one: two of an item's names or numbers never meet the same
-one in the document, or nothing of the diagonal counts. Where one of the item's meets several, the diagonal is judged by maximal
-stretches of matched windows within which it meets one, and by all of its windows with equal slots together. `LEAST` such windows,
-or all of an item's if it has fewer (by the template key or by either), make a hit. A diagonal with equal slots only is a
-verbatim copy, as are the windows with equal slots of a diagonal that was split, others a re-parameterised one. Slots compare in
+On each diagonal of a document and an item, slots must map one to one. Where one of the item's names or numbers meets several,
+the diagonal is judged by maximal stretches of matched windows within which it meets one, and by all of its windows with equal slots
+together. `LEAST` such windows, or all of an item's if it has fewer (by the template key or by either), make a hit. Where two of the
+item's meet the same one, which speaks against a copy, stretches count in which the slots map one to one both ways, and it takes
+`CLASHED` windows in a row, more than two windows' words side by side. A diagonal with equal slots only is a
+verbatim copy, as are windows enough with equal slots of a diagonal that was split, others a re-parameterised one. Slots compare in
 small letters; n_windows is of the diagonal with most.
 
 Null and empty texts and items match nothing; repeated rows of a document or item give one row for each pair; null
@@ -29,6 +30,7 @@ from .arrays import U64, Words, buffers, chunks, mix, text_column, windows
 from .shared import fresh
 
 WINDOW, LITERALS, LEAST, SHORTEST = 8, 4, 3, 5
+CLASHED = WINDOW + 1
 #: fixed values: words that stand for a unit
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml s ms min h hours hour minutes seconds days weeks years percent dollars euros pounds usd eur meters metres miles kilometers kilograms grams liters litres degrees celsius".split()  # noqa: SIM905
 #: with more benchmark windows than this, documents' windows go through a shuffled join instead of a filter in the tasks
@@ -145,17 +147,24 @@ def _document_windows(kinds: list[tuple[int, bool]], held: np.ndarray | None):
     return run
 
 
-def longest(windows_: list[set]) -> int:
-    """The most windows of a stretch in which each item slot meets one document slot."""
+def longest(windows_: list[set], both_ways: bool = False) -> int:
+    """The most windows of a stretch in which each item slot meets one document slot (`both_ways`: and is met by no other)."""
     best, first, clash = 0, 0, 0
-    count: dict = {}  # item slot -> document slot -> windows of the stretch
-    for last, pairs in enumerate(windows_):
+    count: dict = {}  # (side, slot) -> slots it meets -> windows of the stretch
+
+    def meetings(pairs: set):
         for x, y in pairs:
+            yield (0, x), y
+            if both_ways:
+                yield (1, y), x
+
+    for last, pairs in enumerate(windows_):
+        for x, y in meetings(pairs):
             met = count.setdefault(x, {})
             met[y] = met.get(y, 0) + 1
             clash += met[y] == 1 and len(met) > 1
         while clash:
-            for x, y in windows_[first]:
+            for x, y in meetings(windows_[first]):
                 met = count[x]
                 met[y] -= 1
                 if not met[y]:
@@ -166,6 +175,15 @@ def longest(windows_: list[set]) -> int:
     return best
 
 
+def run_of(flags: list[bool]) -> int:
+    """The longest run of true ones."""
+    best = now = 0
+    for flag in flags:
+        now = now + 1 if flag else 0
+        best = max(best, now)
+    return best
+
+
 def judged(hits: list[dict], of: int, of_template: int) -> tuple[int, bool] | None:
     """Windows and verbatim of a diagonal's matches, or None where they are no hit."""
     pairs: dict[int, set] = {}
@@ -177,18 +195,19 @@ def judged(hits: list[dict], of: int, of_template: int) -> tuple[int, bool] | No
         if not x["exact"]:
             rich.add(x["item_at"])
     every = set().union(*pairs.values())
-    if len({y for _, y in every}) < len(every):
-        return None
-
-    def most(ats: list[int]) -> tuple[int, int]:
-        own = [pairs[k] for k in ats]
-        n, equal = longest(own), sum(all(x == y for x, y in p) for p in own)
-        return (n, equal * (equal == n)) if n == len(own) else (max(n, equal), equal)
-
+    clashed = len({y for _, y in every}) < len(every)
     found = []
     for ats, held in ((sorted(pairs), of), (sorted(rich), of_template)):
-        need = min(LEAST, held)
-        n, equal = most(ats)
+        own = [pairs[k] for k in ats]
+        verbatim = [all(x == y for x, y in p) for p in own]
+        if clashed:
+            need, n, equal = CLASHED, longest(own, True), run_of(verbatim)
+        else:
+            need, n, equal = min(LEAST, held), longest(own), sum(verbatim)
+            if n < len(own):
+                n = max(n, equal)
+            elif equal < n:
+                equal = 0
         if need and n >= need:
             found.append((n, equal >= need))
     return (max(n for n, _ in found), any(same for _, same in found)) if found else None

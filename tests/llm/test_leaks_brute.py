@@ -50,10 +50,15 @@ def one_value(pairs: set) -> bool:
     return len({x for x, _ in pairs}) == len(pairs)
 
 
-def verdict(matched: dict[int, set], held: int) -> tuple[int, bool] | None:
+def verdict(matched: dict[int, set], held: int, clashed: bool) -> tuple[int, bool] | None:
     """Windows and verbatim from the slot pairs of each matched window, by all stretches."""
     own = [matched[k] for k in sorted(matched)]
-    stretch = max((b - a for a in range(len(own)) for b in range(a + 1, len(own) + 1) if one_value(set().union(*own[a:b]))), default=0)
+    every = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1)]
+    if clashed:
+        longest = lambda fits: max((b - a for a, b in every if fits(set().union(*own[a:b]))), default=0)
+        n = longest(lambda pairs: one_value(pairs) and one_to_one(pairs))
+        return (n, longest(lambda pairs: all(x == y for x, y in pairs)) >= d.CLASHED) if n >= d.CLASHED else None
+    stretch = max((b - a for a, b in every if one_value(set().union(*own[a:b]))), default=0)
     equal = sum(all(x == y for x, y in p) for p in own)
     need = min(d.LEAST, held)
     if stretch == len(own):
@@ -87,10 +92,10 @@ def brute(docs: list[tuple], items: list[tuple]) -> set[tuple]:
                         rich[item_at] = every[item_at]
             found = []
             for every, rich in diagonals.values():
-                if one_to_one(set().union(*every.values())):
-                    both = [v for v in (verdict(every, of), verdict(rich, of_rich)) if v]
-                    if both:
-                        found.append((max(n for n, _ in both), any(same for _, same in both)))
+                clashed = not one_to_one(set().union(*every.values()))
+                both = [v for v in (verdict(every, of, clashed), verdict(rich, of_rich, clashed)) if v]
+                if both:
+                    found.append((max(n for n, _ in both), any(same for _, same in both)))
             if found:
                 out.add((doc_id, item_id, max(n for n, _ in found), any(same for _, same in found)))
     return out
@@ -136,3 +141,19 @@ def test_leaks_brute(spark):
     assert {tuple(r) for r in got} == want
     assert len(got) == len(want)
     assert 100 < len(want) and {True, False} == {same for *_, same in want}
+
+
+def test_planted_copies(spark):
+    """Copies of a long item with one name changed, whatever other names the item has, are found as verbatim ones."""
+    rng = random.Random(3)
+    words = [rng.choice(PLAIN) for _ in range(98)]
+    for at, name in ((4, "Anna"), (50, "Maria"), (80, "Bruno"), (85, "12")):
+        words[at] = name
+    changes = [{}, {"Anna": "Maria"}, {"Maria": "Anna"}, {"Anna": "Berta"}, {"Anna": "Maria", "Maria": "Anna"}, {"Bruno": "Maria", "12": "13"}, {"Anna": "Bruno", "Maria": "Bruno"}]
+    docs = [(i, " ".join([*passage(rng, 20), *(change.get(w, w) for w in words), *passage(rng, 20)])) for i, change in enumerate(changes)]
+    docs += [(100 + i, " ".join(passage(rng, 200))) for i in range(20)]
+    got = {r.doc_id: (r.n_windows, r.verbatim) for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert set(got) == set(range(len(changes)))
+    assert got[0] == (91, True)
+    assert all(n >= 35 for n, _ in got.values())
+    assert {i for i, (_, same) in got.items() if same} == {0, 1, 2, 5, 6}  # 3 and 4 map names one to one throughout
