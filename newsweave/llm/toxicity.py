@@ -1,12 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are texts that labels mark toxic; all other text is unlabelled. Both are drawn as bounded samples in a
+Positives are texts that labels mark toxic; the unlabelled set is drawn from all texts, positives among them, as the risk
+supposes, and pi is the share of positives in it. Both are drawn as bounded samples in a
 digest order (`MOST_POSITIVE`, `MOST_UNLABELLED` rows: the documented bound of the fit). A text is the set of
 fingerprints of its words and of their six- and seven-byte beginnings, hashed to 2**20 places; places that occur
 clearly more often in positives, and the most common ones, become the features of a logistic model in numpy. The
 risk is pi * R+(positive) + max(0, R-(unlabelled) - pi * R-(positive)) with the class prior pi from the labels;
 when the clipped part turns negative, the step goes against it, as the non-negative estimator prescribes. The bias is
-then set so that the threshold cuts where recall less a multiple of the estimated false positive rate is greatest.
+then set so that the threshold cuts where, by the densities of positives and unlabelled, a text is toxic with that probability.
 
 Scores lie in [0, 1]; null and empty texts score the model's bias. Null labels are unlabelled, repeated labels
 count as toxic when any row says so, of rows with one doc_id one text is learnt from (all are scored), null doc_id rows are scored and never learnt from. Without positives every
@@ -61,7 +62,16 @@ def _sample_rows(batches):
         cut = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) << 20)
         raw = (pairs & (PLACES - 1)).astype(np.int32).tobytes()
         sets = pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([text_column(batch, "label"), sets], names=["label", "places"])
+        yield pa.RecordBatch.from_arrays([text_column(batch, "positive"), text_column(batch, "unlabelled"), sets], names=["positive", "unlabelled", "places"])
+
+
+def risk_gradient(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float) -> np.ndarray:
+    """The step of the non-negative risk on rows with a last column of ones: its gradient, or away from a negative part."""
+    sp, su = 1 / (1 + np.exp(-np.clip(pos @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(unl @ w, -30, 30)))
+    # logistic loss: log(1 + exp(-z)) for positives, log(1 + exp(z)) for negatives
+    neg = -np.mean(np.log1p(-np.minimum(su, 1 - 1e-9))) + prior * np.mean(np.log1p(-np.minimum(sp, 1 - 1e-9)))
+    g_neg = unl.T @ su / len(unl) - prior * (pos.T @ sp) / len(pos)
+    return prior * (pos.T @ (sp - 1)) / len(pos) + g_neg if neg >= 0 else -g_neg
 
 
 def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.5, l2: float = 1e-3, seed: int = 5) -> np.ndarray:
@@ -75,33 +85,32 @@ def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: fl
     for t in range(1, rounds + 1):
         p = pos[rng.integers(0, len(pos), min(len(pos), 512))]
         u = unl[rng.integers(0, len(unl), min(len(unl), 1024))]
-        sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-        # logistic loss: log(1 + exp(-z)) for positives, log(1 + exp(z)) for negatives
-        neg = -np.mean(np.log1p(-np.minimum(su, 1 - 1e-9))) + prior * np.mean(np.log1p(-np.minimum(sp, 1 - 1e-9)))
-        g_neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        g = prior * (p.T @ (sp - 1)) / len(p) + g_neg if neg >= 0 else -g_neg
+        g = risk_gradient(w, p, u, prior)
         g = g + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def threshold_shift(z: np.ndarray, y: np.ndarray, prior: float, threshold: float = THRESHOLD, cost: float = 40.0) -> float:
-    """What to add to logits so that `threshold` cuts where recall less `cost` times the false positive rate is greatest.
+def threshold_shift(z: np.ndarray, y: np.ndarray, prior: float, threshold: float = THRESHOLD) -> float:
+    """What to add to logits so that `threshold` cuts where a text of that logit is toxic with this probability.
 
-    Recall is that of the positives; the rate follows from the share of unlabelled texts above the cut and the prior,
-    so no negative needs to be known. The cut lies halfway in the gap below the best one;
-    nothing is added where no cut is worth it.
+    The probability at a logit is the prior times the positives' density over that of the unlabelled, made monotone by pooling
+    neighbours; no negative needs to be known. The cut lies halfway in the gap below the last logit that reaches it;
+    nothing is added where none does.
     """
-    cuts = np.unique(z)[::-1]
-    pos, unl = np.sort(z[y == 1]), np.sort(z[y == 0])
-    recall = 1 - np.searchsorted(pos, cuts) / len(pos)
-    share = 1 - np.searchsorted(unl, cuts) / len(unl)
-    worth = recall - cost * (share - prior * recall) / (1 - prior)
-    best = int(np.argmax(worth))
-    if worth[best] <= 0 or len(cuts) == 1:
+    cuts, at = np.unique(-z, return_inverse=True)  # from the highest on
+    share = [np.bincount(at[y == k], minlength=len(cuts)) / max(1, (y == k).sum()) for k in (1, 0)]
+    blocks: list[list[float]] = []  # toxic mass, unlabelled mass, logits
+    for toxic, unlabelled in zip(prior * share[0], share[1]):
+        blocks.append([toxic, unlabelled, 1])
+        while len(blocks) > 1 and blocks[-1][0] * blocks[-2][1] > blocks[-2][0] * blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    reach = int(sum(n for toxic, unlabelled, n in blocks if toxic >= threshold * unlabelled))
+    if not reach or len(cuts) == 1:
         return 0.0
-    cut = (cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2
+    cut = -(cuts[reach - 1] + cuts[min(reach, len(cuts) - 1)]) / 2
     return float(np.log(threshold / (1 - threshold)) - cut)
 
 
@@ -133,17 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
         marks = marks.filter(remainder("l_id", modulus) != held_out)
     keyed = ids.join(marks, F.col("doc_id") == F.col("l_id"), "left").withColumn("label", (F.coalesce("toxic", F.lit(0)) == 1).cast("int"))
     keyed = keyed.withColumn("place", F.xxhash64(F.lit("nnpu"), "doc_id"))
-    drawn = [keyed.filter(F.col("label") == y).orderBy("place", "doc_id").limit(n).select(F.col("doc_id").alias("s_id"), F.col("label")) for y, n in ((1, MOST_POSITIVE), (0, MOST_UNLABELLED))]
-    sample = drawn[0].unionByName(drawn[1])
+    first = lambda rows, n, positive: rows.orderBy("place", "doc_id").limit(n).select(F.col("doc_id").alias("s_id"), F.lit(positive).alias("positive"), F.lit(1 - positive).alias("unlabelled"))
+    sample = first(keyed.filter("label = 1"), MOST_POSITIVE, 1).unionByName(first(keyed, MOST_UNLABELLED, 0))
+    sample = sample.groupBy("s_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
     prior = marks.filter("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     # one text for each key drawn, so the sample is bounded whatever repeats
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))
-    rows = rows.groupBy("s_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
-    got = rows.mapInArrow(_sample_rows, "label int, places binary").toArrow()
-    y = np.array(got["label"].to_pylist(), np.int64)
-    if not y.any() or y.all():
-        return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -np.inf if not y.any() else np.inf}
-    sets = [np.frombuffer(b, np.int32) for b in got["places"].to_pylist()]
+    rows = rows.groupBy("s_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.select("positive", "unlabelled", "text").mapInArrow(_sample_rows, "positive int, unlabelled int, places binary").toArrow()
+    positive, unlabelled = (np.flatnonzero(got[c].to_numpy()) for c in ("positive", "unlabelled"))
+    if not len(positive) or prior >= 1:
+        return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": np.inf if len(positive) else -np.inf}
+    each = [np.frombuffer(b, np.int32) for b in got["places"].to_pylist()]
+    y = np.repeat([1, 0], [len(positive), len(unlabelled)])
+    sets = [each[i] for i in np.concatenate([positive, unlabelled])]
     order = np.lexsort(([s.sum() for s in sets], [len(s) for s in sets], -y))  # the same order whatever the partitions
     order = order[first_of_copies([sets[i] for i in order], y[order])]
     y, sets = y[order], [sets[i] for i in order]
