@@ -1,6 +1,6 @@
 """How sources of a language differ in their terms: chi-square-like divergences between sources, and each source's own terms.
 
-Terms are runs of letters (A-Z made small) and non-ASCII characters. Documents give (source, term) counts; a term's counts over
+Terms are runs of letters (A-Z made small) and non-ASCII characters. Chunks of documents give (source, term) counts, which are summed; a term's counts over
 the sources of its language form a sparse vector, and terms with one vector are one column. Each pair of sources is evaluated once for each
 distinct vector and multiplied by how many terms have it; a source's own terms are scored on the vector too and only the
 best ranks go back to the terms.
@@ -15,32 +15,60 @@ pairs of value 0 and no terms; a language of one source has no pairs; an empty t
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrays import buffers, chunks, release, text_column
 from .shared import removed, shared_path, until_exit
 
 SCALE = 1_000_000_000
 LEAST_DOCS, MOST_TERMS = 3, 200
 BUCKET, BLOCK, SLICE = 20_000, 256, 1 << 16
 VALUE = "lang string, source string, item string, vid string, value bigint"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+CHUNK_BYTES = 4 << 20
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:] = True
 SAFE = 9_000_000_000  # counts whose product with SCALE fits 64 bits
 
 
+def _counting(batches):
+    """Counts of each chunk's (lang, source, term)."""
+    for batch in chunks(batches, limit=CHUNK_BYTES):
+        data, offs = buffers(text_column(batch))
+        data = _SMALL[data]
+        inside = _LETTER[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edge = offs[:-1][offs[:-1] < len(data)]
+        begins[edge] = inside[edge]  # a term ends with its text
+        flat = data[inside]
+        start = np.append(np.flatnonzero(begins[inside]), len(flat)).astype(np.int32)
+        doc = np.searchsorted(offs, np.flatnonzero(begins), "right") - 1
+        if not len(doc):
+            continue
+        terms = pa.StringArray.from_buffers(len(doc), pa.py_buffer(start), pa.py_buffer(flat)).dictionary_encode()
+        names = [text_column(batch, c).fill_null("").dictionary_encode() for c in ("lang", "source")]
+        lang, source = (x.indices.to_numpy().astype(np.int64) for x in names)
+        kinds, sources = len(terms.dictionary), len(names[1].dictionary)
+        pair, n = np.unique(doc * kinds + terms.indices.to_numpy(), return_counts=True)  # (document, term)
+        group = (lang * sources + source)[pair // kinds] * kinds + pair % kinds
+        key, at, docs = np.unique(group, return_inverse=True, return_counts=True)
+        total = np.bincount(at, n, len(key)).astype(np.int64)
+        take = lambda values, x: values.take(pa.array(x))
+        columns = [take(names[0].dictionary, key // kinds // sources), take(names[1].dictionary, key // kinds % sources), take(terms.dictionary, key % kinds), pa.array(total), pa.array(docs)]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+    release()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it)."""
-    small = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    own = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.regexp_extract_all(small, F.lit(TERM), F.lit(0)).alias("terms"))
-    # every occurrence, then each distinct term of the document once more
-    sides = F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("docs"), F.col("terms")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("docs"), F.array_distinct("terms").alias("terms")))
-    both = own.select("lang", "source", F.inline(sides)).select("lang", "source", "n", "docs", F.explode("terms").alias("term"))
-    return both.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = docs.select("lang", "source", "text").mapInArrow(_counting, "lang string, source string, term string, n bigint, docs bigint")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def vectors(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
