@@ -49,8 +49,8 @@ class _Page(HTMLParser):
             self.paragraphs[-1].append(data)
 
 
-def describe(html: str | None) -> str | None:
-    """The first three sentences of a page's description; empty where it has none, null where there is no page."""
+def described(html: str | None) -> str | None:
+    """A page's description; empty where it has none, null where there is no page."""
     if html is None:
         return None
     page = _Page()
@@ -63,7 +63,18 @@ def describe(html: str | None) -> str | None:
     if not text:
         paragraphs = ("".join(p).strip() for p in page.paragraphs)
         text = next((p for p in paragraphs if len(_TOKEN.findall(p)) > LEAST_TOKENS), "")
-    return " ".join(_SPACE.split(text)[:3])
+    return text
+
+
+def describe(html: str | None) -> str | None:
+    """The first three sentences of a page's description."""
+    text = described(html)
+    return None if text is None else " ".join(_SPACE.split(text)[:3])
+
+
+@F.pandas_udf(StringType())
+def description(html: pd.Series) -> pd.Series:
+    return html.map(described, na_action="ignore")
 
 
 @F.pandas_udf(StringType())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsweave.functions import dates, html, text, urls
 
+from . import sentences
 from .dedup import fuzzy_first
 from .numbering import numbered
 
@@ -24,15 +25,16 @@ def candidates(entries: DataFrame, keywords: Sequence[str], days: int, as_of: Co
     return made.filter("link <> ''").filter(F.col("published") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-def search_news(entries: DataFrame, pages: DataFrame, keywords: Sequence[str], days: int, as_of: Column) -> DataFrame:
+def search_news(entries: DataFrame, pages: DataFrame, keywords: Sequence[str], days: int, as_of: Column, model: sentences.Model | None = None) -> DataFrame:
     """n, title, published, link, summary of the found articles, in feed order.
 
     Near-copies of earlier titles go before pages are looked at, so an article whose page fails still hides its copies.
-    `pages`: url, html. A page whose description has under ten tokens, or none, gives no row.
+    `pages`: url, html. A page whose description has under ten tokens, or none, gives no row. With a learnt `model` abbreviations
+    do not end the sentences of a summary.
     """
     kept = fuzzy_first(candidates(entries, keywords, days, as_of))
     own = pages.select(F.col("url").alias("link"), "html")
-    found = kept.join(own, "link").withColumn("summary", html.snippet("html")).filter(text.token_count(F.col("summary")) >= LEAST_TOKENS)
+    found = kept.join(own, "link").withColumn("summary", html.snippet("html") if model is None else sentences.summarised(html.description("html"), model)).filter(text.token_count(F.col("summary")) >= LEAST_TOKENS)
     listed = numbered(found, "n", F.col("feed_ord"), F.col("entry_ord"))
     return listed.select("n", "title", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"), "link", "summary")
 
