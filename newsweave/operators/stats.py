@@ -15,6 +15,12 @@ def flat_articles(identity: DataFrame, details: DataFrame) -> DataFrame:
     return identity.join(own, "id", "left").withColumn("is_whitelisted", F.coalesce("is_whitelisted", F.lit(False)))
 
 
+def articles_with_cases(identity: DataFrame, cases: DataFrame) -> DataFrame:
+    """Each article with each of its cases; articles without cases have no row. The case's own id is case_id."""
+    own = cases.withColumnRenamed("id", "case_id") if "id" in cases.columns else cases
+    return identity.join(own, identity["id"] == own["article_id"])
+
+
 def overview(identity: DataFrame, details: DataFrame, cases: DataFrame, as_of: Column | None = None) -> DataFrame:
     """total_articles, total_cases (0 where there are none), alert_count and, with a reference time, last_updated."""
     articles = identity.agg(F.count("*").alias("total_articles"))

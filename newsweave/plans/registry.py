@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,15 +61,6 @@ def _stored(s: SparkSession, d: str) -> store.Store:
     return own
 
 
-def _named(s: SparkSession) -> store.Store:
-    own = store.Store(s, places.new(s, "store"))
-    own.add_keywords("sởi", " cúm A ", "ho gà", now=datetime.fromisoformat(NOW))
-    own.add_keywords("cúm A", "dại", now=datetime.fromisoformat(NOW), strict=False)
-    own.delete_keyword(1)
-    own.add_domains("VnExpress.net", "a.vn")
-    return own
-
-
 QUERIES = {
     "scan_flagship": _flagship,
     "scan_trusted_new": lambda s, d: scan.saved(_routed(s, d)).select("entry_ord", "link", "source"),
@@ -81,9 +70,7 @@ QUERIES = {
     "scan_cases_found": lambda s, d: scan.cases(_routed(s, d, F.expr(_CASE_SUMMARY)), F.col("published_date")),
     "stored_articles": lambda s, d: stats.flat_articles((x := _stored(s, d)).read("article_identity"), x.read("article_details")).drop("summary"),
     "stored_cases": lambda s, d: _stored(s, d).read("disease_cases").drop("id"),
-    "stored_keywords": lambda s, d: _named(s).read("keywords"),
-    "stored_domains": lambda s, d: _named(s).read("whitelist_domains"),
-    "cases_of_article": lambda s, d: views.identity(s, d).join(views.cases(s, d), F.col("id") == F.col("article_id")).select("id", "title", "disease_name", "case_count"),
+    "cases_of_article": lambda s, d: stats.articles_with_cases(views.identity(s, d), views.cases(s, d)).select("id", "title", "disease_name", "case_count"),
     "trusted_mixed_case": lambda s, d: views.table(s, d, "pages").filter(scan.trusted(urls.domain(F.col("url")), [x.title() for x in views.TRUSTED])).select("page_id"),
     "first_seen_link": lambda s, d: dedup.first_seen(views.entries(s, d)).select("link", "feed_ord", "entry_ord"),
     "keyword_match": lambda s, d: views.table(s, d, "documents").select("doc_id", F.array_join(text.matched(F.col("text"), views.KEYWORDS), ", ").alias("matched")),
@@ -167,8 +154,6 @@ ORACLES = {
     "scan_cases_found": f"{_ROUTED_CASES} SELECT link, primary_disease AS disease_name, case_count, '{LOCATION}' AS location, published_date AS report_date FROM routed WHERE route = 'saved' AND case_count > 0",
     "stored_articles": f"{_STORED} SELECT id, title, link, published_date, source, keywords_matched, tags, is_whitelisted FROM kept",
     "stored_cases": f"{_STORED} SELECT id AS article_id, primary_disease AS disease_name, case_count, '{LOCATION}' AS location, published_date AS report_date FROM kept WHERE case_count > 0",
-    "stored_keywords": f"SELECT CAST(id AS BIGINT) AS id, t AS text, TIMESTAMP '{NOW}' AS created_at FROM (VALUES (2, 'cúm A'), (3, 'ho gà'), (4, 'dại')) v(id, t)",
-    "stored_domains": "SELECT CAST(id AS BIGINT) AS id, d AS domain, true AS is_active FROM (VALUES (1, 'vnexpress.net'), (2, 'a.vn')) v(id, d)",
     "cases_of_article": f"WITH {_ENTRIES} SELECT entry_ord AS id, title, event_type AS disease_name, CAST(floor(value) AS BIGINT) AS case_count FROM ent JOIN events ON event_id = entry_ord",
     "trusted_mixed_case": f"SELECT page_id FROM pages WHERE {_TRUSTED.format(_DOMAIN.format('url'))}",
     "first_seen_link": f"WITH {_ENTRIES} SELECT link, feed_ord, entry_ord FROM ent QUALIFY row_number() OVER (PARTITION BY link ORDER BY feed_ord, entry_ord) = 1",

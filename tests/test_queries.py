@@ -1,9 +1,9 @@
 import duckdb
 import pytest
 
-from newsweave.plans import registry, searches, texts
+from newsweave.plans import registry, searches, stores, texts
 
-QUERIES, ORACLES = registry.QUERIES | searches.QUERIES | texts.QUERIES, registry.ORACLES | searches.ORACLES | texts.ORACLES
+QUERIES, ORACLES = registry.QUERIES | searches.QUERIES | stores.QUERIES | texts.QUERIES, registry.ORACLES | searches.ORACLES | stores.ORACLES | texts.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()  # noqa: SIM905

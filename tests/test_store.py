@@ -125,3 +125,66 @@ def test_domains_in_capitals_are_trusted(spark):
     routed = scan.route(spark.createDataFrame(rows(2), ENTRY), ["sởi"], ["VnExpress.NET"], None, as_of())
     assert {r.route for r in routed.collect()} == {"saved"}
     assert scan.route(spark.createDataFrame(rows(2), ENTRY), None, [], None, as_of()).count() == 0
+
+
+def test_ids_are_never_given_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.add_keywords("a", "b", now=NOW)
+    assert store.delete_keyword(2)
+    store.add_keywords("c", now=NOW)
+    assert {(r.id, r.text) for r in store.read("keywords").collect()} == {(1, "a"), (3, "c")}
+    store.reset(confirm=True)
+    store.add_keywords("a", now=NOW)
+    assert store.find("keywords", "text", "a").first().id == 4
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_two_writers_store_each_link_once(spark, tmp_path, local):
+    """While one scan is about to put its manifest, another one is stored whole; both are kept, their common links once."""
+    first, second = (Store(spark, f"file:{tmp_path}") for _ in range(2))
+    if not local:  # the way of other file systems
+        first.log.local = second.log.local = None
+    routed = lambda a, b: scan.route(spark.createDataFrame(rows(b - a, a), ENTRY), ["sởi"], [], None, as_of())
+    put, met = first.log.put, []
+
+    def late(number, state):
+        if not met:
+            met.append(second.save_scan(routed(2, 6), as_of()))
+        return put(number, state)
+
+    first.log.put = late
+    assert first.save_scan(routed(0, 4), as_of()) == 2
+    assert met == [4]
+    assert first.log.numbers() == [1, 2]
+    links = [r.link for r in second.read("article_identity").orderBy("id").collect()]
+    assert links == [f"https://vnexpress.net/{i}" for i in (2, 3, 4, 5, 0, 1)]
+    for table in ("article_identity", "article_details", "disease_cases"):
+        ids = sorted(r.id for r in second.read(table).collect())
+        assert ids == list(range(1, len(ids) + 1))
+    assert second.save_scan(routed(0, 6), as_of()) == 0
+    assert not first.log.put(2, {})
+
+
+def test_kept_totals(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert tuple(store.overview().first()) == (0, 0, 0)
+    made = [(0, i, f"https://vnexpress.net/{i}", f"Sởi {'bùng phát' if i % 3 == 0 else ''} {i}", f"ghi nhận {i} ca", None, datetime(2024, 3, 1 + i % 5, i % 24)) for i in range(40)]
+    for part in (made[:15], made[10:]):
+        store.save_scan(scan.route(spark.createDataFrame(part, ENTRY), ["sởi"], [], None, as_of()), as_of())
+
+    def agrees():
+        identity, details, cases = (store.read(t) for t in ("article_identity", "article_details", "disease_cases"))
+        assert store.overview().first() == stats.overview(identity, details, cases).first()
+        for now, days in ((NOW, 3), (datetime(2024, 3, 6), 4), (NOW, 0)):
+            want = stats.trends(cases, days, F.lit(now).cast("timestamp_ntz"))
+            assert sorted(map(tuple, store.trends(days, now).collect())) == sorted(map(tuple, want.collect()))
+
+    agrees()
+    assert not any("parquet" in str(f) for f in store.overview().inputFiles())
+    assert store.compact("article_identity") == 2
+    assert store.compact("article_identity") == 0
+    assert len(store.state()["tables"]["article_identity"]) == 1
+    agrees()
+    store.reset(confirm=True)
+    agrees()
+    assert store.state()["next"]["article_identity"] == 41
