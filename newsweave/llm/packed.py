@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned integers, byte planes apart, compressed."""
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays of unsigned integers, byte planes apart, compressed (a higher `level` packs better and slower)."""
     out = [struct.pack("<I", len(arrays))]
     for x in arrays:
         most = int(x.max()) if len(x) else 0
@@ -17,7 +17,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
         out += [struct.pack("<QI", len(x), width), planes.tobytes()]
     raw = b"".join(out)
-    return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:

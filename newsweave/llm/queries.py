@@ -18,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": lambda s, d: token_output.token_table(documents(s, d)),
     "op2_separator_scan": lambda s, d: token_counts.token_counts(documents(s, d)),
     "op3_contextual_pii": lambda s, d: pii.personal_data(documents(s, d)),
-    "op4_suffix_merge_dedup": lambda s, d: suffix_dedup.remove_repeats(documents(s, d)),
+    "op4_suffix_merge_dedup": lambda s, d: suffix_dedup.remove_repeats(documents(s, d), passages=True),
     "op5_systematic_mix": lambda s, d: mixing.mix_report(documents(s, d)),
     "op6_circulant_minhash": lambda s, d: near_dup.near_duplicates(documents(s, d)),
     "op7_template_decontamination": lambda s, d: decontaminate.leaks(documents(s, d), _table(s, d, "benchmark")),

@@ -18,6 +18,11 @@ A byte goes when a string of `LENGTH` (400) bytes covers it that also starts els
 A group with more than `MOST_GROUPED` members is not gathered: its members' strings are counted by fingerprint,
 each start by itself, spread over all tasks.
 
+With `passages`, words of passages that another document has too are counted as well, since `PASSAGE` (50) words are often
+fewer bytes than `LENGTH`: each window of 50 words picks an anchor among its first `PLACES` words (the least fingerprint of four words), so a
+passage has its anchors in both documents; the `SURELY` words from an anchor on, which all its windows share, are counted by fingerprint over
+the documents. Every passage of 50 words is found; what is found has 36 at least.
+
 Null and empty texts have no bytes; texts below 400 bytes keep all; repeated rows are texts of their own and lose what
 they share; null doc_ids are reported as null; an empty table gives no rows; further columns are ignored.
 """
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Fingerprints, buffers, chunks, mix, text_column
+from .arrays import U64, Fingerprints, Words, buffers, chunks, mix, text_column, windows
 from .packed import pack, unpack, value
 from .shared import stored
 
@@ -41,6 +46,8 @@ LENGTH, GRAM, WINDOW = 400, 16, 185
 SHARED = LENGTH - WINDOW + 1  # bytes from an anchor on that all its strings hold
 CHUNK_BYTES = 3 << 20
 MOST_GROUPED = 20_000
+PASSAGE, PLACES = 50, 15
+SURELY = PASSAGE - PLACES + 1
 CHUNK = "chunk bigint, doc_ids array<bigint>, lengths binary, text binary, places binary, keys binary, sample array<bigint>"
 PART = "part bigint, chunk bigint, payload binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -89,7 +96,7 @@ def _chunk_rows(batches):
         sample = _prefixes(data, anchor[:: max(1, len(anchor) // 16)]) if len(anchor) else np.zeros(0, np.int64)
         columns = [
             pa.array([(part << 32) + nth]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-            *(pa.array([x], pa.binary()) for x in (pack(lens), pack(data), pack(anchor, anchor - first, last - first, ends), pack(string, final, own))),
+            *(pa.array([x], pa.binary()) for x in (pack(lens), pack(data, level=5), pack(anchor, anchor - first, last - first, ends), pack(string, final, own))),
             pa.array([sample.tolist()], pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_ids", "lengths", "text", "places", "keys", "sample"])
@@ -425,6 +432,71 @@ def _counted(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
+def passage_anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and fingerprint of the `SURELY` words from every anchor of a 50-word window on."""
+    words = Words(data, offs)
+    plain = words.hashes(fold=False)
+    start = np.flatnonzero(words.doc[: max(0, len(words) - PASSAGE + 1)] == words.doc[PASSAGE - 1 :])
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    at, gram = windows(plain, np.zeros(len(plain), np.int64), 4)
+    mask = U64((1 << max(1, len(at).bit_length())) - 1)
+    least = (gram & ~mask) | (mask - at.astype(np.uint64))
+    size = 1
+    while size * 2 <= PLACES:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[: len(least) - (PLACES - size)], least[PLACES - size :])
+    anchor = np.unique((mask - (least[start] & mask)).astype(np.int64))
+    at, key = windows(plain, words.doc, SURELY)
+    return words.doc[anchor], anchor - words.cut[words.doc[anchor]], key[np.searchsorted(at, anchor)]
+
+
+def _sent_passages(parts: int):
+    """Fingerprints of each chunk's passages, and in how many of its documents they are."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, lens = unpack(value(batch, "text", i))[0], unpack(value(batch, "lengths", i))[0].astype(np.int64)
+                doc, _, key = passage_anchors(data, np.concatenate([[0], np.cumsum(lens)]))
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                once = np.ones(len(key), bool)
+                once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                keys, counts = np.unique(key[once], return_counts=True)
+                yield from _table(_by_range(value(batch, "chunk", i), parts, keys, counts)).to_batches()
+
+    return run
+
+
+def _shared_words(data: np.ndarray, offs: np.ndarray, table: pa.Table) -> np.ndarray:
+    """Words of each row that stand in passages of other documents."""
+    doc, word, key = passage_anchors(data, offs)
+    keys, at = np.unique(key, return_inverse=True)
+    hit = _joined(table)[at] > 0 if len(keys) else np.zeros(0, bool)
+    doc, word = doc[hit], word[hit]
+    # the anchors ascend within a row: each adds what it reaches beyond the one before
+    step = np.full(len(word), SURELY)
+    near = np.flatnonzero((doc[1:] == doc[:-1]) & (word[1:] - word[:-1] < SURELY)) + 1
+    step[near] = word[near] - word[near - 1]
+    return np.bincount(doc, step, len(offs) - 1).astype(np.int64)
+
+
+def _with_passages(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The same with the words of passages; the passages' rows have parts from `_PASSAGES` on."""
+    shared = [p >= _PASSAGES for p in right["part"].to_pylist()]
+    out = _removed(left, right.filter(pa.array([not s for s in shared], pa.bool_())))
+    rows, counts = right.filter(pa.array(shared, pa.bool_())), []
+    for i in range(left.num_rows):
+        data, lens = unpack(value(left, "text", i))[0], unpack(value(left, "lengths", i))[0].astype(np.int64)
+        counts.append(_shared_words(data, np.concatenate([[0], np.cumsum(lens)]), rows))
+    return out.append_column("n_shared_words", pa.array(np.concatenate([np.zeros(0, np.int64), *counts])))
+
+
+_PASSAGES = 1 << 40
+
+
 def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     """The documents of one chunk without the covered bytes."""
     out: list[list] = [[], [], [], [], []]
@@ -448,8 +520,8 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, most_grouped: int = MOST_GROUPED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs` (doc_id, text)."""
+def remove_repeats(docs: DataFrame, most_grouped: int = MOST_GROUPED, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs` (doc_id, text); with `passages` also n_shared_words."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows, CHUNK), "repeats-chunks")
@@ -461,4 +533,9 @@ def remove_repeats(docs: DataFrame, most_grouped: int = MOST_GROUPED) -> DataFra
     wanted = ends.groupBy("part").applyInArrow(_wanted, PART)
     runs = rows.select("chunk", "lengths", "text", "places").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_suffix_runs(parts, borders), PART)
     ranges = runs.groupBy("part").applyInArrow(_merged(parts), PART)
-    return rows.select("chunk", "doc_ids", "lengths", "text").groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_removed, RESULT)
+    texts = rows.select("chunk", "doc_ids", "lengths", "text").groupBy("chunk")
+    if not passages:
+        return texts.cogroup(ranges.groupBy("chunk")).applyInArrow(_removed, RESULT)
+    shared = rows.select("chunk", "lengths", "text").mapInArrow(_sent_passages(parts), PART).groupBy("part").applyInArrow(_repeated(1 << 62), PART)
+    both = ranges.unionByName(shared.withColumn("part", F.col("part") + _PASSAGES))
+    return texts.cogroup(both.groupBy("chunk")).applyInArrow(_with_passages, RESULT + ", n_shared_words bigint")
