@@ -11,7 +11,7 @@ other kinds take its words. `ROUNDS` times a pattern's confidence becomes the me
 kind score 1) and an instance's score the noisy-or of its patterns. `SEEDS` different instances with a score of `SURE` or more,
 seeds or found ones, induce a pattern, so what one round finds brings new patterns in the next. Patterns with a confidence of
 `SURE` or more in the last round are trusted; their unseen instances are added as spans of the pattern's kind. A pattern's two words
-and the blanks around them take less than `REACH` characters; longer words make no pattern.
+are looked for in the last characters before an identifier, further back where they do not fit there: words of any length make patterns.
 
 Counts and the digest are of base spans. Null and empty texts have no spans (the digest of an empty string); rows
 keep their own identity, so null and repeated doc_ids give one row each; an empty table gives no rows; further
@@ -44,7 +44,7 @@ GROUPED = rf"(?<!\S){_GROUP}(?:[\x20.-]{{0,3}}+{_GROUP})++"
 WORD, INNER, RUN = -1, -2, -3
 GROUPED_KINDS = (2, 3)  # card, phone
 ROUNDS, SEEDS, SURE = 3, 3, 0.8
-REACH = 48  # characters before a span in which its two words are looked for
+REACHES = (48, 2000)  # characters before a span in which its two words are looked for first and next; then all
 
 
 def _digits(value: Column) -> Column:
@@ -75,10 +75,15 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _left(text: Column, start: Column) -> Column:
     """The two words before a place, small letters, digits alike; null where there are not two."""
-    near = text.substr(F.greatest(F.lit(1), start - (REACH - 1)), F.least(start, F.lit(REACH)))
-    # beyond the reach a word is never cut: its beginning must be seen
-    words = F.regexp_extract(F.when(start < REACH, F.concat(F.lit(" "), near)).otherwise(near), r"\s(\S+\s+\S+)\s*$", 1)
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(words), r"\s+", " "), "[0-9]", "0"), F.lit(""))
+
+    def within(near: Column, whole: Column) -> Column:
+        # where it is not the whole beginning a word is never cut: what stands before it must be seen
+        words = F.regexp_extract(F.when(whole, F.concat(F.lit(" "), near)).otherwise(near), r"\s(\S+\s+\S+)\s*$", 1)
+        return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(words), r"\s+", " "), "[0-9]", "0"), F.lit(""))
+
+    last = lambda n: within(text.substr(F.greatest(F.lit(1), start - (n - 1)), F.least(start, F.lit(n))), start < n)
+    first, second = REACHES
+    return F.coalesce(last(first), F.when(start >= first, last(second)), F.when(start >= second, within(text.substr(F.lit(1), start), F.lit(True))))
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,left:string>>"

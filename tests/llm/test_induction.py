@@ -70,3 +70,14 @@ def test_flat_ids_of_32_bits(spark, tmp_path):
     got = token_counts.scan_flat(spark, str(tmp_path), dtype="<u4").orderBy("nth").collect()
     assert [(r.n_tokens, r.ended) for r in got] == [(2, True), (0, True), (1, True)]
     assert token_counts.id_type() == "<u2"
+
+
+def test_words_of_any_length_make_patterns(spark):
+    """The two words before an identifier, however far they reach, in texts of any length."""
+    for word in ("x" * 60, "x" * 3000):
+        lead = f"{word} under"
+        rows = [(i, f"some text. {lead} user{i}@host{i}.example") for i in range(5)] + [(8, f"{lead} jane9(at)host"), (9, f"y{lead} jane9(at)host"), (10, f"{'z ' * 3000}{lead}{' ' * 90}jane9(at)host")]
+        got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[8] == f"email:{len(lead) + 1}:{len(lead) + 14}"
+        assert got[9] == ""
+        assert got[10] == f"email:{6000 + len(lead) + 90}:{6000 + len(lead) + 103}"
