@@ -21,7 +21,7 @@ def candidates(entries: DataFrame, keywords: Sequence[str], days: int, as_of: Co
     words = [k.lower() for k in text.expand_keywords(keywords)]
     # titles first: they are cheap and leave few entries whose links and dates are read
     titled = entries.withColumn("title", text.strip(F.col("title"))).filter("title <> ''").filter(text.contains_any(F.lower("title"), text.literals(words)))
-    made = titled.select("feed_ord", "entry_ord", "title", urls.resolved(F.col("link")).alias("link"), dates.parsed(F.col("published")).alias("published"))
+    made = titled.select("feed_ord", "entry_ord", "title", urls.resolved(F.col("link")).alias("link"), dates.parsed(F.col("published"), as_of).alias("published"))
     return made.filter("link <> ''").filter(F.col("published") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 

@@ -33,6 +33,20 @@ def _written_dates(s: SparkSession, d: str) -> DataFrame:
     return views.table(s, d, "events").select("event_id", dates.parsed(_by(F.col("event_id"), made)).alias("published"))
 
 
+#: twenty more, for remainders by twenty: pattern, what follows, and the date in SQL from t (whole seconds)
+MORE_FORMS = [
+    ("yyyyMMdd'T'HHmmss", "Z", "t"), ("yyyyMMdd", "", "date_trunc('day', t)"), ("EEEE, d MMMM yyyy HH:mm:ss", " UTC", "t"), ("MMMM d, yyyy h:mm:ss a", "", "t"), ("EEE MMM d HH:mm:ss yyyy", "", "t"),
+    ("EEE MMM d HH:mm:ss 'UTC' yyyy", "", "t"), ("MM/dd/yyyy HH:mm:ss", "", "t"), ("yyyy/M/d H:mm:ss", "", "t"), ("d-MMM-yyyy HH:mm:ss", "", "t"), ("HH:mm:ss d MMM yyyy", "", "t"),
+    ("d MMM yyyy HH:mm:ss", " +07", "t - INTERVAL 7 HOUR"), ("d MMM yyyy HH:mm:ss", " GMT+3", "t + INTERVAL 3 HOUR"), ("d MMM yyyy HH:mm:ss", " +0700 (ICT)", "t - INTERVAL 7 HOUR"), ("MMM d, yyyy 'at' h:mm:ss a", " EST", "t + INTERVAL 5 HOUR"),
+    ("yyyy-MM-dd'T'HH:mm:ss", ".75-05:30", "t + INTERVAL 330 MINUTE"), ("d MMM yy HH:mm:ss", "", "t"), ("MMM d", "", "NULL"), ("d MMM yyyy HH:mm:ss 'pm'", "", "CASE WHEN hour(t) > 12 THEN NULL WHEN hour(t) = 12 THEN t ELSE t + INTERVAL 12 HOUR END"), ("yyyy-MM-dd '25:00'", "", "NULL"), ("yyyy MMM d HH:mm:ss", "", "t"),
+]
+
+
+def _more_dates(s: SparkSession, d: str) -> DataFrame:
+    made = [F.concat(F.date_format("ts", pattern), F.lit(rest)) for pattern, rest, _ in MORE_FORMS]
+    return views.table(s, d, "events").select("event_id", dates.parsed(_by(F.col("event_id"), made)).alias("published"))
+
+
 def _coded(url: Column) -> Column:
     """A link as a news.google.com article link."""
     size = F.unhex(F.lpad(F.hex(F.length(url)), 2, "0"))
@@ -82,6 +96,7 @@ QUERIES = {
     "token_counts": lambda s, d: _docs(s, d).select("doc_id", text.token_count(F.col("text")).cast("long").alias("n_tokens")),
     "resolved_links": _resolved,
     "dates_parsed": _written_dates,
+    "dates_free_form": _more_dates,
     "date_or_now": lambda s, d: views.cases(s, d).select("article_id", dates.or_now(F.when(F.col("article_id") % 3 != 0, F.col("report_date")), F.col("as_of")).alias("published")),
     "json_rows": lambda s, d: views.table(s, d, "events").select("event_id", display.as_json(F.struct("event_id", "ts")).alias("json")),
     "search_candidates": lambda s, d: _candidates(s, d).withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm")),
@@ -134,6 +149,7 @@ ORACLES = {
     "resolved_links": f"SELECT page_id, {_TRIMMED.format('url')} AS link FROM pages",
     "dates_parsed": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN t - INTERVAL 7 HOUR WHEN 1 THEN t + INTERVAL 5 HOUR WHEN 4 THEN t - INTERVAL 2 HOUR WHEN 5 THEN date_trunc('day', t)
   WHEN 6 THEN NULL WHEN 7 THEN date_trunc('minute', t) - INTERVAL 7 HOUR ELSE t END AS published FROM (SELECT event_id, date_trunc('second', ts) AS t FROM events)""",
+    "dates_free_form": f"SELECT event_id, CASE event_id % {len(MORE_FORMS)} {' '.join(f'WHEN {i} THEN {sql}' for i, (*_, sql) in enumerate(MORE_FORMS))} END AS published FROM (SELECT event_id, date_trunc('second', ts) AS t FROM events)",
     "date_or_now": f"WITH {registry._CASE_ROWS} SELECT article_id, CASE WHEN article_id % 3 <> 0 THEN report_date ELSE as_of END AS published FROM cases",
     "json_rows": """SELECT event_id, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC"}' AS json FROM events""",
     "search_candidates": f"WITH {_E}, {_WANTED} SELECT feed_ord, entry_ord, title, link, strftime(published, '%Y-%m-%d %H:%M') AS published FROM wanted",
