@@ -15,6 +15,7 @@ from . import registry, views
 HOSTS = [TRUSTED[0], "a.test", TRUSTED[3].upper(), "b.test"]
 #: feeds written and read again, and how many consecutive entries share a file
 READ_FEEDS, FILE_ENTRIES = 3, 150
+MANY_FEEDS = 60
 
 #: one written form of a date for each remainder of event_id by eight: pattern and what follows it
 DATE_FORMS = [("EEE, dd MMM yyyy HH:mm:ss", " +0700"), ("EEE, dd MMM yyyy HH:mm:ss", " EST"), ("yyyy-MM-dd'T'HH:mm:ss", "Z"), ("yyyy-MM-dd HH:mm:ss", ""), ("yyyy-MM-dd'T'HH:mm:ss", "+02:00"), ("MMM d, yyyy", ""), ("'no' 'date'", ""), ("dd MMM yyyy HH:mm", " ICT")]
@@ -60,18 +61,18 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
     return views.table(s, d, "pages").select("page_id", urls.resolved(_by(F.col("page_id"), forms)).alias("link"))
 
 
-def _read_feeds(s: SparkSession, d: str) -> DataFrame:
-    """Three feeds written as RSS files of a bounded number of items, a seventh of them without title and link, and read again."""
+def _read_feeds(s: SparkSession, d: str, many: int = READ_FEEDS) -> DataFrame:
+    """Three (or as `many`) feeds written as RSS files of a bounded number of items, a seventh of them without title and link, and read again."""
     plain = lambda c: F.replace(F.replace(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     e = views.entries(s, d)
     head = F.concat(tag("link", plain(F.col("link"))), tag("title", plain(F.col("title"))))
     item = F.concat(F.when(F.col("entry_ord") % 7 != 6, head).otherwise(F.lit("")), tag("pubDate", F.concat(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0700"))))
-    items = e.select((F.col("entry_ord") % READ_FEEDS).alias("feed"), F.lpad(F.floor(F.col("entry_ord") / FILE_ENTRIES).cast("string"), 12, "0").alias("file"), F.struct("entry_ord", tag("item", item).alias("xml")).alias("one"))
+    items = e.select((F.col("entry_ord") % many).alias("feed"), F.lpad(F.floor(F.col("entry_ord") / FILE_ENTRIES).cast("string"), 12, "0").alias("file"), F.struct("entry_ord", tag("item", item).alias("xml")).alias("one"))
     files = items.groupBy("feed", "file").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["xml"]), "\n"), F.lit("</channel></rss>")).alias("value"))
     path = places.new(s, "feeds")
     files.write.partitionBy("feed", "file").text(path)
-    return feeds.read_feeds(s, [f"{path}/feed={k}" for k in range(READ_FEEDS)])
+    return feeds.read_feeds(s, [f"{path}/feed={k}" for k in range(many)])
 
 
 def _hosted(s: SparkSession, d: str, keywords: list[str]) -> DataFrame:
@@ -102,6 +103,7 @@ QUERIES = {
     "search_candidates": lambda s, d: _candidates(s, d).withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm")),
     "search_report": lambda s, d: search.report(views.identity(s, d).select(F.col("id").alias("n"), "title", F.date_format("published_date", "yyyy-MM-dd HH:mm").alias("published"), "link", F.lit("...").alias("summary"))),
     "feeds_read": lambda s, d: _read_feeds(s, d).select("feed_ord", "entry_ord", "link", "title", "published", "malformed"),
+    "feeds_read_many": lambda s, d: _read_feeds(s, d, MANY_FEEDS).select("feed_ord", "entry_ord", "link", "published", "malformed"),
     "feeds_read_health": lambda s, d: stats.feed_health(_read_feeds(s, d), "malformed"),
 }
 
@@ -155,6 +157,7 @@ ORACLES = {
     "search_candidates": f"WITH {_E}, {_WANTED} SELECT feed_ord, entry_ord, title, link, strftime(published, '%Y-%m-%d %H:%M') AS published FROM wanted",
     "search_report": f"WITH {_E} SELECT entry_ord AS n, entry_ord || '. ' || title || chr(10) || strftime(published, '%Y-%m-%d %H:%M') || chr(10) || link || chr(10) || '...' AS entry FROM ent",
     "feeds_read": f"{_FEEDS} SELECT feed_ord, entry_ord, link, title, published, malformed FROM read",
+    "feeds_read_many": f"{_FEEDS.replace(f'entry_ord % {READ_FEEDS}', f'entry_ord % {MANY_FEEDS}')} SELECT feed_ord, entry_ord, link, published, malformed FROM read",
     "feeds_read_health": f"{_FEEDS} SELECT feed_ord, count(*) AS entries, count(*) FILTER (WHERE malformed) AS malformed FROM read GROUP BY 1",
     "title_near_dup_pairs": f"WITH RECURSIVE {_E}, once AS (SELECT entry_ord, lower(title) AS norm FROM ent WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY feed_ord, entry_ord) = 1), {_NEAR.format('entry_ord')}, {_COMMON} SELECT a, b FROM pairs",
     "title_fuzzy_dedup": f"WITH RECURSIVE {_E}, wanted AS (SELECT feed_ord, entry_ord, title FROM ent), {_GREEDY} SELECT entry_ord, title FROM kept",

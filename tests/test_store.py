@@ -188,3 +188,38 @@ def test_kept_totals(spark, tmp_path):
     store.reset(confirm=True)
     agrees()
     assert store.state()["next"]["article_identity"] == 41
+
+
+def test_many_feeds_in_one_scan(spark, tmp_path):
+    """Files, folders and patterns, some named twice; entries in the order of their files."""
+    item = lambda i: f"<item><title>t{i}</title><link>https://a.vn/{i}</link></item>"
+    for k in range(12):
+        folder = tmp_path / f"feed {k}"
+        folder.mkdir()
+        for part in range(3):
+            (folder / f"{part}.xml").write_text("<rss>" + "".join(item(100 * k + 10 * part + j) for j in range(k % 3)) + "</rss>")
+    paths = [f"file:{tmp_path}/feed {k}" for k in range(12)] + [f"{tmp_path}/feed 4/1.xml", f"{tmp_path}/feed 5", f"{tmp_path}/feed [78]/*.xml"]
+    spark.sparkContext.setJobGroup("feeds", "feeds")
+    got = feeds.read_feeds(spark, paths).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("feeds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {n: [100 * k + 10 * part + j for part in range(3) for j in range(k % 3)] for n, k in enumerate([*range(12)])}
+    want |= {12: [410], 13: want[5], 14: want[7] + want[8]}
+    for n, numbers in want.items():
+        own = sorted((r.entry_ord, r.link) for r in got if r.feed_ord == n)
+        assert own == [(i, f"https://a.vn/{x}") for i, x in enumerate(numbers)]
+    assert len(got) == sum(map(len, want.values()))
+    assert jobs < 15
+    assert feeds.read_feeds(spark, []).count() == 0
+
+
+def test_feed_stream(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "1.xml").write_text(RSS)
+    for expected in (2, 4):
+        query = feeds.feed_stream(spark, str(tmp_path / "in" / "*")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert len(got) == expected
+        assert {r.feed for r in got} == {"a"}
+        (tmp_path / "in" / "a" / "2.xml").write_text(RSS)
