@@ -20,6 +20,7 @@ def options(args: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--feeds", nargs="+", required=True, help="feed files in order")
     parser.add_argument("--pages", required=True, help="Parquet table of url, html")
     parser.add_argument("--as-of", type=datetime.fromisoformat, help="reference time in UTC; now by default")
+    parser.add_argument("--labels", action="store_true", help="label the lines of an article and show its date in its own zone")
     chosen = parser.parse_args(args)
     chosen.keywords = [k.strip() for k in chosen.keywords.split(",") if k.strip()]
     return chosen
@@ -29,7 +30,8 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> int:
     """Print the found articles; gives their number."""
     entries = feeds.read_feeds(spark, chosen.feeds).withColumn("published", F.col("published_text"))
     now = F.lit(chosen.as_of or datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
-    found = search.report(search.search_news(entries, spark.read.parquet(chosen.pages), chosen.keywords, chosen.days, now))
+    found = search.search_news(entries, spark.read.parquet(chosen.pages), chosen.keywords, chosen.days, now, own_zone=chosen.labels)
+    found = search.labelled_report(found) if chosen.labels else search.report(found)
     n = 0
     for row in found.orderBy("n").toLocalIterator():
         print(row.entry)

@@ -32,6 +32,8 @@ CASES_AFTER_VERB = r"(phát\s+hiện|ghi\s+nhận)\s+(\d+)\s+(ca|trường\s+h
 
 # fixed values: tags and the location of every case
 TAG_NEW, TAG_ALERT, LOCATION = "Mới", "Cảnh báo", "Việt Nam"
+#: labels of a found article, and the line after it
+REPORT_DATE, REPORT_LINK, REPORT_SUMMARY, REPORT_LINE = "Ngày: ", "Link: ", "Tóm tắt: ", "-" * 80
 NO_TREND = "Chưa có data"
 
 # fixed values: named keyword sets of the search, comma-separated

@@ -64,6 +64,12 @@ def _parts(text: Column) -> Column:
     return once(rest, of)
 
 
+def _read(text: Column) -> Column:
+    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    full = F.regexp_replace(F.regexp_replace(clean, _COMPACT + r"(\d{2})(?!\d)", "$1-$2-$3 $4:$5:$6"), _COMPACT + r"(?!\d)", "$1-$2-$3 $4:$5")
+    return once(full, _parts)
+
+
 def _places(p: Column) -> Column:
     """Year, month and day as texts; null where a part is missing, no struct where the numbers make no date."""
     a, b, c = (F.get(p["n"], F.lit(i)) for i in range(3))
@@ -105,9 +111,12 @@ def parsed(text: Column, default: Column | None = None) -> Column:
     is unreadable. Numbers without a month's name are month, day, year unless their sizes say otherwise; two-digit years
     are those nearest to `default` (or 2020). A weekday alone says nothing.
     """
-    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    full = F.regexp_replace(F.regexp_replace(clean, _COMPACT + r"(\d{2})(?!\d)", "$1-$2-$3 $4:$5:$6"), _COMPACT + r"(?!\d)", "$1-$2-$3 $4:$5")
-    return once(once(full, _parts), lambda p: once(_places(p), lambda place: F.when(place.isNotNull(), _moment(p, place, default))))
+    return once(_read(text), lambda p: once(_places(p), lambda place: F.when(place.isNotNull(), _moment(p, place, default))))
+
+
+def as_written(text: Column, default: Column | None = None) -> Column:
+    """The same in the zone that the text names: what its clock shows."""
+    return parsed(text, default) + F.make_dt_interval(F.lit(0), F.lit(0), once(_read(text), lambda p: p["zone"]))
 
 
 def or_now(published: Column, as_of: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import importlib.util
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from newsweave.constants import ALERTS, CASES_AFTER_VERB, CASES_BEFORE_NOUN, EXCLUDED, KEYWORD_SETS, TAG_ALERT, TAG_NEW
 
@@ -14,6 +17,14 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 TOKEN = r"(?U)\w+|[^\w\s]"
 
 
+#: more phrases than this are looked for together
+MANY = 64
+
+
+def _has_automaton() -> bool:
+    return importlib.util.find_spec("ahocorasick") is not None
+
+
 def literals(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -27,9 +38,50 @@ def contains_any(text: Column, phrases: Column) -> Column:
     return F.exists(phrases, lambda p: F.contains(text, p))
 
 
+def _automaton(phrases: Sequence[str]) -> Callable[[Column], Column]:
+    """A function of small-lettered texts: the numbers of the phrases in them, ascending, found in one pass whatever their number."""
+    import ahocorasick
+
+    always = [i for i, p in enumerate(phrases) if not p]
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(phrases):
+        if p:
+            places.setdefault(p, []).append(i)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = ahocorasick.Automaton()
+        for phrase, own in places.items():
+            machine.add_word(phrase, own)
+        machine.make_automaton()
+
+        def of(text: str | None) -> list[int] | None:
+            if text is None:
+                return None
+            hit = {id(own): own for _, own in machine.iter(text)} if places else {}
+            return sorted([*always, *(i for own in hit.values() for i in own)])
+
+        for series in texts:
+            yield series.map(of)
+
+    return found
+
+
+def contains_one_of(text: Column, phrases: Sequence[str]) -> Column:
+    """Whether any of the phrases is in a text; many of them are looked for together."""
+    if len(phrases) > MANY and _has_automaton():
+        return F.size(_automaton(list(phrases))(text)) > 0
+    return contains_any(text, literals(phrases))
+
+
 def matched(title: Column, keywords: Sequence[str]) -> Column:
-    """The keywords whose lower-cased form is in the lower-cased title, in list order and as written."""
+    """The keywords whose lower-cased form is in the lower-cased title, in list order and as written.
+
+    Up to `MANY` keywords are tested one by one within the generated code; more of them by an automaton over all at once.
+    """
     low = F.lower(title)
+    if len(keywords) > MANY and _has_automaton():
+        return F.transform(_automaton([k.lower() for k in keywords])(low), lambda i: F.element_at(literals(keywords), i + 1))
     return F.filter(literals(keywords), lambda k: F.contains(low, F.lower(k)))
 
 

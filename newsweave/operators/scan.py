@@ -32,7 +32,7 @@ def trusted(source: Column, domains: Sequence[str], suffix_match: bool = False)
     domains = [d.lower() for d in domains]
     if suffix_match:
         return F.exists(text.literals(domains), lambda d: (source == d) | F.endswith(source, F.concat(F.lit("."), d)))
-    return text.contains_any(source, text.literals(domains))
+    return text.contains_one_of(source, domains)
 
 
 def route(entries: DataFrame, keywords: Sequence[str], domains: Sequence[str], existing: DataFrame | None, as_of: Column, options: ScanOptions | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweave.constants import REPORT_DATE, REPORT_LINE, REPORT_LINK, REPORT_SUMMARY
 from newsweave.functions import dates, html, text, urls
 
 from . import sentences
@@ -16,29 +17,35 @@ from .numbering import numbered
 LEAST_TOKENS = 10
 
 
-def candidates(entries: DataFrame, keywords: Sequence[str], days: int, as_of: Column) -> DataFrame:
-    """Entries with title, resolved link and readable date, fresh enough, with a keyword in the title."""
+def candidates(entries: DataFrame, keywords: Sequence[str], days: int, as_of: Column, own_zone: bool = False) -> DataFrame:
+    """Entries with title, resolved link and readable date, fresh enough, with a keyword in the title; `own_zone`: and `shown`, the date in its own zone."""
     words = [k.lower() for k in text.expand_keywords(keywords)]
     # titles first: they are cheap and leave few entries whose links and dates are read
     titled = entries.withColumn("title", text.strip(F.col("title"))).filter("title <> ''").filter(text.contains_any(F.lower("title"), text.literals(words)))
-    made = titled.select("feed_ord", "entry_ord", "title", urls.resolved(F.col("link")).alias("link"), dates.parsed(F.col("published"), as_of).alias("published"))
+    made = titled.select("feed_ord", "entry_ord", "title", urls.resolved(F.col("link")).alias("link"), dates.parsed(F.col("published"), as_of).alias("published"), *([dates.as_written(F.col("published"), as_of).alias("shown")] if own_zone else []))
     return made.filter("link <> ''").filter(F.col("published") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-def search_news(entries: DataFrame, pages: DataFrame, keywords: Sequence[str], days: int, as_of: Column, model: sentences.Model | None = None) -> DataFrame:
+def search_news(entries: DataFrame, pages: DataFrame, keywords: Sequence[str], days: int, as_of: Column, model: sentences.Model | None = None, own_zone: bool = False) -> DataFrame:
     """n, title, published, link, summary of the found articles, in feed order.
 
     Near-copies of earlier titles go before pages are looked at, so an article whose page fails still hides its copies.
     `pages`: url, html. A page whose description has under ten tokens, or none, gives no row. With a learnt `model` abbreviations
-    do not end the sentences of a summary.
+    do not end the sentences of a summary. Times are in UTC, with `own_zone` as the entry has them.
     """
-    kept = fuzzy_first(candidates(entries, keywords, days, as_of))
+    kept = fuzzy_first(candidates(entries, keywords, days, as_of, own_zone))
     own = pages.select(F.col("url").alias("link"), "html")
     found = kept.join(own, "link").withColumn("summary", html.snippet("html") if model is None else sentences.summarised(html.description("html"), model)).filter(text.token_count(F.col("summary")) >= LEAST_TOKENS)
     listed = numbered(found, "n", F.col("feed_ord"), F.col("entry_ord"))
-    return listed.select("n", "title", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"), "link", "summary")
+    return listed.select("n", "title", F.date_format("shown" if own_zone else "published", "yyyy-MM-dd HH:mm").alias("published"), "link", "summary")
 
 
 def report(found: DataFrame) -> DataFrame:
     """One text line block for each article."""
     return found.select("n", F.concat(F.col("n"), F.lit(". "), F.col("title"), F.lit("\n"), F.col("published"), F.lit("\n"), F.col("link"), F.lit("\n"), F.col("summary")).alias("entry"))
+
+
+def labelled_report(found: DataFrame) -> DataFrame:
+    """The same with its labels and a line after each article."""
+    lines = [F.concat(F.lit("["), F.col("n"), F.lit("] "), F.col("title")), *[F.concat(F.lit(label), F.col(c)) for label, c in ((REPORT_DATE, "published"), (REPORT_LINK, "link"), (REPORT_SUMMARY, "summary"))], F.lit(REPORT_LINE)]
+    return found.select("n", F.array_join(F.array(*lines), "\n").alias("entry"))

@@ -88,6 +88,19 @@ def page(rows: DataFrame, *order: Column, skip: int = 0, limit: int = 100) -> Da
     return rows.orderBy(*order).offset(skip).limit(limit)
 
 
+def page_after(rows: DataFrame, last: tuple | None, when: str = "published_date", key: str = "id", limit: int = 100) -> DataFrame:
+    """The page after the row (when, key) of the one before, newest first; `last` None: the first page.
+
+    No row before it is read again or carried along: the condition goes into the scan, so files and row groups of newer rows are skipped. A null
+    time comes last, as the plain page has it; (when, key) must tell rows apart.
+    """
+    if last is not None:
+        at, id_ = last
+        older = F.col(when).isNull() & (F.col(key) < id_) if at is None else F.col(when).isNull() | (F.col(when) < F.lit(at).cast("timestamp_ntz")) | ((F.col(when) == F.lit(at).cast("timestamp_ntz")) & (F.col(key) < id_))
+        rows = rows.filter(older)
+    return rows.orderBy(F.desc_nulls_last(when), F.desc(key)).limit(limit)
+
+
 def ui_page(rows: DataFrame, *order: Column, number: int = 1, size: int = 10) -> DataFrame:
     return page(rows, *order, skip=(max(1, number) - 1) * size, limit=size)
 

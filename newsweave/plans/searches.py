@@ -48,6 +48,13 @@ def _more_dates(s: SparkSession, d: str) -> DataFrame:
     return views.table(s, d, "events").select("event_id", dates.parsed(_by(F.col("event_id"), made)).alias("published"))
 
 
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    """Every entry as a found article, its date written in one of four zones."""
+    e = views.entries(s, d)
+    text_ = F.concat(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), _by(F.col("entry_ord"), [F.lit(z) for z in (" +0700", " EST", " GMT", "")]))
+    return search.labelled_report(e.select(F.col("entry_ord").alias("n"), "title", F.date_format(dates.as_written(text_), "yyyy-MM-dd HH:mm").alias("published"), "link", F.lit("...").alias("summary")))
+
+
 def _coded(url: Column) -> Column:
     """A link as a news.google.com article link."""
     size = F.unhex(F.lpad(F.hex(F.length(url)), 2, "0"))
@@ -102,6 +109,7 @@ QUERIES = {
     "json_rows": lambda s, d: views.table(s, d, "events").select("event_id", display.as_json(F.struct("event_id", "ts")).alias("json")),
     "search_candidates": lambda s, d: _candidates(s, d).withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm")),
     "search_report": lambda s, d: search.report(views.identity(s, d).select(F.col("id").alias("n"), "title", F.date_format("published_date", "yyyy-MM-dd HH:mm").alias("published"), "link", F.lit("...").alias("summary"))),
+    "search_report_labelled": _labelled,
     "feeds_read": lambda s, d: _read_feeds(s, d).select("feed_ord", "entry_ord", "link", "title", "published", "malformed"),
     "feeds_read_many": lambda s, d: _read_feeds(s, d, MANY_FEEDS).select("feed_ord", "entry_ord", "link", "published", "malformed"),
     "feeds_read_health": lambda s, d: stats.feed_health(_read_feeds(s, d), "malformed"),
@@ -156,6 +164,8 @@ ORACLES = {
     "json_rows": """SELECT event_id, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC"}' AS json FROM events""",
     "search_candidates": f"WITH {_E}, {_WANTED} SELECT feed_ord, entry_ord, title, link, strftime(published, '%Y-%m-%d %H:%M') AS published FROM wanted",
     "search_report": f"WITH {_E} SELECT entry_ord AS n, entry_ord || '. ' || title || chr(10) || strftime(published, '%Y-%m-%d %H:%M') || chr(10) || link || chr(10) || '...' AS entry FROM ent",
+    "search_report_labelled": f"""WITH {_E} SELECT entry_ord AS n, concat_ws(chr(10), '[' || entry_ord || '] ' || title, 'Ngày: ' || strftime(published, '%Y-%m-%d %H:%M'),
+  'Link: ' || link, 'Tóm tắt: ...', repeat('-', 80)) AS entry FROM ent""",
     "feeds_read": f"{_FEEDS} SELECT feed_ord, entry_ord, link, title, published, malformed FROM read",
     "feeds_read_many": f"{_FEEDS.replace(f'entry_ord % {READ_FEEDS}', f'entry_ord % {MANY_FEEDS}')} SELECT feed_ord, entry_ord, link, published, malformed FROM read",
     "feeds_read_health": f"{_FEEDS} SELECT feed_ord, count(*) AS entries, count(*) FILTER (WHERE malformed) AS malformed FROM read GROUP BY 1",

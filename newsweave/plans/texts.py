@@ -1,13 +1,14 @@
-"""Queries on learnt sentence ends, with their SQL."""
+"""Queries on learnt sentence ends, long keyword lists and pages by key, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.operators import sentences
+from newsweave.functions import text
+from newsweave.operators import sentences, stats
 
-from . import searches, views
+from . import registry, searches, views
 
 #: what is put before every text, so that the corpus has abbreviations
 LEAD = "Dr. An and prof. Lê saw TP. HCM for 3.5 days. They left. "
@@ -29,7 +30,23 @@ def _sentences(s: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.slice("s", 1, 3), " ").alias("summary"))
 
 
-QUERIES = {"abbreviations_learnt": _abbreviations, "sentences_learnt": _sentences}
+def _many_keywords(s: SparkSession, d: str) -> DataFrame:
+    """Every word of the benchmark of four letters or more as a keyword, on all documents."""
+    words = views.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).distinct()
+    keywords = [r.w for r in words.orderBy("w").collect()]  # a keyword list
+    found = text.matched(F.col("text"), keywords)
+    return views.table(s, d, "documents").select("doc_id", F.array_join(found, ", ").alias("matched"))
+
+
+def _after(s: SparkSession, d: str) -> DataFrame:
+    """The third page of ten by the key of the second one's last row."""
+    rows, last = views.identity(s, d), None
+    for _ in range(2):
+        last = [(r.published_date, r.id) for r in stats.page_after(rows, last, limit=10).collect()][-1]
+    return stats.page_after(rows, last, limit=10).select("id", "link", "published_date")
+
+
+QUERIES = {"abbreviations_learnt": _abbreviations, "sentences_learnt": _sentences, "keyword_match_many": _many_keywords, "articles_after": _after}
 
 _KIND = r"regexp_replace(lower({0}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.!?…]+$', '', 'g')"
 _BARE = r"regexp_replace({0}, '[.!?…]+$', '')"
@@ -44,6 +61,9 @@ _LAST = _KIND.format(r"regexp_extract(p[i], '(\S+)\s*$', 1)")
 _WITHIN = rf"""(regexp_matches({_BARE.format(_LAST)}, '^[0-9][0-9.,]*$') AND regexp_matches(p[i + 1], '^[^\p{{L}}\p{{N}}\s]*\p{{Ll}}')) OR list_contains(ab, {_BARE.format(_LAST)}) OR regexp_matches({_BARE.format(_LAST)}, '^\p{{L}}$')"""
 
 ORACLES = {
+    "keyword_match_many": """WITH k AS (SELECT list(w ORDER BY w) AS words FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark))
+  SELECT doc_id, array_to_string(list_filter(words, lambda w: contains(lower(text), w)), ', ') AS matched FROM documents, k""",
+    "articles_after": registry.ORACLES["articles_page"],
     "abbreviations_learnt": f"WITH {_LEARNT} SELECT bare AS abbreviation, w AS with_stop, o AS without_stop FROM learnt",
     "sentences_learnt": rf"""WITH {_LEARNT}, listed AS (SELECT coalesce(list(bare), []) AS ab FROM learnt),
 pieces AS (SELECT doc_id, ab, string_split(regexp_replace(translate(text, chr(1), ' '), '([.!?…]["''”’»)\]]{{0,3}}\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM led, listed),

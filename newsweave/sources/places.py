@@ -16,6 +16,9 @@ def shared(spark: SparkSession) -> str:
         if not configured and not sc.master.startswith("local"):
             configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_newsweave"
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="newsweave-"))
+        # Spark made a folder of this session's own in it
+        own = spark._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return sc.getCheckpointDir().rstrip("/")
 
 

@@ -80,13 +80,21 @@ class Store:
             raise ValueError("reset deletes every stored row: pass confirm=True")
         self.log.commit(EMPTY, lambda state: ({**EMPTY, "next": state["next"]}, None))
 
-    def _add_articles(self, articles: DataFrame, as_of: Column, *order: str, with_cases: bool = False, strict: bool = False) -> int:
-        """Articles whose links are not stored yet, their details and cases, as one commit."""
+    def _add_articles(self, articles: DataFrame, as_of: Column, *order: str, with_cases: bool = False, strict: bool = False, batch: tuple[str, int] | None = None) -> int:
+        """Articles whose links are not stored yet, their details and cases, as one commit.
+
+        With `batch` (a stream's name and the batch's number) the stream sees to it that links come once: stored links are not read, and a
+        batch whose number the store has seen is left out.
+        """
         articles = cut(articles.withColumn("published_date", F.coalesce("published_date", as_of)))
         wanted = articles.count() if strict else 0
 
         def build(state: dict[str, Any]) -> tuple[dict[str, Any] | None, int]:
-            fresh = cut(not_stored(articles, self.read(IDENTITY, state)))
+            if batch:
+                if state.setdefault("streams", {}).get(batch[0], -1) >= batch[1]:
+                    return None, 0
+                state["streams"][batch[0]] = batch[1]
+            fresh = articles if batch else cut(not_stored(articles, self.read(IDENTITY, state)))
             found = fresh.agg(F.count("*").alias("n"), F.count_if(F.col("tags").contains(TAG_ALERT)).alias("alerts")).first()
             if strict and found.n < wanted:
                 raise Duplicate("an article with this link is stored")
@@ -114,9 +122,10 @@ class Store:
 
         return self.log.commit(EMPTY, build)
 
-    def save_scan(self, routed: DataFrame, as_of: Column) -> int:
-        """Store the saved articles of a scan and their cases; gives the number of articles. What another scan stored since is left out."""
-        return self._add_articles(saved(routed).drop("id"), as_of, *ORDER, with_cases=True)
+    def save_scan(self, routed: DataFrame, as_of: Column, batch: tuple[str, int] | None = None) -> int:
+        """Store the saved articles of a scan and their cases; gives the number of articles. What another scan stored since is left out;
+        with `batch` see `_add_articles`."""
+        return self._add_articles(saved(routed).drop("id"), as_of, *ORDER, with_cases=True, batch=batch)
 
     def save_articles(self, articles: DataFrame, as_of: Column, strict: bool = True) -> int:
         """Store articles approved by hand (one or many); with `strict`, one that is stored already is an error."""

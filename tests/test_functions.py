@@ -153,3 +153,34 @@ def test_numbered(spark):
     got = numbering.numbered(rows, "n", F.desc("v"), after=5).collect()
     assert {r.v: r.n for r in got} == {v: 1005 - v for v in range(1000)}
     assert numbering.numbered(rows.limit(0), "n", F.desc("v")).count() == 0
+
+
+def test_many_keywords(spark):
+    """Ten thousand keywords give what testing each of them gives, in list order."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    keywords = [word(rng.randrange(2, 9)) for _ in range(10_000)] + ["Sởi", "ABC", "abc", ""]
+    titles = [word(rng.randrange(0, 60)) for _ in range(60)] + ["SỞI và ABC", "", None]
+    frame = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    got = {r.i: r.m for r in frame.select("i", text.matched(F.col("t"), keywords).alias("m")).collect()}
+    assert got == {i: None if t is None else [k for k in keywords if k.lower() in t.lower()] for i, t in enumerate(titles)}
+    some = [k.lower() for k in keywords[:500]]
+    held = {r.i: r.h for r in frame.select("i", text.contains_one_of(F.lower("t"), some).alias("h")).collect()}
+    assert held == {i: None if t is None else any(k in t.lower() for k in some) for i, t in enumerate(titles)}
+
+
+def test_pages_by_key(spark):
+    """Every page by key is the page by offset, ties and missing times included."""
+    from newsweave.operators import stats
+
+    rows = [(i, None if i % 11 == 0 else NOW - timedelta(hours=i % 7)) for i in range(57)]
+    frame = spark.createDataFrame(rows, "id long, published_date timestamp_ntz").cache()
+    last, seen = None, []
+    while page := [tuple(r) for r in stats.page_after(frame, last, limit=10).collect()]:
+        want = stats.page(frame, F.desc("published_date"), F.desc("id"), skip=len(seen), limit=10)
+        assert page == [tuple(r) for r in want.collect()]
+        seen += page
+        last = page[-1][::-1]
+    assert len(seen) == 57

@@ -98,6 +98,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert chosen.keywords == ["sởi", "x1"]
     assert cli.run(spark, chosen) == 1
     assert capsys.readouterr().out.startswith("1. Sởi\n2024-03-05 03:00\nhttps://a.vn/1\n")
+    chosen.labels = True
+    assert cli.run(spark, chosen) == 1
+    assert capsys.readouterr().out.startswith("[1] Sởi\nNgày: 2024-03-05 10:00\nLink: https://a.vn/1\nTóm tắt: Một đoạn")
 
 
 def test_a_failure_between_writes_leaves_nothing(spark, tmp_path, monkeypatch):
@@ -223,3 +226,26 @@ def test_feed_stream(spark, tmp_path):
         assert len(got) == expected
         assert {r.feed for r in got} == {"a"}
         (tmp_path / "in" / "a" / "2.xml").write_text(RSS)
+
+
+def test_stateful_stream(spark, tmp_path):
+    """Repeated links over restarts are stored once without a look at stored ones; a repeated batch is stored once; all as one batch scan."""
+    store, plain = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "plain"))
+    for one in (store, plain):
+        one.add_keywords("sởi", now=NOW)
+    read = []
+    find = store.read
+    store.read = lambda table, state=None: read.append(table) or find(table, state)
+    for nth, (a, b) in enumerate(((0, 3), (1, 6), (0, 6), (4, 9))):
+        spark.createDataFrame(rows(b - a, a), ENTRY).write.mode("append").parquet(str(tmp_path / "in"))
+        streaming.stateful_scan_stream(streaming.entry_stream(spark, str(tmp_path / "in")), store, as_of, str(tmp_path / "mark")).awaitTermination()
+        assert store.state()["streams"]["scan"] >= nth if nth != 2 else True
+    assert "article_identity" not in read
+    plain.save_scan(scan.route(spark.createDataFrame(rows(9), ENTRY), ["sởi"], [], None, as_of()), as_of())
+    for table in ("article_identity", "article_details", "disease_cases"):
+        got, want = (sorted(map(tuple, one.read(table).collect())) for one in (store, plain))
+        assert got == want
+    last = store.state()["streams"]["scan"]
+    again = scan.route(spark.createDataFrame(rows(4, 20), ENTRY), ["sởi"], [], None, as_of())
+    assert store.save_scan(again, as_of(), batch=("scan", last)) == 0
+    assert store.save_scan(again, as_of(), batch=("scan", last + 1)) == 4
