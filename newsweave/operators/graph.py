@@ -84,8 +84,11 @@ def greedy_drops(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = kept(edges, "pairs")
-    if edges.isEmpty():
+    n = edges.count()
+    if not n:
         return spark.createDataFrame([], "id bigint")
+    if n <= most_edges:  # no more than one component may have: walked as one
+        return edges.select(F.lit(0).cast("long").alias("root"), "a", "b").repartition(1).sortWithinPartitions("root", "a", "b").mapInArrow(_walk, "id bigint")
     rooted = kept(edges.join(components(edges).withColumnRenamed("node", "a"), "a").select("root", "a", "b"), "rooted")
     large = rooted.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most_edges).select("root")
     if large.isEmpty():
