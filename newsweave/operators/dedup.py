@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 from newsweave.sources.places import kept
 
 from .graph import greedy_drops
-from .skew import with_counts
 
 ORDER = ("feed_ord", "entry_ord")
 #: a fuzzy ratio of 95 or more: 2 * LCS of at least 95 % of both lengths
@@ -51,29 +50,59 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * OF * common_subsequence(x, y) >= ALIKE * (len(x) + len(y)) for x, y in zip(a, b)], dtype=bool)
 
 
-GRAM = 5
+#: characters of a piece: of titles shorter than `LONG`, and of the others
+SHORT_PIECE, PIECE, LONG = 5, 8, 40
+#: edits that two titles of lengths n and l_n may have at most
+_EDITS = "cast(floor((n + l_n) * 0.05) as int)"
 
 
-def near_pairs(titles: DataFrame) -> DataFrame:
-    """a, b (ids, a before b) of all pairs whose titles are alike. `titles`: id (bigint), title (distinct titles).
+#: counts modulo eight as four bits, of which neighbours differ in one
+_RING = np.array([0, 1, 3, 7, 15, 14, 12, 8], np.uint64)
+
+
+@F.pandas_udf(LongType())
+def letters(titles: pd.Series) -> pd.Series:
+    """How many characters of a title fall into each of 16 classes (by code point), on a ring of eight: an edit changes one bit."""
+
+    def of(title: str) -> int:
+        codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ring = _RING[np.bincount(codes & 15, minlength=16) & 7]
+        return int((ring << np.arange(0, 64, 4, dtype=np.uint64)).sum().astype(np.int64))
+
+    return titles.map(of).astype("int64")
 
-    An alike pair has at most floor(0.05 (la + lb)) edits, each of which breaks at most `GRAM` of a title's grams of `GRAM`
-    characters; by their lengths not all can be broken. So when the grams of all titles stand in one order, each title's first
-    `GRAM` * edits + 1 hold the first that both have. The order is by how many titles hold a gram, rarest
-    first: what many titles begin or end with is left out, as long as the rest of the title has grams enough. Titles are joined on
-    these grams, the edit bound and the exact ratio follow. No alike pair is lost, and titles without a common rare gram never meet.
+
+def meeting(sized: DataFrame) -> DataFrame:
+    """id, l_id (id before l_id) of the pairs that may be alike, among them all that are. `sized`: id, title, n (its length), letters.
+
+    An alike pair has at most floor(0.05 (la + lb)) edits, characters left out of either, so at most floor(0.1 la) where a is the longer. Of one
+    piece more than that, cut from the longer title, one stands whole in the other, shifted by no more than the edits. The longer
+    titles' pieces, spread evenly, are joined with all places of the shorter ones; a pair that meets and whose letter
+    counts are no further apart than the edits allowed goes on to the exact ratio. The exchanges carry a fixed number of short rows a
+    title; what meets is counted off within the tasks of the join and written nowhere. No alike pair is lost.
     """
-    most = "cast(floor((n + floor(n * 21 / 19)) * 0.05) as int)"  # edits of the longest title that may meet this one
-    sized = titles.select("id", "title", F.length("title").alias("n")).withColumn("k", F.expr(most)).filter("k > 0")
-    grams = sized.select("id", "n", "k", F.explode(F.expr(f"array_distinct(transform(sequence(1, n - {GRAM - 1}), i -> xxhash64(substring(title, i, {GRAM}))))")).alias("gram"))
-    held = with_counts(grams, "gram", "titles").groupBy("id", "n", "k").agg(F.collect_list(F.struct("titles", "gram")).alias("grams"))
-    first = held.select("id", "n", F.explode(F.expr(f"slice(array_sort(grams), 1, {GRAM} * k + 1)")).alias("g")).filter("g.titles > 1")
-    first = kept(first.select("id", "n", F.col("g.gram").alias("gram")), "grams")
-    other = first.select(F.col("id").alias("l_id"), F.col("n").alias("l_n"), "gram")
-    met = first.join(other, "gram").filter("id < l_id and abs(n - l_n) <= floor((n + l_n) * 0.05)").select("id", "l_id").distinct()
+    size = f"if(n < {LONG}, {SHORT_PIECE}, {PIECE})"
+    # as many pieces as edits and one, the first at the beginning and the last at the end
+    cut_at = f"transform(sequence(0, n div 10), i -> 1 + (i * (n - {size})) div (n div 10))"
+    piece = lambda size: f"struct(p as at, xxhash64(substring(title, p, {size})) as gram)"
+    longer = sized.select("id", "n", "letters", F.expr(f"inline(transform({cut_at}, p -> {piece(size)}))"))
+    # a title may be the shorter one of two in both sizes of pieces
+    places = lambda size: f"transform(sequence(1, n - {size - 1}), p -> {piece(size)})"
+    shorter = [sized.filter(where).select(F.col("id").alias("l_id"), F.col("n").alias("l_n"), F.col("letters").alias("l_letters"), F.expr(f"inline({places(size)})")).withColumnRenamed("at", "l_at") for where, size in ((f"n >= {LONG * 19 // 21}", PIECE), (f"n < {LONG}", SHORT_PIECE))]
+    near = f"(l_n < n or (l_n = n and l_id < id)) and n - l_n <= {_EDITS} and abs(at - l_at) + abs(n - l_n - at + l_at) <= {_EDITS} and bit_count(letters ^ l_letters) <= {_EDITS}"
+    # gram by gram in sorted runs: the join holds the places of one gram
+    met = longer.join(shorter[0].unionByName(shorter[1]).hint("merge"), "gram").filter(near)
+    return met.select(F.least("id", "l_id").alias("id"), F.greatest("id", "l_id").alias("l_id")).distinct()
+
+
+def near_pairs(titles: DataFrame) -> DataFrame:
+    """a, b (ids, a before b) of all pairs whose titles are alike. `titles`: id (bigint), title (distinct titles)."""
+    # shorter ones allow no edit
+    sized = kept(titles.select("id", "title", F.length("title").alias("n"), letters("title").alias("letters")).filter("n >= 10"), "sized")
+    met = meeting(sized)
     own = sized.select("id", "title", "n")
     pairs = met.join(own, "id").join(own.select(F.col("id").alias("l_id"), F.col("title").alias("l_title"), F.col("n").alias("l_n")), "l_id")
-    close = pairs.filter(F.levenshtein("title", "l_title") <= F.expr("cast(floor((n + l_n) * 0.05) as int)"))
+    close = pairs.filter(F.levenshtein("title", "l_title") <= F.expr(_EDITS))
     close = close.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "l_id").filter(alike("title", "l_title"))
     return close.select(F.col("id").alias("a"), F.col("l_id").alias("b"))
 

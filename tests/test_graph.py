@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsweave.operators import dedup, graph, skew
 
@@ -88,6 +89,18 @@ def test_common_beginnings(spark):
     assert took[2] < 3 * took[1] + 2
 
 
+def test_halves_in_common_do_not_meet(spark):
+    """Of titles that share their first half, only pairs that may be alike are written."""
+    rng = random.Random(11)
+    head = words(rng, 40)
+    titles = [head + words(rng, 40) for _ in range(800)]
+    titles += [t[:60] + "q" + t[61:] for t in titles[:20]] + [t[1:77] for t in titles[20:30]] + [t[4:] + "abc" for t in titles[30:40]]
+    sized = spark.createDataFrame(list(enumerate(titles)), "id long, title string").select("id", "title", F.length("title").alias("n"), dedup.letters("title").alias("letters"))
+    met = {(r.id, r.l_id) for r in dedup.meeting(sized).collect()}
+    assert {(i, 800 + i) for i in range(40)} <= met
+    assert len(met) < 3000  # of 319,600 pairs with a common half
+
+
 def test_counts_of_heavy_keys(spark):
     rows = [(1, i) for i in range(500)] + [(k, 0) for k in range(2, 90) for _ in range(k % 5)] + [(None, 5)]
     got = skew.with_counts(spark.createDataFrame(rows, "k long, v int"), "k", "n", share=10).collect()
