@@ -35,6 +35,23 @@ def trusted(source: Column, domains: Sequence[str], suffix_match: bool = False)
     return text.contains_one_of(source, domains)
 
 
+#: what a scan makes of an entry's texts, whichever other entries there are
+DERIVED = ("keywords_matched", "case_count")
+
+
+def derived(entries: DataFrame, keywords: Sequence[str], options: ScanOptions | None = None) -> DataFrame:
+    """Entries with keywords_matched, case_count and the summary cut to its length (null without a match), so that no exchange carries whole texts.
+
+    `route` does this first; entries that have it already, for the same keywords and options, can be joined before they are routed.
+    """
+    o = options or ScanOptions()
+    body = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("description"), F.lit("")) if "description" in entries.columns else F.coalesce("summary", F.lit(""))
+    found = text.match_keywords(F.coalesce("title", F.lit("")), list(keywords or [])[: o.max_keywords], o.excluded)
+    made = entries.withColumns({"title": F.coalesce("title", F.lit("")), "keywords_matched": found})
+    of_hits = lambda c: F.when(F.col("keywords_matched").isNotNull(), c)
+    return made.withColumns({"case_count": of_hits(text.case_count(F.concat_ws(" ", "title", body))), "summary": of_hits(text.truncated(body)), **({"description": of_hits(F.col("description"))} if "description" in entries.columns else {})})
+
+
 def route(entries: DataFrame, keywords: Sequence[str], domains: Sequence[str], existing: DataFrame | None, as_of: Column, options: ScanOptions | None = None) -> DataFrame:
     """First-seen, fresh, matching entries with their derived columns and `route`: saved, existing or unknown.
 
@@ -43,16 +60,16 @@ def route(entries: DataFrame, keywords: Sequence[str], domains: Sequence[str], e
     """
     o = options or ScanOptions()
     keywords, domains = list(keywords or [])[: o.max_keywords], list(domains or [])[: o.max_domains] or TRUSTED
+    if not set(DERIVED) <= set(entries.columns):
+        entries = derived(entries, keywords, o)
     seen = first_seen(entries)
-    hits = seen.withColumns({"title": F.coalesce("title", F.lit(""))}).withColumn("keywords_matched", text.match_keywords(F.col("title"), keywords, o.excluded))
-    hits = hits.filter(F.col("keywords_matched").isNotNull())
+    hits = seen.filter(F.col("keywords_matched").isNotNull())
     fresh = hits.withColumn("published_date", dates.or_now(F.col("published"), as_of)).filter(F.col("published_date") >= as_of - F.expr(f"INTERVAL {o.days} DAYS"))
-    body = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("description"), F.lit("")) if "description" in entries.columns else F.coalesce("summary", F.lit(""))
-    full = fresh.withColumns({"_body": body, "source": urls.domain(F.col("link"))})
+    full = fresh.withColumn("source", urls.domain(F.col("link")))
     full = full.withColumns({
-        "tags": text.tags(F.col("title"), F.col("published_date"), as_of, o.alerts), "case_count": text.case_count(F.concat_ws(" ", "title", "_body")), "summary": text.truncated(F.col("_body")),
+        "tags": text.tags(F.col("title"), F.col("published_date"), as_of, o.alerts),
         "primary_disease": text.primary_disease(F.col("keywords_matched")), "is_whitelisted": trusted(F.col("source"), domains, o.suffix_match),
-    }).drop("_body")
+    })
     if existing is None:
         return full.withColumn("route", F.when(F.col("is_whitelisted"), F.lit("saved")).otherwise(F.lit("unknown")))
     links = existing.select(F.col("link").alias("_link")).distinct().withColumn("_stored", F.lit(True))

@@ -16,9 +16,14 @@ NOW = "2024-01-31 00:00:00"
 OPTIONS = scan.ScanOptions(excluded=views.EXCLUDED, alerts=views.ALERTS)
 
 
+def _scanned(s: SparkSession, d: str, summary: Column | None = None) -> DataFrame:
+    """Entries with what a scan makes of their texts, made before they are joined."""
+    own = lambda rows: rows if summary is None else rows.withColumn("summary", summary)
+    return views.entries(s, d, lambda rows: scan.derived(own(rows), views.KEYWORDS, OPTIONS)).drop("html")
+
+
 def _routed(s: SparkSession, d: str, summary: Column | None = None) -> DataFrame:
-    e = views.entries(s, d).drop("html")
-    e = e if summary is None else e.withColumn("summary", summary)
+    e = _scanned(s, d, summary)
     existing = views.table(s, d, "pages").filter("page_id % 5 = 0").select(F.col("url").alias("link"))
     return scan.route(e, views.KEYWORDS, views.TRUSTED, existing, F.col("as_of"), OPTIONS)
 
@@ -55,8 +60,7 @@ def _stored(s: SparkSession, d: str) -> store.Store:
     own = store.Store(s, places.new(s, "store"))
     own.create()
     for _ in range(2):
-        e = views.entries(s, d).drop("html").withColumn("summary", F.expr(_CASE_SUMMARY))
-        routed = scan.route(e, views.KEYWORDS, views.TRUSTED, own.read("article_identity"), F.col("as_of"), OPTIONS)
+        routed = scan.route(_scanned(s, d, F.expr(_CASE_SUMMARY)), views.KEYWORDS, views.TRUSTED, own.read("article_identity"), F.col("as_of"), OPTIONS)
         own.save_scan(routed, F.col("published_date"))
     return own
 
@@ -107,7 +111,7 @@ QUERIES = {
     "selection_toggle": lambda s, d: views.table(s, d, "nation").select("n_nationkey", F.array_join(selection.toggled(F.array(F.lit(1), F.lit(2), F.lit(3)), F.col("n_nationkey")), ",").alias("chosen")),
     "selection_tally": lambda s, d: selection.tally(views.table(s, d, "customer").withColumnRenamed("c_nationkey", "k"), views.table(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("k")), "k"),
     "title_near_dup_pairs": lambda s, d: dedup.near_pairs(dedup.first_seen(views.entries(s, d).withColumn("title", F.lower("title")), "title").select(F.col("entry_ord").alias("id"), "title")),
-    "title_fuzzy_dedup": lambda s, d: dedup.fuzzy_first(views.entries(s, d)).select("entry_ord", "title"),
+    "title_fuzzy_dedup": lambda s, d: dedup.fuzzy_first(views.entries(s, d).select("feed_ord", "entry_ord", "title")).select("entry_ord", "title"),
     "search_news": lambda s, d: search.search_news(_raw_entries(s, d), _pages(s, d), views.KEYWORDS, 30, F.lit(NOW).cast("timestamp_ntz")),
     "html_snippet": lambda s, d: views.table(s, d, "pages").select("page_id", html.snippet("html").alias("snippet")),
 }

@@ -39,8 +39,7 @@ def _domains(s: SparkSession, d: str) -> DataFrame:
 def _by_hand(s: SparkSession, d: str) -> DataFrame:
     """A scan's articles, then those of other sources that were approved by hand."""
     own = registry._stored(s, d)
-    e = views.entries(s, d).drop("html")
-    own.save_articles(scan.unknown(scan.route(e, views.KEYWORDS, views.TRUSTED, None, F.col("as_of"), registry.OPTIONS)), F.current_timestamp().cast("timestamp_ntz"), strict=False)
+    own.save_articles(scan.unknown(scan.route(registry._scanned(s, d), views.KEYWORDS, views.TRUSTED, None, F.col("as_of"), registry.OPTIONS)), F.current_timestamp().cast("timestamp_ntz"), strict=False)
     return own.read("article_identity")
 
 
