@@ -13,7 +13,7 @@ from newsweave.sources import feeds, places
 from . import registry, views
 
 HOSTS = [TRUSTED[0], "a.test", TRUSTED[3].upper(), "b.test"]
-#: feeds written and read again, and how many consecutive entries share a file
+#: feeds written and read again, and how many consecutive entries of a feed share a file
 READ_FEEDS, FILE_ENTRIES = 3, 150
 MANY_FEEDS = 60
 
@@ -75,7 +75,7 @@ def _read_feeds(s: SparkSession, d: str, many: int = READ_FEEDS) -> DataFrame:
     e = views.entries(s, d)
     head = F.concat(tag("link", plain(F.col("link"))), tag("title", plain(F.col("title"))))
     item = F.concat(F.when(F.col("entry_ord") % 7 != 6, head).otherwise(F.lit("")), tag("pubDate", F.concat(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0700"))))
-    items = e.select((F.col("entry_ord") % many).alias("feed"), F.lpad(F.floor(F.col("entry_ord") / FILE_ENTRIES).cast("string"), 12, "0").alias("file"), F.struct("entry_ord", tag("item", item).alias("xml")).alias("one"))
+    items = e.select((F.col("entry_ord") % many).alias("feed"), F.lpad(F.floor(F.col("entry_ord") / many / FILE_ENTRIES).cast("string"), 12, "0").alias("file"), F.struct("entry_ord", tag("item", item).alias("xml")).alias("one"))
     files = items.groupBy("feed", "file").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["xml"]), "\n"), F.lit("</channel></rss>")).alias("value"))
     path = places.new(s, "feeds")
     files.write.partitionBy("feed", "file").text(path)

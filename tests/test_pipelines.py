@@ -150,3 +150,21 @@ def test_statistics(spark):
     assert {(r.tool, r.accuracy) for r in stats.accuracy(long, "tool", F.col("i") <= F.col("relevant")).collect()} == {("alerts", 62.7), ("script", 86.2)}
     assert [r.id for r in stats.page(identity, F.desc("id"), skip=1, limit=1).collect()] == [1]
     assert stats.ui_page(identity, F.asc("id"), number=0).count() == 2
+
+
+def test_no_whole_text_is_exchanged(spark):
+    """What a scan makes of texts is made before the window over links."""
+    entries = spark.createDataFrame([(0, 0, "http://a.vn/1", "dịch sởi", "x" * 900 + " 12 ca mắc", datetime(2024, 3, 5))], "feed_ord int, entry_ord int, link string, title string, summary string, published timestamp_ntz")
+    routed = scan.route(entries, ["sởi"], ["a.vn"], None, as_of())
+    assert [(r.case_count, len(r.summary)) for r in routed.collect()] == [(12, 503)]
+    below = routed._jdf.queryExecution().optimizedPlan().toString().split("Window [", 1)[1]
+    assert "case_count" in below
+
+
+def test_feed_files_hold_many_entries(spark, tmp_path, monkeypatch):
+    from newsweave.plans import searches
+
+    path = str(tmp_path / "feeds")
+    monkeypatch.setattr(searches.places, "new", lambda *a: path)
+    assert searches._read_feeds(spark, "/root/testdata/sf0.001", 60).count() == 200
+    assert len(list((tmp_path / "feeds").rglob("*.txt"))) == 60
