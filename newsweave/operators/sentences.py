@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from newsweave.functions.text import strip
 from newsweave.functions.values import once
+from newsweave.sources.places import kept
 
 # fixed values: thresholds of the published method
 ABBREVIATION, COLLOCATION, STARTER, SURE = 0.3, 7.88, 30.0, 0.99
@@ -26,6 +27,10 @@ MOST = 5000
 #: where a sentence may end: after a mark and closing signs, before white space; what follows belongs to the next one
 _END = r"""([.!?…]["'”’»)\]]{0,3}\s+)"""
 _MARK = "\x01"
+#: white space in the Unicode sense, spelt out: it is looked up faster
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: the last word, looked for from the end
+_LAST = r"(?s)^.*(?<!\S)(\S+)\s*$"
 
 
 @dataclass(frozen=True)
@@ -63,15 +68,32 @@ def _among(value: Column, listed: tuple[str, ...]) -> Column:
     return value.isin(list(listed)) if listed else F.lit(False)
 
 
-def tokens(texts: DataFrame, text: str = "text") -> DataFrame:
-    """bare, stopped, ended (by a mark that is no single stop), next_bare, next_upper of every token of the corpus."""
-    words = F.filter(F.split(strip(F.col(text)), r"(?U)\s+"), lambda t: t != "")
-    pairs = once(words, lambda w: F.transform(w, lambda t, i: F.struct(t.alias("token"), F.get(w, i + 1).alias("next"))))
-    each = texts.filter(F.col(text).isNotNull()).select(F.explode(pairs).alias("p")).select(_type(F.col("p.token")).alias("kind"), _type(F.col("p.next")).alias("next_kind"))
-    own = each.select(_bare(F.col("kind")).alias("bare"), _stopped(F.col("kind")).alias("stopped"), F.col("kind").rlike(r"[!?…]$|\.\.$").alias("ended"), _bare(F.col("next_kind")).alias("next_bare"))
+def _words(texts: DataFrame, text: str) -> DataFrame:
+    """token, n of the distinct tokens of the corpus as they are written: patterns are then matched once a token, not once a place."""
+    words = F.split(F.col(text), _SPACE)
+    return texts.filter(F.col(text).isNotNull()).select(F.explode(words).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _marked(texts: DataFrame, text: str) -> DataFrame:
+    """token, next, n of the distinct pairs whose first token has a mark that may end a sentence."""
+    words = F.filter(F.split(F.col(text), _SPACE), lambda t: t != "")
+    marked = lambda t: F.contains(t, F.lit(".")) | F.contains(t, F.lit("!")) | F.contains(t, F.lit("?")) | F.contains(t, F.lit("…"))
+    pairs = once(words, lambda w: F.filter(F.transform(w, lambda t, i: F.when(marked(t), F.struct(t.alias("token"), F.get(w, i + 1).alias("next")))), lambda p: p.isNotNull()))
+    return texts.filter(F.col(text).isNotNull()).select(F.explode(pairs).alias("p")).groupBy("p.token", "p.next").agg(F.count("*").alias("n"))
+
+
+def _typed(counted: DataFrame, *more: Column) -> DataFrame:
+    """bare, stopped, ended (by a mark that is no single stop) of tokens, with their numbers."""
+    kinds = counted.withColumn("kind", _type(F.col("token")))
+    own = kinds.select(_bare(F.col("kind")).alias("bare"), _stopped(F.col("kind")).alias("stopped"), F.col("kind").rlike(r"[!?…]$|\.\.$").alias("ended"), "n", *more)
     return own.filter("bare <> ''")
 
 
+def tokens(texts: DataFrame, text: str = "text") -> DataFrame:
+    """bare, stopped, ended, n of the distinct tokens of the corpus; n counts how often each occurs."""
+    return _typed(_words(texts, text))
+
+
 def _binary(of: Column, both: Column, rest: Column, total: Column) -> Column:
     """Log-likelihood ratio of a type carrying a stop as the corpus does (`rest` / `total`) against nearly always."""
     chance = rest / total
@@ -89,9 +111,13 @@ def _pairing(a: Column, b: Column, both: Column, total: Column) -> Column:
     return -2 * (one - two)
 
 
+def _total(where: Column) -> Column:
+    return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+
+
 def abbreviations(corpus: DataFrame) -> DataFrame:
     """bare, with_stop, without_stop, score of the types that are abbreviations. `corpus`: from `tokens`."""
-    counts = corpus.groupBy("bare").agg(F.count_if("stopped").alias("with_stop"), F.count_if(~F.col("stopped")).alias("without_stop"))
+    counts = kept(corpus.groupBy("bare").agg(_total(F.col("stopped")).alias("with_stop"), _total(~F.col("stopped")).alias("without_stop")), "types")
     # one row
     all_ = counts.agg(F.sum("with_stop").alias("stops"), F.sum(F.col("with_stop") + F.col("without_stop")).alias("total"))
     inner = F.length("bare") - F.length(F.replace("bare", F.lit("."), F.lit("")))
@@ -107,28 +133,35 @@ def _best(found: DataFrame, *columns: str) -> tuple[str, ...]:
     return tuple(" ".join(r[:-1]) for r in found.select(*columns, "score").orderBy(F.desc("score"), *columns).limit(MOST).collect())
 
 
+def learn_abbreviations(texts: DataFrame, text: str = "text") -> Model:
+    """A model that knows the corpus's abbreviations only: one pass of counting over it."""
+    return Model(_best(abbreviations(tokens(texts, text)), "bare"))
+
+
 def learn(texts: DataFrame, text: str = "text") -> Model:
-    """A model of the corpus: three passes of counting over it."""
-    corpus = tokens(texts, text)
+    """A model of the corpus: one pass of counting over it for words, one for what follows a mark."""
+    corpus = kept(tokens(texts, text).groupBy("bare", "stopped", "ended").agg(F.sum("n").alias("n")), "tokens")
+    next_bare = _bare(_type(F.col("next")))
+    marked = kept(_typed(_marked(texts, text), next_bare.alias("next_bare")).groupBy("bare", "stopped", "ended", "next_bare").agg(F.sum("n").alias("n")), "marked")
     short = _best(abbreviations(corpus), "bare")
     initial = _is_number(F.col("bare")) | _is_initial(F.col("bare"))
     ends = F.col("ended") | (F.col("stopped") & ~initial & ~_among(F.col("bare"), short))
-    counted = corpus.groupBy("bare").agg(F.count("*").alias("n"))
-    totals = corpus.agg(F.count("*").alias("total"), F.count_if(ends).alias("ends"))
-    after = corpus.filter(ends & F.col("next_bare").rlike(r"^\p{L}")).groupBy(F.col("next_bare").alias("bare")).agg(F.count("*").alias("both"))
+    counted = corpus.groupBy("bare").agg(F.sum("n").alias("n"))
+    totals = corpus.agg(F.sum("n").alias("total"), _total(ends).alias("ends"))
+    after = marked.filter(ends & F.col("next_bare").rlike(r"^\p{L}")).groupBy(F.col("next_bare").alias("bare")).agg(F.sum("n").alias("both"))
     scored = after.join(counted, "bare").join(F.broadcast(totals), F.lit(True)).withColumn("score", _pairing(F.col("ends").cast("double"), F.col("n").cast("double"), F.col("both").cast("double"), F.col("total").cast("double")))
     starters = _best(scored.filter((F.col("score") >= STARTER) & (F.col("total") * F.col("both") > F.col("n") * F.col("ends"))), "bare")
-    pairs = corpus.filter(F.col("stopped") & initial & F.col("next_bare").rlike(r"^\p{L}")).groupBy("bare", "next_bare").agg(F.count("*").alias("both"))
-    first = corpus.filter(F.col("stopped")).groupBy("bare").agg(F.count("*").alias("a"))
+    pairs = marked.filter(F.col("stopped") & initial & F.col("next_bare").rlike(r"^\p{L}")).groupBy("bare", "next_bare").agg(F.sum("n").alias("both"))
+    first = corpus.filter(F.col("stopped")).groupBy("bare").agg(F.sum("n").alias("a"))
     joined = pairs.join(first, "bare").join(counted.select(F.col("bare").alias("next_bare"), "n"), "next_bare").join(F.broadcast(totals), F.lit(True))
     joined = joined.filter("both > 1").withColumn("score", _pairing(F.col("a").cast("double"), F.col("n").cast("double"), F.col("both").cast("double"), F.col("total").cast("double")))
-    kept = _best(joined.filter((F.col("score") >= COLLOCATION) & (F.col("total") * F.col("both") > F.col("n") * F.col("a"))), "bare", "next_bare")
-    return Model(short, kept, starters)
+    pairs = _best(joined.filter((F.col("score") >= COLLOCATION) & (F.col("total") * F.col("both") > F.col("n") * F.col("a"))), "bare", "next_bare")
+    return Model(short, pairs, starters)
 
 
 def _ends(piece: Column, following: Column, model: Model) -> Column:
     """Whether a sentence ends between a piece and the one after it."""
-    kind = _type(F.regexp_extract(piece, r"(\S+)\s*$", 1))
+    kind = _type(F.regexp_extract(piece, _LAST, 1))
     first = F.regexp_extract(following, r"^(\S+)", 1)
 
     def decide(kind: Column, bare: Column) -> Column:

@@ -25,7 +25,7 @@ def _abbreviations(s: SparkSession, d: str) -> DataFrame:
 
 def _sentences(s: SparkSession, d: str) -> DataFrame:
     docs = _led(s, d)
-    model = sentences.Model(abbreviations=sentences.learn(docs).abbreviations)
+    model = sentences.learn_abbreviations(docs)
     made = docs.select("doc_id", sentences.sentences(F.col("text"), model).alias("s"))
     return made.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.slice("s", 1, 3), " ").alias("summary"))
 

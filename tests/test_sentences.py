@@ -93,3 +93,12 @@ def test_nothing_learnt(spark, docs):
     assert none == sentences.Model()
     got = docs.limit(1).select(sentences.sentences(F.lit("Meet Dr. An. Go."), none).alias("s")).first().s
     assert got == ["Meet Dr.", "An.", "Go."]
+
+
+def test_a_token_is_typed_once(spark):
+    """Repeats of a token are one row with their number, before any pattern is matched."""
+    docs = spark.createDataFrame([("a Dr. a Dr. b ",)] * 50, "text string")
+    got = {(r.bare, r.stopped, r.n) for r in sentences.tokens(docs).collect()}
+    assert got == {("a", False, 100), ("dr", True, 100), ("b", False, 50)}
+    assert sentences.tokens(docs).count() == 3
+    assert sentences.learn_abbreviations(docs).abbreviations == sentences.learn(docs).abbreviations
