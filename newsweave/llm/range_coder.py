@@ -70,9 +70,33 @@ def _trust_table() -> np.ndarray:
     return out.ravel()
 
 
-_TRUST = _trust_table()
+def _slot_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By trusts << 2 | is the first id | is the second id << 1: the new slot's trusts with a mask of the ids that stay
+    in place, what the id that came and what the first id is multiplied by to stand in its new place (0: nowhere)."""
+    trusts, hit = np.divmod(np.arange(4096), 4)
+    came = np.where((hit & 1 == 1) & (trusts > 31), 0, np.where((hit == 2) & (trusts & 31 > 0), 1, 2))
+    new = _trust_table()[trusts * 3 + came]
+    change = new & 3
+    stay = np.array([_ID << _BITS | _ID, 0, _ID << _BITS, _ID])[change]
+    return (new >> 2) << 54 | stay, np.array([0, 1, 1, 1 << _BITS])[change], np.array([0, 1 << _BITS, 0, 0])[change]
+
+
+_SLOT, _PLACE, _SECOND = _slot_tables()
 _LEVELS = (_LEVEL[:, None] * 2 + (np.arange(32) > 1)).ravel()
-_IDS = (1 << 2 * _BITS) - 1
+_TRUSTS, _CHECKS = -1 << 54, _CHECK << 2 * _BITS
+_HITS = np.arange(16)  # which of the four leading ids came, a bit each
+_WHO = np.where(_HITS & 1, 0, np.where(_HITS & 2, 1, np.where(_HITS & 4, 2, np.where(_HITS & 8, 3, 4))))
+#: by a == c, b == d, a == d and b == c, a bit each: which of the leading ids agree
+_ALIKE = np.where(_HITS & 1, 1 + (_HITS >> 1 & 1), 0) + np.where(_HITS & 4, 3, 0) + np.where((_HITS & 8 > 0) & (_HITS & 4 == 0), 4, 0)
+_NEAR = 8  # bits of order-0 places that share an entry of the table of nearest ids
+
+
+def _bits(*flags: np.ndarray) -> np.ndarray:
+    """Flags as the bits of a number, the first the lowest."""
+    out = flags[0].view(np.uint8).copy()
+    for k, flag in enumerate(flags[1:], 1):
+        out |= flag.view(np.uint8) << k
+    return out
 
 
 class _Slots:
@@ -81,24 +105,32 @@ class _Slots:
     def __init__(self, n: int):
         self.packed = np.zeros(n, np.int64)
 
-    def read(self, at: np.ndarray, check: np.ndarray | int) -> None:
+    def read(self, at: np.ndarray, check: np.ndarray | None = None) -> None:
+        """`check`: in its place in the slot; None where each context has a slot of its own."""
         x = self.packed.take(at)
-        self.at, self.check = at, check
-        x *= ((x >> 2 * _BITS) & _CHECK) == check
-        self.a, self.b = x & _ID, (x >> _BITS) & _ID
-        self.both, self.trust = x & _IDS, (x >> 54) & 1023
+        if check is not None:
+            x *= (x & _CHECKS) == check
+        self.at, self.check, self.slot = at, check, x
+        self.a = x & _ID
+        self.trust = x >> 2 * _BITS + 12
+        self.trust &= 1023
+        x = x >> _BITS
+        x &= _ID
+        self.b = x
         self.level = _LEVELS.take(self.trust)
 
-    def learn(self, ids: np.ndarray, is_a: np.ndarray, is_b: np.ndarray) -> None:
-        trusted = self.trust
-        came = 2 - 2 * (is_a & (trusted > 31)) - (is_b & ~is_a & ((trusted & 31) > 0))
-        new = _TRUST.take(trusted * 3 + came)
-        change, both = new & 3, self.both
-        for k in np.flatnonzero(np.bincount(change, minlength=4)[1:]) + 1:
-            who = np.flatnonzero(change == k)
-            a, b = self.a[who], self.b[who]
-            both[who] = (a << _BITS) | b if k == 1 else (b << _BITS) | ids[who] if k == 2 else (ids[who] << _BITS) | a
-        self.packed[self.at] = ((new >> 2) << 54) | (self.check << 2 * _BITS) | both
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """`hit`: bit 0 where the first id came, bit 1 where the second."""
+        event = self.trust << 2
+        event += hit
+        new = self.slot
+        new |= _TRUSTS
+        new &= _SLOT.take(event)
+        new |= ids * _PLACE.take(event)
+        new |= self.a * _SECOND.take(event)
+        if self.check is not None:
+            new |= self.check
+        self.packed[self.at] = new
 
 
 class _Model:
@@ -125,13 +157,15 @@ class _Model:
         cum = np.concatenate([[0], np.cumsum(self.count)])
         self.cum = cum * ((1 << _FINE) - self.n) // total + np.arange(self.n + 1)
         self.size = np.diff(self.cum)
+        # the id that holds the first place of every stretch of places
+        self.near = np.cumsum(np.bincount((self.cum[:-1] + ((1 << _NEAR) - 1)) >> _NEAR, minlength=(1 << _FINE - _NEAR) + 1)) - 1
         every = self.right.sum(1)
         old = every > 1 << 14
         if old.any():
             self.right[old] = (self.right[old] + 1) >> 1
             every = self.right.sum(1)
         mass = self.right[:, :4] * ((1 << _MASS) - 64) // every[:, None]
-        self.mass = [np.ascontiguousarray(mass[:, k]) for k in range(4)]
+        self.mass = [mass[:, k].astype(np.int32) for k in range(4)]
         self.rest = (1 << _MASS) - mass.sum(1)
         self.due = self.steps + max(1, min(8, self.steps // 16))
 
@@ -139,43 +173,73 @@ class _Model:
         """The leading ids and weights after `one`, before it `two` (places among the distinct ids, from 1; 0: none)."""
         if self.steps >= self.due:
             self._refresh()
-        mixed = (one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFFFF
-        mixed = (mixed ^ (mixed >> 15)) * 0x2C1B3C6D
-        self.one.read(one, 1)
-        self.two.read((mixed >> 20) & ((1 << _TWO_SLOTS) - 1), ((mixed >> 6) & (_CHECK - 1)) + 1)
-        a, b, c, d = self.two.a, self.two.b, self.one.a, self.one.b
-        alike = np.where(a == c, 1 + (b == d), 0) + np.where(a == d, 3, 0) + np.where((b == c) & (a != d), 4, 0)
-        self.state = (self.two.level * 16 + self.one.level) * 5 + alike
-        self.leading = (a, b, c, d)
+        mixed = one * 0x9E3779B1
+        mixed += two * 0x85EBCA77
+        mixed &= 0xFFFFFFFFFF
+        mixed ^= mixed >> 15
+        mixed *= 0x2C1B3C6D
+        check = mixed >> 6
+        check &= _CHECK - 1
+        check += 1
+        check <<= 2 * _BITS
+        mixed >>= 20
+        mixed &= (1 << _TWO_SLOTS) - 1
+        self.one.read(one)
+        self.two.read(mixed, check)
+        self.leading = a, b, c, d = [x.astype(np.int32) for x in (self.two.a, self.two.b, self.one.a, self.one.b)]
+        self.state = self.two.level << 4
+        self.state += self.one.level
+        self.state *= 5
+        self.state += _ALIKE.take(_bits(a == c, b == d, a == d, b == c))
         self.weight = [m.take(self.state) for m in self.mass]
         self.other = self.rest.take(self.state)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each id's interval begins and how large it is, of 2**38."""
-        low, size = self.other * self.cum.take(ids), self.other * self.size.take(ids)
-        for x, w in zip(self.leading, self.weight):
-            wide = w << _FINE
-            low += wide * (x < ids)
-            size += wide * (x == ids)
-        return low, size
+        short = ids.astype(np.int32)
+        self.came = [x == short for x in self.leading]
+        below, own = (sum(w * flag for w, flag in zip(self.weight, flags)).astype(np.int64) for flags in ((x < short for x in self.leading), self.came))
+        out = []
+        for moved, table in ((below, self.cum), (own, self.size)):
+            moved <<= _FINE
+            moved += self.other * table.take(ids)
+            out.append(moved)
+        return out[0], out[1]
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold these places."""
-        both = [(x << _MASS) | w for x, w in zip(self.leading, self.weight)]
+        both = [(x.astype(np.int64) << _MASS) | w for x, w in zip(self.leading, self.weight)]
         for i, j in ((0, 1), (2, 3), (0, 2), (1, 3), (1, 2)):  # ascending
             both[i], both[j] = np.minimum(both[i], both[j]), np.maximum(both[i], both[j])
         rest = at.copy()
         for x in both:
-            over = rest - self.other * self.cum.take(x >> _MASS)
-            rest -= np.minimum(np.maximum(over, 0), (x & ((1 << _MASS) - 1)) << _FINE)
-        return np.searchsorted(self.cum, rest // self.other, "right") - 1
+            over = self.cum.take(x >> _MASS)
+            over *= self.other
+            np.subtract(rest, over, out=over)
+            x &= (1 << _MASS) - 1
+            x <<= _FINE
+            np.minimum(np.maximum(over, 0, out=over), x, out=over)
+            rest -= over
+        place = rest.view(np.uint64) // self.other.view(np.uint64)
+        return self._holding(place.view(np.int64))
+
+    def _holding(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold these places: by the nearest ids, searched where these differ."""
+        stretch = place >> _NEAR
+        ids = self.near.take(stretch)
+        stretch += 1
+        open_ = np.flatnonzero(ids != self.near.take(stretch))
+        ids[open_] = np.searchsorted(self.cum, place[open_], "right") - 1
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        a, b, c, d = (x == ids for x in self.leading)
-        who = np.where(a, 0, np.where(b, 1, np.where(c, 2, 4 - d)))
-        self.right += np.bincount(self.state * 5 + who, minlength=_STATES * 5).reshape(_STATES, 5)
-        self.two.learn(ids, a, b)
-        self.one.learn(ids, c, d)
+        """After `interval` of the same ids."""
+        hits = _bits(*self.came)
+        self.state *= 5
+        self.state += _WHO.take(hits)
+        self.right += np.bincount(self.state, minlength=_STATES * 5).reshape(_STATES, 5)
+        self.two.learn(ids, hits & 3)
+        self.one.learn(ids, hits >> 2)
         self.new.append(ids)
         self.steps += 1
 
@@ -198,10 +262,12 @@ class _Lanes:
         who = np.flatnonzero(self.range < _SMALL)
         while len(who):
             low, rng = self.low[who], self.range[who]
-            open_ = ((low ^ (low + rng - np.uint64(1))) >> _TOP) != 0
-            rng = np.where(open_, (np.uint64(0) - low) & _LOW, rng) << _WORD
+            open_ = np.flatnonzero((low ^ (low + rng - np.uint64(1))) >> _TOP)
+            rng[open_] = (np.uint64(0) - low[open_]) & _LOW
+            rng <<= _WORD
             self.shift(who, low)
-            self.low[who], self.range[who] = low << _WORD, rng
+            low <<= _WORD
+            self.low[who], self.range[who] = low, rng
             who = who[rng < _SMALL]
 
 
@@ -213,8 +279,10 @@ class _Writer(_Lanes):
     def shift(self, who: np.ndarray, low: np.ndarray) -> None:
         if int(self.used.max()) + 2 > self.out.shape[1]:
             self.out = np.hstack([self.out, np.zeros_like(self.out)])
-        self.out[who, self.used[who]] = low >> _TOP
-        self.used[who] += 1
+        used = self.used[who]
+        self.out.ravel()[who * self.out.shape[1] + used] = low >> _TOP
+        used += 1
+        self.used[who] = used
 
     def flush(self) -> bytes:
         # the shortest number within the range: one word where it is wide enough, else more
@@ -236,18 +304,22 @@ class _Reader(_Lanes):
     def __init__(self, n: int, raw: bytes):
         super().__init__(n)
         sizes = np.frombuffer(raw, "<u2", n).astype(np.int64)
-        self.words = np.append(np.frombuffer(raw, "<u2", int(sizes.sum()), 2 * n), np.uint16(0)).astype(np.uint64)
-        self.stop = np.cumsum(sizes)
-        self.used = self.stop - sizes
+        # a lane is read at most three words beyond its end: these are 0
+        words, gaps = np.frombuffer(raw, "<u2", int(sizes.sum()), 2 * n), 4 * np.arange(n)
+        self.words = np.zeros(len(words) + 4 * n, np.uint64)
+        self.words[np.arange(len(words)) + np.repeat(gaps, sizes)] = words
+        self.used = np.cumsum(sizes) - sizes + gaps
         self.code = np.zeros(n, np.uint64)
         every = np.arange(n)
         for _ in range(4):
             self.shift(every, self.low)
 
     def shift(self, who: np.ndarray, low: np.ndarray) -> None:
-        at = self.used[who]
-        self.code[who] = (self.code[who] << _WORD) | self.words[np.where(at < self.stop[who], at, -1)]
-        self.used[who] = at + 1
+        at, code = self.used[who], self.code[who]
+        code <<= _WORD
+        code |= self.words[at]
+        at += 1
+        self.code[who], self.used[who] = code, at
 
     def place(self) -> np.ndarray:
         return np.minimum((self.code - self.low) // (self.range >> _TOTAL), np.uint64((1 << (_MASS + _FINE)) - 1)).view(np.int64)
