@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Words, buffers, chunks, mix, text_column
+from .arrays import U64, Words, buffers, chunks, mix, release, text_column
 
 PLACES = 1 << 20
 FEATURES = 768
@@ -75,16 +75,16 @@ def risk_gradient(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float)
 
 
 def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.5, l2: float = 1e-3, seed: int = 5) -> np.ndarray:
-    """Weights (last: bias) of a logistic model under the non-negative risk. x: float32 rows, y: 1 positive, 0 unlabelled."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    pos, unl = x[y == 1], x[y == 0]
-    w = np.zeros(x.shape[1])
+    """Weights (last: bias) of a logistic model under the non-negative risk. x: rows of numbers or flags, y: 1 positive, 0 unlabelled."""
+    pos, unl = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rows = lambda at: np.hstack([x[at], np.ones((len(at), 1), np.float32)])
+    w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     rng = np.random.default_rng(seed)
     for t in range(1, rounds + 1):
-        p = pos[rng.integers(0, len(pos), min(len(pos), 512))]
-        u = unl[rng.integers(0, len(unl), min(len(unl), 1024))]
+        p = rows(pos[rng.integers(0, len(pos), min(len(pos), 512))])
+        u = rows(unl[rng.integers(0, len(unl), min(len(unl), 1024))])
         g = risk_gradient(w, p, u, prior)
         g = g + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -114,12 +114,20 @@ def threshold_shift(z: np.ndarray, y: np.ndarray, prior: float, threshold: float
     return float(np.log(threshold / (1 - threshold)) - cut)
 
 
+def holders(sets: list[np.ndarray]) -> np.ndarray:
+    """How many of the sets hold each place."""
+    out = np.zeros(PLACES, np.int32)
+    for s in sets:
+        out[s] += 1
+    return out
+
+
 def first_of_copies(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Which rows stay when positives are dropped that share a pair of least fingerprints of rare places with an earlier one.
 
     All words of a toxic text with many copies would look toxic otherwise.
     """
-    common = np.bincount(np.concatenate(sets), minlength=PLACES) > 0.02 * len(sets)
+    common = holders(sets) > 0.02 * len(sets)
     keep, seen = np.ones(len(sets), bool), set()
     for i in np.flatnonzero(y == 1):
         rare = sets[i][~common[sets[i]]].astype(np.uint64)
@@ -132,6 +140,36 @@ def first_of_copies(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _learnt(got: pa.Table, prior: float) -> dict:
+    """The model of a sample: positive, unlabelled, places. Sets are read where Arrow holds them; nothing is made for every place of every set."""
+    positive, unlabelled = (np.flatnonzero(got[c].to_numpy()) for c in ("positive", "unlabelled"))
+    if not len(positive) or prior >= 1:
+        return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": np.inf if len(positive) else -np.inf}
+    each = [np.frombuffer(b.as_buffer(), np.int32) for b in got["places"]]
+    y = np.repeat([1, 0], [len(positive), len(unlabelled)])
+    sets = [each[i] for i in np.concatenate([positive, unlabelled])]
+    order = np.lexsort(([s.sum() for s in sets], [len(s) for s in sets], -y))  # the same order whatever the partitions
+    order = order[first_of_copies([sets[i] for i in order], y[order])]
+    y, sets = y[order], [sets[i] for i in order]
+    in_pos = holders([s for s, k in zip(sets, y) if k])
+    in_unl = holders([s for s, k in zip(sets, y) if not k])
+    often = np.flatnonzero(in_pos >= 3)
+    rp, ru = (in_pos[often] + 0.5) / (y.sum() + 1), (in_unl[often] + 0.5) / ((1 - y).sum() + 1)
+    gain = np.where(rp > 1.5 * ru, (rp - ru) / np.sqrt(rp / y.sum() + ru / (1 - y).sum()), 0)
+    best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+    chosen = often[best[gain[best] > np.clip(np.sqrt(0.015 * y.sum()), 2.5, 4)]]  # about the root of the positives that hold it
+    where = np.full(PLACES, -1, np.int32)
+    where[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(sets), len(chosen)), bool)
+    for i, s in enumerate(sets):
+        at = where[s]
+        x[i, at[at >= 0]] = True
+    prior = min(max(prior, 0.001), 0.9)
+    w = nnpu(x, y, prior)
+    z = np.concatenate([x[i : i + 1024].astype(np.float32) @ w[:-1] for i in range(0, len(x), 1024)]) + w[-1]
+    return {"places": chosen.astype(np.int64), "weights": w[:-1], "bias": float(w[-1]) + threshold_shift(z, y, prior)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: int = 3) -> dict:
     """The model: feature places, weights, bias. Rows whose remainder is `held_out` are not used."""
     # the sample is drawn on keys alone; only then are its texts read
@@ -150,31 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: i
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("s_id"))
     rows = rows.groupBy("s_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"), F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("positive", "unlabelled", "text").mapInArrow(_sample_rows, "positive int, unlabelled int, places binary").toArrow()
-    positive, unlabelled = (np.flatnonzero(got[c].to_numpy()) for c in ("positive", "unlabelled"))
-    if not len(positive) or prior >= 1:
-        return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": np.inf if len(positive) else -np.inf}
-    each = [np.frombuffer(b, np.int32) for b in got["places"].to_pylist()]
-    y = np.repeat([1, 0], [len(positive), len(unlabelled)])
-    sets = [each[i] for i in np.concatenate([positive, unlabelled])]
-    order = np.lexsort(([s.sum() for s in sets], [len(s) for s in sets], -y))  # the same order whatever the partitions
-    order = order[first_of_copies([sets[i] for i in order], y[order])]
-    y, sets = y[order], [sets[i] for i in order]
-    row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-    in_pos = np.bincount(col[y[row] == 1], minlength=PLACES).astype(float)
-    in_unl = np.bincount(col[y[row] == 0], minlength=PLACES).astype(float)
-    rp, ru = (in_pos + 0.5) / (y.sum() + 1), (in_unl + 0.5) / ((1 - y).sum() + 1)
-    gain = np.where((in_pos >= 3) & (rp > 1.5 * ru), (rp - ru) / np.sqrt(rp / y.sum() + ru / (1 - y).sum()), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > np.clip(np.sqrt(0.015 * y.sum()), 2.5, 4)]  # about the root of the positives that hold it
-    where = np.full(PLACES, -1)
-    where[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(sets), len(chosen)), np.float32)
-    hit = where[col] >= 0
-    x[row[hit], where[col[hit]]] = 1
-    prior = min(max(prior, 0.001), 0.9)
-    w = nnpu(x, y, prior)
-    z = x @ w[:-1] + w[-1]
-    return {"places": chosen.astype(np.int64), "weights": w[:-1], "bias": float(w[-1]) + threshold_shift(z, y, prior)}
+    model = _learnt(got, prior)
+    del got
+    release()  # the driver lives on
+    return model
 
 
 def score_texts(model: dict):

@@ -1,5 +1,7 @@
 """The positive-unlabelled fit against plain formulas, and what it learns."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,20 @@ def test_unlabelled_set_holds_positives():
     best = x.sum(1)  # all features tell as much, so no ranking beats their number
     caught = lambda score: truth[np.argsort(-score, kind="stable")[: truth.sum()]].mean()
     assert caught(z) > caught(best) - 0.05
+
+
+def test_the_fit_leaves_the_driver_room(spark):
+    """A full sample's sets and rows are held once: no copy for every place of every set, no float copies of all rows."""
+    word = "concat('w', pmod(xxhash64(id, i, 7), 40000))"
+    toxic = "concat_ws(' ', transform(sequence(1, 12), i -> concat('bad', pmod(xxhash64(id, i), 900))))"
+    docs = spark.range(9000).selectExpr("id as doc_id", f"concat_ws(' ', if(id % 3 = 0, {toxic}, ''), array_join(transform(sequence(1, 160), i -> {word}), ' ')) as text")
+    labels = spark.range(9000).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    toxicity.fit(docs.limit(20), labels, None)  # what is imported and kept once does not count
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels, None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model["places"]) > 100
+    assert peak < 45e6
