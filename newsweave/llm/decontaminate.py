@@ -35,6 +35,7 @@ CLASHED = WINDOW + 1
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml s ms min h hours hour minutes seconds days weeks years percent dollars euros pounds usd eur meters metres miles kilometers kilograms grams liters litres degrees celsius".split()  # noqa: SIM905
 #: with more benchmark windows than this, documents' windows go through a shuffled join instead of a filter in the tasks
 MOST_HELD = 2_000_000
+TEXT_BYTES = 1 << 19  # of documents that are cut into windows at once: what is made for each byte of them takes 60 times that
 MATCH = "key bigint, id bigint, at bigint, slots array<string>, size int, exact boolean"
 RUN = "id bigint, item_id bigint, n bigint, same boolean"
 _EXACT = U64(0x6A09E667F3BCC909)
@@ -132,7 +133,7 @@ def _item_windows(batches):
 
 def _document_windows(kinds: list[tuple[int, bool]], held: np.ndarray | None):
     def run(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             t = Template(batch)
             found = []
             for size, exact in kinds:

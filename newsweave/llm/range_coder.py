@@ -88,6 +88,7 @@ _HITS = np.arange(16)  # which of the four leading ids came, a bit each
 _WHO = np.where(_HITS & 1, 0, np.where(_HITS & 2, 1, np.where(_HITS & 4, 2, np.where(_HITS & 8, 3, 4))))
 #: by a == c, b == d, a == d and b == c, a bit each: which of the leading ids agree
 _ALIKE = np.where(_HITS & 1, 1 + (_HITS >> 1 & 1), 0) + np.where(_HITS & 4, 3, 0) + np.where((_HITS & 8 > 0) & (_HITS & 4 == 0), 4, 0)
+_STRETCH = 1 << 17
 _NEAR = 8  # bits of order-0 places that share an entry of the table of nearest ids
 
 
@@ -329,26 +330,44 @@ def _lanes(n: int) -> int:
     return max(1, min(LANES, n // STEPS))
 
 
+def _stretches(n: int) -> list[slice]:
+    """What numpy makes of a stretch at a time (64-bit copies of indices among it) is small beside a block."""
+    return [slice(i, min(i + _STRETCH, n)) for i in range(0, n, _STRETCH)]
+
+
+def _named(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and the place of each id among them."""
+    if int(ids.max()) > _ID:
+        names, places = np.unique(ids, return_inverse=True)
+        return names, places.astype(np.int32)
+    seen = np.zeros(int(ids.max()) + 1, bool)
+    for s in _stretches(len(ids)):
+        seen[ids[s]] = True
+    names = np.flatnonzero(seen)
+    where = np.zeros(len(seen), np.int32)
+    where[names] = np.arange(len(names))
+    places = np.empty(len(ids), np.int32)
+    for s in _stretches(len(ids)):
+        places[s] = where[ids[s]]
+    return names, places
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """The coded bytes of one block, at least one id."""
-    if int(ids.max()) <= _ID:
-        names = np.flatnonzero(np.bincount(ids))
-        where = np.zeros(int(names[-1]) + 1, np.int32)
-        where[names] = np.arange(len(names))
-        places = where[ids]
-    else:
-        names, places = np.unique(ids, return_inverse=True)
+    names, places = _named(ids)
     lanes = _lanes(len(ids))
     steps = -(-len(ids) // lanes)
-    places = np.append(places, np.full(lanes * steps - len(ids), places[-1])).astype(np.int32).reshape(lanes, steps)  # the last id fills up
+    if len(ids) < lanes * steps:
+        places = np.append(places, np.full(lanes * steps - len(ids), places[-1], np.int32))  # the last id fills up
+    places = places.reshape(lanes, steps)
     model, coder = _Model(len(names)), _Writer(lanes, steps)
     one = two = np.zeros(lanes, np.int64)
-    for now in np.ascontiguousarray(places.T):
-        now = now.astype(np.int64)
-        model.predict(one, two)
-        coder.take(*model.interval(now))
-        model.learn(now)
-        one, two = now + 1, one
+    for t in range(0, steps, 16):
+        for now in np.ascontiguousarray(places[:, t : t + 16].T, np.int64):
+            model.predict(one, two)
+            coder.take(*model.interval(now))
+            model.learn(now)
+            one, two = now + 1, one
     packed = pack(np.diff(names.astype(np.int64), prepend=0))
     return _BLOCK_HEAD.pack(len(names), len(packed)) + packed + coder.flush()
 
@@ -368,13 +387,26 @@ def decode_block(raw: bytes, n: int) -> np.ndarray:
         model.learn(now)
         out[t] = now
         one, two = now + 1, one
-    return names.astype(np.uint32)[out.T.ravel()[:n]]
+    names, ids, steps = names.astype(np.uint32), np.empty(n, np.uint32), len(out)
+    each = max(1, _STRETCH // steps)
+    for a in range(0, lanes, each):
+        own = names[out[:, a : a + each].T.ravel()]
+        ids[a * steps : (a + each) * steps] = own[: max(n - a * steps, 0)]
+    return ids
+
+
+def ids_crc(ids: np.ndarray) -> int:
+    """The crc32 of ids as little-endian 32-bit integers."""
+    crc = 0
+    for s in _stretches(len(ids)):
+        crc = zlib.crc32(ids[s].astype("<u4").tobytes(), crc)
+    return crc
 
 
 def _stream(ids: np.ndarray) -> bytes:
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     raw = [encode_block(b) for b in blocks]
-    table = b"".join(struct.pack("<II", len(r), zlib.crc32(b.astype("<u4").tobytes())) for r, b in zip(raw, blocks))
+    table = b"".join(struct.pack("<II", len(r), ids_crc(b)) for r, b in zip(raw, blocks))
     return _HEAD.pack(MAGIC, VERSION, len(ids), BLOCK) + table + b"".join(raw)
 
 
@@ -394,14 +426,14 @@ def _ids(raw: bytes) -> np.ndarray:
         raise ValueError("not a coded id stream")
     blocks = -(-n // size)
     table = np.frombuffer(raw, "<u4", 2 * blocks, _HEAD.size).reshape(-1, 2).tolist()
-    at, out = _HEAD.size + 8 * blocks, [np.zeros(0, np.uint32)]
+    at, out = _HEAD.size + 8 * blocks, []
     for i, (length, crc) in enumerate(table):
         try:
             ids = decode_block(raw[at : at + length], min(size, n - i * size))
         except (ValueError, IndexError, struct.error, OSError) as e:
             raise ValueError("a block's checksum differs: it cannot be read") from e
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        if ids_crc(ids) != crc:
             raise ValueError("a block's checksum differs")
         out.append(ids)
         at += length
-    return np.concatenate(out)
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint32), *out])

@@ -49,10 +49,12 @@ def _newer(split) -> tuple[list[int], list[int]]:
 
     Each stands between a letter and a digit: it is of the class whose piece it joins.
     """
-    unknown = [cp for cp in range(0x40000) if unicodedata.category(chr(cp)) == "Cn"]
-    begins = {a for _, (a, _) in split("".join(f"a{chr(cp)}1" for cp in unknown))}
-    letters = [cp for k, cp in enumerate(unknown) if 3 * k + 1 not in begins]
-    numbers = [cp for k, cp in enumerate(unknown) if 3 * k + 2 not in begins]
+    letters, numbers = [], []
+    for first in range(0, 0x40000, 1 << 12):  # at once the library's pieces would take a worker 79 MB and more
+        unknown = [cp for cp in range(first, first + (1 << 12)) if unicodedata.category(chr(cp)) == "Cn"]
+        begins = {a for _, (a, _) in split("".join(f"a{chr(cp)}1" for cp in unknown))}
+        letters += [cp for k, cp in enumerate(unknown) if 3 * k + 1 not in begins]
+        numbers += [cp for k, cp in enumerate(unknown) if 3 * k + 2 not in begins]
     return letters, numbers
 
 
@@ -150,8 +152,15 @@ class Places:
         """Add different keys, none of which was added before."""
         if 2 * (self.used + len(keys)) > len(self.keys):
             taken = np.flatnonzero(self.place >= 0)
-            keys = np.concatenate([self.keys[taken[np.argsort(self.place[taken])]], keys])
-            self.__init__(1 << (2 * len(keys)).bit_length())
+            had = np.empty(self.used, np.uint64)
+            had[self.place[taken]] = self.keys[taken]
+            del taken
+            self.__init__(1 << (2 * (len(had) + len(keys))).bit_length())
+            for i in range(0, len(had), 1 << 16):  # what is made to place a key takes more than the key
+                self._put(had[i : i + (1 << 16)])
+        self._put(keys)
+
+    def _put(self, keys: np.ndarray) -> None:
         mask = len(self.keys) - 1
         slot = (keys & U64(mask)).view(np.int64)
         left, places = np.arange(len(keys)), np.arange(self.used, self.used + len(keys), dtype=np.int32)
@@ -165,6 +174,11 @@ class Places:
             slot[left] = (slot[left] + 1) & mask
 
 
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a larger copy, with places for `more` values after those used."""
+    return x if used + more <= len(x) else np.concatenate([x[:used], np.zeros(max(more, len(x)), x.dtype)])
+
+
 class Encoder:
     """encode(column) gives the flat ids of all rows and each row's number of ids.
 
@@ -186,7 +200,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Start with an empty cache: the pieces' fingerprints, and where each one's ids begin and how many they are."""
-        self.keys, self.begin, self.length = Places(), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.keys, self.begin, self.length = Places(), np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +228,12 @@ class Encoder:
         return [e.ids for e in encode(texts, add_special_tokens=False)]
 
     def _add(self, keys: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), len(self.ids)), np.uint32)])
+        have, to = len(self.keys), len(self.keys) + len(keys)
+        self.ids, self.length, self.begin = _room(self.ids, self.used, len(flat)), _room(self.length, have, len(keys)), _room(self.begin, have, len(keys))
         self.ids[self.used : self.used + len(flat)] = flat
         self.keys.add(keys)
-        self.length = np.concatenate([self.length, lens])
-        self.begin = np.concatenate([self.begin, (self.used + np.cumsum(lens) - lens).astype(np.int32)])
+        self.length[have:to] = lens
+        self.begin[have:to] = self.used + np.cumsum(lens) - lens
         self.used += len(flat)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -177,3 +178,63 @@ def test_pack():
     arrays = [np.array([], np.int64), np.array([0, 255]), np.array([1 << 40, 3]), np.array([True, False])]
     back = unpack(pack(*arrays))
     assert all(np.array_equal(a, b) for a, b in zip(arrays, back))
+
+
+def _peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_is_held_few_times():
+    """Coding 2**21 ids of two bytes makes no 64-bit copies of all of them (before: 30 and 42 MB)."""
+    ids = np.minimum(np.random.default_rng(3).zipf(1.3, range_coder.BLOCK), 50_000).astype(np.uint16)
+    raw = []
+    assert _peak(lambda: raw.extend(range_coder.encode([ids]))) < 28e6
+    back = []
+    assert _peak(lambda: back.extend(range_coder.decode(raw))) < 38e6
+    assert np.array_equal(back[0], ids)
+
+
+def test_a_new_encoder_is_built_in_little_memory():
+    """A worker builds its own; the pieces of all unknown characters at once took 79 MB."""
+    from newsweave.llm import tokens
+
+    assert _peak(lambda: tokens._classes.__wrapped__(tokens.default_tokenizer())) < 20e6
+
+
+def test_tokens_are_made_of_few_texts_at_once(monkeypatch):
+    """A batch of 9 MB is encoded by stretches, with the ids that it gets as a whole (before: 64 MB)."""
+    from types import SimpleNamespace
+
+    from newsweave.llm import token_output, tokens
+    from newsweave.llm.arrays import text_column
+
+    own = np.random.default_rng(5)
+    words = np.array([f"{'' if k % 3 else 'W'}ord{k}" for k in range(3000)])
+    texts = [" ".join(words[own.integers(0, 3000, 200)]) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(token_output, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(token_output.range_coder, "encode", lambda streams: [s.astype("<u4").tobytes() for s in streams])
+    tokens.encoder(None, False).encode(text_column(batch)[:10])
+    out = []
+    assert _peak(lambda: out.extend(token_output._coding(None, 2, False)(iter([batch])))) < 40e6
+    flat, per_row = tokens.with_end(*tokens.Encoder().encode(text_column(batch)), 2)
+    assert b"".join(p for b in out for p in b.column("payload").to_pylist()) == flat.astype("<u4").tobytes()
+    assert [n for b in out for row in b.column("lengths").to_pylist() for n in row] == per_row.tolist()
+
+
+def test_places_grow_in_little_memory():
+    """From 2**20 to 2**21 slots (before: 61 MB)."""
+    from newsweave.llm import tokens
+
+    keys = np.random.default_rng(7).permutation(np.arange(1, 600_001, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    places = tokens.Places()
+    places.add(keys[:500_000])
+    assert _peak(lambda: places.add(keys[500_000:530_000])) < 45e6
+    places.add(keys[530_000:])
+    assert np.array_equal(places.find(keys), np.arange(600_000))
+    assert (places.find(keys + np.uint64(1)) == -1).all()
