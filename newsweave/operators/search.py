@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsweave.constants import REPORT_DATE, REPORT_LINE, REPORT_LINK, REPORT_SUMMARY
 from newsweave.functions import dates, html, text, urls
+from newsweave.sources.places import kept
 
 from . import sentences
 from .dedup import fuzzy_first
@@ -22,7 +23,9 @@ def candidates(entries: DataFrame, keywords: Sequence[str], days: int, as_of: Co
     words = [k.lower() for k in text.expand_keywords(keywords)]
     # titles first: they are cheap and leave few entries whose links and dates are read
     titled = entries.withColumn("title", text.strip(F.col("title"))).filter("title <> ''").filter(text.contains_any(F.lower("title"), text.literals(words)))
-    made = titled.select("feed_ord", "entry_ord", "title", urls.resolved(F.col("link")).alias("link"), dates.parsed(F.col("published"), as_of).alias("published"), *([dates.as_written(F.col("published"), as_of).alias("shown")] if own_zone else []))
+    read = F.struct(urls.resolved(F.col("link")).alias("link"), dates.parsed(F.col("published"), as_of).alias("published"), *([dates.as_written(F.col("published"), as_of).alias("shown")] if own_zone else []))
+    # generated, so they are read once an entry and not in the filters as well, which would go below the joins that make the entries
+    made = titled.select("feed_ord", "entry_ord", "title", F.inline(F.array(read)))
     return made.filter("link <> ''").filter(F.col("published") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
@@ -33,9 +36,11 @@ def search_news(entries: DataFrame, pages: DataFrame, keywords: Sequence[str], d
     `pages`: url, html. A page whose description has under ten tokens, or none, gives no row. With a learnt `model` abbreviations
     do not end the sentences of a summary. Times are in UTC, with `own_zone` as the entry has them.
     """
-    kept = fuzzy_first(candidates(entries, keywords, days, as_of, own_zone))
-    own = pages.select(F.col("url").alias("link"), "html")
-    found = kept.join(own, "link").withColumn("summary", html.snippet("html") if model is None else sentences.summarised(html.description("html"), model)).filter(text.token_count(F.col("summary")) >= LEAST_TOKENS)
+    first = fuzzy_first(candidates(entries, keywords, days, as_of, own_zone))
+    # pages are taken apart once each, and what is numbered is sorted without them
+    own = pages.select(F.col("url").alias("link"), "html").join(first.select("link"), "link", "left_semi")
+    described = own.select("link", (html.snippet("html") if model is None else sentences.summarised(html.description("html"), model)).alias("summary"))
+    found = kept(first.join(described, "link"), "found").filter(text.token_count(F.col("summary")) >= LEAST_TOKENS)
     listed = numbered(found, "n", F.col("feed_ord"), F.col("entry_ord"))
     return listed.select("n", "title", F.date_format("shown" if own_zone else "published", "yyyy-MM-dd HH:mm").alias("published"), "link", "summary")
 

@@ -131,6 +131,29 @@ def test_search_news(spark):
     assert search.report(found).first().entry.startswith("1. Ebola outbreak")
 
 
+def test_dates_and_pages_are_read_once(spark, tmp_path, monkeypatch):
+    """A date is read of the entries found by title only, above the join that makes them; a page is taken apart once, however many entries have its link."""
+    when = "Tue, 05 Mar 2024 10:00:00 GMT"
+    titled = spark.createDataFrame([(0, i, f"https://a.vn/{i // 2}", f"Ebola {word} report") for i, word in enumerate(["northern", "weekly", "late", "first"])], "feed_ord int, entry_ord int, link string, title string")
+    entries = titled.join(spark.createDataFrame([(i, when) for i in range(9)], "entry_ord int, published string"), "entry_ord")
+    plan = search.candidates(entries, ["sebs"], 3, as_of())._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp" not in plan.split("Join ", 1)[1]
+
+    seen = str(tmp_path / "seen")
+
+    @F.pandas_udf("string")
+    def snippet(pages):
+        with open(seen, "a") as out:
+            out.write("".join(f"{p}\n" for p in pages))
+        return pages
+
+    monkeypatch.setattr(search.html, "snippet", snippet)
+    pages = spark.createDataFrame([(f"https://a.vn/{i}", f"page {i} {BODY}") for i in range(5)], PAGE)
+    found = search.search_news(entries, pages, ["sebs"], 3, as_of()).collect()
+    assert sorted((r.n, r.link) for r in found) == [(1, "https://a.vn/0"), (2, "https://a.vn/0"), (3, "https://a.vn/1"), (4, "https://a.vn/1")]
+    assert sorted(open(seen).read().splitlines()) == [f"page {i} {BODY}" for i in range(2)]
+
+
 def test_statistics(spark):
     cases = spark.createDataFrame([(1, "a", 3, NOW), (2, "a", 1, NOW - timedelta(days=2)), (3, "b", 4, NOW - timedelta(days=7)), (4, "b", 2, NOW - timedelta(days=7, seconds=1))], "article_id int, disease_name string, case_count int, report_date timestamp_ntz")
     trend = stats.trends(cases, 7, as_of())
