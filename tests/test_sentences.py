@@ -102,3 +102,18 @@ def test_a_token_is_typed_once(spark):
     assert got == {("a", False, 100), ("dr", True, 100), ("b", False, 50)}
     assert sentences.tokens(docs).count() == 3
     assert sentences.learn_abbreviations(docs).abbreviations == sentences.learn(docs).abbreviations
+
+
+def test_no_abbreviation_is_dropped(spark):
+    """A model knows all that was learnt, however long its lists are, and long lists say the same as short ones."""
+    code = "concat(char(97 + k % 26), char(97 + k div 26 % 26), char(97 + k div 676))"
+    docs = spark.range(6500 * 4).selectExpr("cast(id % 6500 as int) as k").selectExpr("k", f"{code} as code").selectExpr("k", "code", "concat(code, '. Word', repeat(' word', 24)) as text")
+    model = sentences.learn_abbreviations(docs)
+    want = {r.code for r in docs.select("code").distinct().collect()}
+    assert len(model.abbreviations) == 6500
+    assert set(model.abbreviations) == want
+    assert docs.filter(F.size(sentences.sentences(F.col("text"), model)) != 1).count() == 0
+    others = ["zzzz", "word", "a", "", "aa\ta", "é", None, *sorted(want)[:50]]
+    frame = spark.createDataFrame([(t,) for t in others], "t string")
+    got = [r.known for r in frame.select(sentences._among(F.col("t"), model.abbreviations).alias("known")).collect()]
+    assert got == [None if t is None else t in want for t in others]
