@@ -167,7 +167,7 @@ def meeting(sized: DataFrame) -> DataFrame:
     titles' pieces, spread evenly, meet all places of the shorter ones; a pair that meets and whose letter
     counts are no further apart than the edits allowed goes on to the exact ratio. The exchanges carry a fixed number of short rows a
     title; what meets is counted off within the tasks, on arrays, and written nowhere. A pair that met on the piece `STEP` before, at the same
-    shift, is not named again. No alike pair is lost.
+    shift, is not named again. No alike pair is lost, but for a clash of two 64-bit hashes there.
     """
     size = f"if(n < {LONG}, {SHORT_PIECE}, {PIECE})"
     # as many pieces as edits and one, the first at the beginning and the last at the end
